@@ -21,9 +21,9 @@ TITLES = ("mr", "mrs", "ms", "dr", "shri", "smt", "miss")
 
 def normalize_phone(c: Column) -> Column:
     """The first valid ten-digit mobile in the cell, or null."""
-    text = F.regexp_replace(trimmed(c), r"\.0$", "")
-    parts = F.regexp_replace(text, r"(?i)[,;/|]| or ", "|")
-    digits = F.regexp_replace(parts, r"[^0-9|]", "")
+    text = F.regexp_replace(F.lower(trimmed(c)), r"\.0$", "")
+    parts = F.translate(F.replace(text, F.lit(" or "), F.lit("|")), ",;/", "|||")
+    digits = F.regexp_replace(parts, r"[^0-9|]+", "")
     return F.nullif(F.regexp_extract(digits, _MOBILE_PART, 1), F.lit(""))
 
 

@@ -18,12 +18,13 @@ READER_NULL_TOKENS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Every character Unicode counts as white space.
+WHITE_SPACE = "".join(chr(p) for p in range(sys.maxunicode + 1) if chr(p).isspace())
 
 
 def trimmed(c: Column) -> Column:
     """Strip every kind of Unicode white space; plain `trim` only takes blanks."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def clean(c: Column) -> Column:

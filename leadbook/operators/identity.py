@@ -30,7 +30,9 @@ _MAPS = (S.EXTRAS, S.NOTE_FIELDS)
 
 
 def with_phone_identity(df: DataFrame, phone_col: str = "phone") -> DataFrame:
-    """Add the standard phone, its status and the name key."""
+    """Add the standard phone, its status and the name key (kept where a stored table has them)."""
+    if {S.PHONE_NORM, PHONE_STATUS, NAME_KEY} <= set(df.columns):
+        return df
     name = F.col("name") if "name" in df.columns else F.lit(None).cast("string")
     return df.withColumns(
         {
@@ -130,33 +132,29 @@ def merge_groups(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return merged
 
 
-def _take_better(mine: str, theirs: str) -> Column:
-    a, b = F.col(mine), F.col(theirs)
-    return F.when(a["rank"] <= b["rank"], a).otherwise(F.coalesce(b, a))
-
-
-def _absorb_blank(named: DataFrame, blank: DataFrame) -> DataFrame:
-    """Fold each phone's merged nameless group into its only named lead."""
+def _attach(named: DataFrame, nameless: DataFrame) -> DataFrame:
+    """Fold merged nameless groups into the named lead they resolve to, keep the rest."""
     keys = [S.PHONE_NORM, NAME_KEY]
-    others = [c for c in blank.columns if c not in keys]
-    renamed = blank.select(*keys, *[F.col(c).alias(f"__blank_{c}") for c in others])
-    joined = named.join(renamed, keys, "left")
+    others = [c for c in nameless.columns if c not in keys]
+    renamed = nameless.select(*keys, *[F.col(c).alias(f"__nameless_{c}") for c in others])
+    joined = named.join(renamed, keys, "full")
+    empty_list, empty_map = F.array().cast("array<string>"), F.create_map().cast(S.STRING_MAP)
     columns = {}
     for c in others:
-        theirs = f"__blank_{c}"
+        mine, theirs = F.col(c), F.col(f"__nameless_{c}")
         if c == S.MERGED_COUNT:
-            columns[c] = F.col(c) + F.coalesce(F.col(theirs), F.lit(0))
+            columns[c] = F.coalesce(mine, F.lit(0)) + F.coalesce(theirs, F.lit(0))
         elif c == _RANK:
-            columns[c] = F.least(c, theirs)
+            columns[c] = F.least(mine, theirs)
         elif c in (S.MERGED_SOURCES, S.MEMBER_FRAMES):
-            columns[c] = F.array_union(c, F.coalesce(F.col(theirs), F.array().cast("array<string>")))
+            columns[c] = F.array_union(F.coalesce(mine, empty_list), F.coalesce(theirs, empty_list))
         elif c in _MAPS:
-            mine = F.coalesce(F.col(c), F.create_map().cast(S.STRING_MAP))
-            extra = F.map_filter(F.col(theirs), lambda k, _: ~F.map_contains_key(mine, k))
-            columns[c] = F.map_concat(mine, F.coalesce(extra, F.create_map().cast(S.STRING_MAP)))
+            known = F.coalesce(mine, empty_map)
+            extra = F.map_filter(F.coalesce(theirs, empty_map), lambda k, _: ~F.map_contains_key(known, k))
+            columns[c] = F.map_concat(known, extra)
         else:
-            columns[c] = _take_better(c, theirs)
-    return joined.withColumns(columns).drop(*[f"__blank_{c}" for c in others])
+            columns[c] = F.least(mine, theirs)
+    return joined.select(*keys, *[value.alias(c) for c, value in columns.items()])
 
 
 def _finish(merged: DataFrame, shape: DataFrame) -> DataFrame:
@@ -182,22 +180,20 @@ def _finish(merged: DataFrame, shape: DataFrame) -> DataFrame:
 def merge_leads(df: DataFrame, phone_col: str = "phone") -> DataFrame:
     """One row per (mobile, name): duplicates coalesced, unreachable rows dropped.
 
-    Rows are shuffled once, already merged per task, on (phone, name key).  The
-    nameless groups, at most one per phone, are merged the same way on their own
-    and then attached to the only named lead of their phone.  That join finds
-    the named side partitioned and sorted as it needs, so only the nameless
-    groups and the narrow list of sole names move.
+    Rows are shuffled once, already merged per task, on (phone, name key): the
+    named rows and the nameless ones are two disjoint halves of one stored table,
+    and the name-key filter reaches its scan.  The nameless groups, at most one
+    per phone, then attach to the only named lead of their phone.  That join finds
+    the named side partitioned as it needs, so only the nameless groups and the
+    narrow list of sole names move.
     """
     keyed = reachable(df, phone_col)
     keys = [S.PHONE_NORM, NAME_KEY]
     named = merge_groups(keyed.filter(F.col(NAME_KEY) != ""), keys)
     blank = merge_groups(keyed.filter(F.col(NAME_KEY) == ""), keys)
-    blank = blank.join(sole_names(keyed), S.PHONE_NORM, "left")
-    attached = blank.filter(F.col("sole_key").isNotNull())
-    attached = attached.withColumn(NAME_KEY, F.col("sole_key")).drop("sole_key")
-    alone = blank.filter(F.col("sole_key").isNull()).drop("sole_key")
-    merged = _absorb_blank(named, attached).unionByName(alone)
-    return _finish(merged, keyed)
+    resolved = blank.join(sole_names(keyed), S.PHONE_NORM, "left")
+    resolved = resolved.withColumn(NAME_KEY, F.coalesce("sole_key", NAME_KEY)).drop("sole_key")
+    return _finish(_attach(named, resolved), keyed)
 
 
 def dedupe_stats(df: DataFrame, phone_col: str = "phone") -> DataFrame:

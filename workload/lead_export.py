@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadbook.runtime import spread, stage
+
 _TEMPLATE = """
 SELECT o_orderkey AS row_ord,
   CASE o_orderkey % 3 WHEN 0 THEN 'Apartment Leads.csv' WHEN 1 THEN 'crm_a.csv' ELSE 'Bungalow Enquiries.csv' END AS source_file,
@@ -62,15 +64,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lead_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Spark form; Catalyst prunes the columns a query does not use."""
+def derive_lead_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Spark form, as a plan over orders, customer and nation."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     text = _TEMPLATE.format(
         iso=SPARK_ISO, dmy=SPARK_DMY, orders="{orders}", customer="{customer}", nation="{nation}"
     )
     return spark.sql(
         text,
-        orders=table(spark, sf_dir, "orders"),
+        orders=spread(table(spark, sf_dir, "orders")),
         customer=table(spark, sf_dir, "customer"),
         nation=table(spark, sf_dir, "nation"),
     )
+
+
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def lead_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived rows as a stored table, as leads are kept; written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = stage(derive_lead_export(spark, sf_dir), "lead_export")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _STORED[key]
