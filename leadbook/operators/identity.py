@@ -51,14 +51,13 @@ def reachable(df: DataFrame, phone_col: str = "phone") -> DataFrame:
 
 def richness(df: DataFrame) -> Column:
     """How many lead fields of the row hold something."""
-    score = F.lit(0)
+    terms = []
     for name in df.columns:
         if name in _MAPS:
-            filled = F.size(F.map_filter(F.col(name), lambda _, v: v.isNotNull()))
-            score = score + F.greatest(filled, F.lit(0))
+            terms.append(f"greatest(size(map_filter(`{name}`, (k, v) -> v IS NOT NULL)), 0)")
         elif name not in _BOOKKEEPING and not name.startswith("__"):
-            score = score + F.col(name).isNotNull().cast("int")
-    return score
+            terms.append(f"int(`{name}` IS NOT NULL)")
+    return F.expr(" + ".join(terms) or "0")
 
 
 def sole_names(keyed: DataFrame) -> DataFrame:
@@ -90,15 +89,16 @@ def _merge_order(df: DataFrame) -> Column:
     return F.when(in_range, packed).otherwise(F.raise_error(F.lit("row_ord outside the merge order range")))
 
 
-def _best(column: Column) -> Column:
+def _best(column: str) -> Column:
     """The value of the best-ranked row that has one, with that rank."""
-    return F.min(F.when(column.isNotNull(), F.struct(F.col(_RANK).alias("rank"), column.alias("value"))))
+    ranked = f"named_struct('rank', {_RANK}, 'value', `{column}`)"
+    return F.expr(f"min(CASE WHEN `{column}` IS NOT NULL THEN {ranked} END)")
 
 
 def _merge_maps(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """The best-ranked value of every map key, as one map per group."""
     entries = rows.select(*keys, _RANK, F.explode(column).alias("field", "value"))
-    best = entries.groupBy(*keys, "field").agg(_best(F.col("value")).alias("best"))
+    best = entries.groupBy(*keys, "field").agg(_best("value").alias("best"))
     kept = best.filter(F.col("best").isNotNull())
     pairs = F.sort_array(F.collect_list(F.struct("field", F.col("best.value").alias("value"))))
     return kept.groupBy(*keys).agg(F.map_from_entries(pairs).alias(column))
@@ -119,7 +119,7 @@ def merge_groups(keyed: DataFrame, keys: list[str]) -> DataFrame:
     aggregates = [
         F.min(_RANK).alias(_RANK),
         F.count(F.lit(1)).alias(S.MERGED_COUNT),
-        *[_best(F.col(c)).alias(c) for c in plain],
+        *[_best(c).alias(c) for c in plain],
     ]
     if S.SOURCE_FILE in keyed.columns:
         aggregates.append(F.collect_set(S.SOURCE_FILE).alias(S.MERGED_SOURCES))
@@ -136,7 +136,7 @@ def _attach(named: DataFrame, nameless: DataFrame) -> DataFrame:
     """Fold merged nameless groups into the named lead they resolve to, keep the rest."""
     keys = [S.PHONE_NORM, NAME_KEY]
     others = [c for c in nameless.columns if c not in keys]
-    renamed = nameless.select(*keys, *[F.col(c).alias(f"__nameless_{c}") for c in others])
+    renamed = nameless.selectExpr(*keys, *[f"`{c}` AS `__nameless_{c}`" for c in others])
     joined = named.join(renamed, keys, "full")
     empty_list, empty_map = F.array().cast("array<string>"), F.create_map().cast(S.STRING_MAP)
     columns = {}
@@ -153,7 +153,7 @@ def _attach(named: DataFrame, nameless: DataFrame) -> DataFrame:
             extra = F.map_filter(F.coalesce(theirs, empty_map), lambda k, _: ~F.map_contains_key(known, k))
             columns[c] = F.map_concat(known, extra)
         else:
-            columns[c] = F.least(mine, theirs)
+            columns[c] = F.expr(f"least(`{c}`, `__nameless_{c}`)")
     return joined.select(*keys, *[value.alias(c) for c, value in columns.items()])
 
 
@@ -168,7 +168,7 @@ def _finish(merged: DataFrame, shape: DataFrame) -> DataFrame:
         elif c in _MAPS:
             lead_columns.append(F.col(c))
         else:
-            lead_columns.append(F.col(c)["value"].alias(c))
+            lead_columns.append(F.expr(f"`{c}`.value AS `{c}`"))
     lineage = [F.col(S.MERGED_COUNT)]
     if S.MERGED_SOURCES in merged.columns:
         lineage.append(F.array_join(F.array_sort(S.MERGED_SOURCES), " · ").alias(S.MERGED_SOURCES))
