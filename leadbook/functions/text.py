@@ -14,7 +14,7 @@ NULL_TOKENS = ("", "nan", "None", "NaT", "-", "NA", "N/A")
 
 # Cell texts the spreadsheet reader itself turns into nulls.
 READER_NULL_TOKENS = (
-    "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 

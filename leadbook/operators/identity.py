@@ -27,6 +27,8 @@ _BOOKKEEPING = {
     S.MERGED_SOURCES, S.MEMBER_FRAMES, NAME_KEY, PHONE_STATUS, RICHNESS, "phone_bucket",
 }
 _MAPS = (S.EXTRAS, S.NOTE_FIELDS)
+# Columns of a stored row that are not merged value by value.
+_DERIVED = _BOOKKEEPING - {S.UPLOAD_ID, S.SOURCE_FILE, S.SOURCE_SHEET}
 
 
 def with_phone_identity(df: DataFrame, phone_col: str = "phone") -> DataFrame:
@@ -46,7 +48,7 @@ def with_phone_identity(df: DataFrame, phone_col: str = "phone") -> DataFrame:
 def reachable(df: DataFrame, phone_col: str = "phone") -> DataFrame:
     """Rows with a valid mobile, keyed; the others cannot be called or matched."""
     keyed = with_phone_identity(df, phone_col)
-    return keyed.filter(F.col(S.PHONE_NORM).isNotNull()).drop(PHONE_STATUS)
+    return keyed.filter(F.col(S.PHONE_NORM).isNotNull())
 
 
 def richness(df: DataFrame) -> Column:
@@ -82,7 +84,7 @@ def name_groups(keyed: DataFrame) -> DataFrame:
     return named.unionByName(resolved)
 
 
-def _merge_order(df: DataFrame) -> Column:
+def _merge_order() -> Column:
     score, order = F.col(RICHNESS).cast("long"), F.col(S.ROW_ORD)
     in_range = order.between(0, (1 << _ORDER_BITS) - 1) & (score <= _MAX_RICHNESS)
     packed = (F.lit(_MAX_RICHNESS) - score) * F.lit(1 << _ORDER_BITS) + order
@@ -110,11 +112,11 @@ def merge_groups(keyed: DataFrame, keys: list[str]) -> DataFrame:
     Each column keeps the value of its best-ranked non-null row together with
     that rank, so merged groups can themselves be merged again exactly.
     """
-    ranked = keyed.withColumn(RICHNESS, richness(keyed)).withColumn(_RANK, _merge_order(keyed))
+    counted = keyed if RICHNESS in keyed.columns else keyed.withColumn(RICHNESS, richness(keyed))
+    ranked = counted.withColumn(_RANK, _merge_order())
     plain = [
         c for c in keyed.columns
-        if c not in keys and c not in (S.ROW_ORD, NAME_KEY, S.PHONE_NORM, *_MAPS, "phone_bucket")
-        and c not in (S.MERGED_COUNT, S.MERGED_SOURCES, S.MEMBER_FRAMES)
+        if c not in keys and c not in _MAPS and c not in _DERIVED
     ]
     aggregates = [
         F.min(_RANK).alias(_RANK),
@@ -161,7 +163,7 @@ def _finish(merged: DataFrame, shape: DataFrame) -> DataFrame:
     """Unwrap ranked values and restore the column order of the input."""
     lead_columns = []
     for c in shape.columns:
-        if c in (S.PHONE_NORM, NAME_KEY, "phone_bucket", S.MERGED_COUNT, S.MERGED_SOURCES, S.MEMBER_FRAMES):
+        if c in _DERIVED - {S.ROW_ORD}:
             continue
         if c == S.ROW_ORD:
             lead_columns.append(F.pmod(F.col(_RANK), F.lit(1 << _ORDER_BITS)).alias(c))
@@ -196,39 +198,47 @@ def merge_leads(df: DataFrame, phone_col: str = "phone") -> DataFrame:
     return _finish(_attach(named, resolved), keyed)
 
 
-def dedupe_stats(df: DataFrame, phone_col: str = "phone") -> DataFrame:
-    """One row: what merging drops, joins and keeps.
+def standardise(df: DataFrame, phone_col: str = "phone") -> DataFrame:
+    """Rows as they are stored for merging: keyed, and with their richness counted."""
+    keyed = with_phone_identity(df, phone_col)
+    return keyed.withColumn(RICHNESS, richness(keyed))
+
+
+def dedupe_stats(df: DataFrame, phone_col: str = "phone", by: tuple[str, ...] = ()) -> DataFrame:
+    """What merging drops, joins and keeps: one row, or one per value of `by`.
 
     Needs only phone, name and file of each row.  Leads present in more than one
     file are counted per phone.
     """
     keyed = with_phone_identity(df, phone_col)
     source = F.col(S.SOURCE_FILE) if S.SOURCE_FILE in df.columns else F.lit(None).cast("string")
-    groups = keyed.groupBy(S.PHONE_NORM, PHONE_STATUS, NAME_KEY).agg(
+    groups = keyed.groupBy(*by, S.PHONE_NORM, PHONE_STATUS, NAME_KEY).agg(
         F.count(F.lit(1)).alias("rows"), F.min(source).alias("first_file"), F.max(source).alias("last_file")
     )
     named = F.count_if(F.col(NAME_KEY) != "")
     nameless = F.count_if(F.col(NAME_KEY) == "")
+    none = F.lit(0).cast("long")
     phones = (
         groups.filter(F.col(PHONE_STATUS) == "valid")
-        .groupBy(S.PHONE_NORM)
+        .groupBy(*by, S.PHONE_NORM)
         .agg(
             F.sum("rows").alias("valid_rows"),
             (named + F.when(named == 1, 0).otherwise(F.least(nameless, F.lit(1)))).alias("leads"),
-            (F.min("first_file") != F.max("last_file")).cast("int").alias("cross"),
+            (F.min("first_file") != F.max("last_file")).cast("long").alias("cross"),
         )
-        .select("valid_rows", "leads", "cross", F.lit(0).alias("invalid"), F.lit(0).alias("missing"))
+        .select(*by, "valid_rows", "leads", "cross", none.alias("invalid"), none.alias("missing"))
     )
-    bad_rows = lambda status: F.when(F.col(PHONE_STATUS) == status, F.col("rows")).otherwise(0)
+    rows_with = lambda status: F.when(F.col(PHONE_STATUS) == status, F.col("rows")).otherwise(0)
     dropped = groups.filter(F.col(PHONE_STATUS) != "valid").select(
-        F.lit(0).alias("valid_rows"), F.lit(0).alias("leads"), F.lit(0).alias("cross"),
-        bad_rows("invalid").alias("invalid"), bad_rows("missing").alias("missing"),
+        *by, none.alias("valid_rows"), none.alias("leads"), none.alias("cross"),
+        rows_with("invalid").alias("invalid"), rows_with("missing").alias("missing"),
     )
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    sums = phones.unionByName(dropped).agg(
-        *[total(c).alias(c) for c in ("valid_rows", "leads", "cross", "invalid", "missing")]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    sums = phones.unionByName(dropped).groupBy(*by).agg(
+        *[total(c) for c in ("valid_rows", "leads", "cross", "invalid", "missing")]
     )
     return sums.select(
+        *by,
         (F.col("valid_rows") + F.col("invalid") + F.col("missing")).alias("input_rows"),
         F.col("invalid").alias("invalid_phone_dropped"),
         F.col("missing").alias("missing_phone_dropped"),
