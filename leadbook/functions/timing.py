@@ -1,9 +1,9 @@
 """Timestamp expressions: mixed-format parsing and clock-time tests.
 
-A cell is read by shape, not by trial: one pattern per way of writing a date puts
-year, month and day in order, one pattern reads the time, and a single calendar
-check turns the numbers into a timestamp or null.  No parser exceptions are
-raised for the many cells that are not dates.
+A cell is rewritten step by step into one form, year first, and parsed once.
+Each step refers to the one before it once, so the expression stays small, and
+only text that has the final form reaches the parser: the many cells that are
+not dates raise no parser errors.
 """
 
 from __future__ import annotations
@@ -13,65 +13,36 @@ from pyspark.sql import functions as F
 
 from leadbook.functions.text import trimmed
 
-# Cell texts the date reader takes as blank.
-DATE_NULL_TOKENS = ("", "-", "nan", "None", "NA", "N/A")
-
-# Month names, located by their first three letters.
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH = (
     "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
     "(?:uary|ruary|ch|il|e|y|ust|tember|t|ober|ember)?"
 )
 
-# Ways of writing a date, each with the order that gives year, month, day.
-# Numbers with the year last are read day first.
-_ISO = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
-_DAY_FIRST = r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})"
-_DAY_NAME = rf"(\d{{1,2}})[- ]{_MONTH}[-, ]{{1,2}}(\d{{4}}|\d{{2}})"
-_NAME_DAY = rf"{_MONTH} (\d{{1,2}}),? (\d{{4}})"
-_DATE_SHAPES = ((_ISO, "$1,$2,$3"), (_DAY_FIRST, "$3,$2,$1"), (_DAY_NAME, "$3,$2,$1"), (_NAME_DAY, "$3,$1,$2"))
-
-# The separators cover `2026-07-05 - 19:47`, `05 Jul 2026, 07:47 PM` and ISO forms.
-_TIME = r"(?: - |, | |T)(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?(?: ?([ap]m))?"
-
-CENTURY_PIVOT = 69  # a two-digit year of 69 or more belongs to the last century
-
-
-def _number(text: Column) -> Column:
-    return text.try_cast("int")
+# How dates are written.  Numbers with the year last are day first,
+# and a two-digit year of 69 or more belongs to the last century.
+_STEPS: tuple[tuple[str, str], ...] = (
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?!\d)", "$1-$2-$3"),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)", "$3-$2-$1"),
+    (rf"(?i)^(\d{{1,2}})[- ]{_MONTH}[-, ]{{1,2}}(\d{{4}}|\d{{2}})(?!\d)", "$3-$2-$1"),
+    (rf"(?i)^{_MONTH} (\d{{1,2}}),? (\d{{4}})(?!\d)", "$3-$1-$2"),
+    (r"^(69|[7-9]\d)-", "19$1-"),
+    (r"^(\d{2})-", "20$1-"),
+    # A month beyond 12 means the cell was month first after all.
+    (r"^(\d{4})-(1[3-9]|2\d|3[01])-(0?[1-9]|1[0-2])(?!\d)", "$1-$3-$2"),
+    # Separators between date and time: ` - `, `, `, `T` or a blank.
+    (r"^(\d{4}-[^ ,T]+)(?: - |, | |T)(?=\d)", "$1 "),
+    (r"(?i)(\d) ?([ap]m)$", "$1 $2"),
+)
+_READY = r"(?i)^\d{4}-(?:\d{1,2}|[a-z]{3})-\d{1,2}(?: \d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,6})?)?(?: [ap]m)?)?$"
+_PATTERN = "yyyy-[M][MMM]-d[ h:m[:s][.SSSSSS] a][ H:m[:s][.SSSSSS]]"
 
 
 def parse_timestamp(c: Column) -> Column:
     """A mixed-format date cell as a timestamp, null when no format fits."""
-    stripped = trimmed(c)
-    text = F.when(~stripped.isin(*DATE_NULL_TOKENS), stripped)
-
-    ordered = None
-    for shape, order in _DATE_SHAPES:
-        whole = f"(?i)^{shape}(?:{_TIME})?$"
-        found = F.regexp_replace(text, whole, order)
-        ordered = F.when(text.rlike(whole), found) if ordered is None else ordered.when(text.rlike(whole), found)
-
-    parts = F.split(F.lower(ordered), ",")
-    year, month, day = (F.get(parts, F.lit(i)) for i in range(3))
-    y, d = _number(year), _number(day)
-    full_year = F.when(F.length(year) > 2, y).when(y >= CENTURY_PIVOT, y + 1900).otherwise(y + 2000)
-    by_name = ((F.position(F.substring(month, 1, 3), F.lit(MONTHS)) + 2) / 3).cast("int")
-    m = F.coalesce(_number(month), by_name)
-    # 05/13/2024 cannot be day first, so the two swap.
-    swap = (m > 12) & (d <= 12)
-    month_number, day_number = F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d)
-
-    time = f"(?i){_TIME}$"
-    hour, minute, second, half = (F.regexp_extract(text, time, i) for i in range(1, 5))
-    h = F.coalesce(_number(hour), F.lit(0))
-    afternoon, twelve_hour = F.lower(half) == "pm", half != ""
-    clock = F.when(twelve_hour & ~h.between(1, 12), F.lit(None).cast("int"))
-    clock = clock.when(twelve_hour, h % 12 + F.when(afternoon, 12).otherwise(0)).otherwise(h)
-    seconds = F.coalesce(second.try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
-    return F.try_make_timestamp(
-        full_year, month_number, day_number, clock, F.coalesce(_number(minute), F.lit(0)), seconds
-    )
+    text = trimmed(c)
+    for shape, order in _STEPS:
+        text = F.regexp_replace(text, shape, order)
+    return F.when(text.rlike(_READY), F.try_to_timestamp(text, F.lit(_PATTERN)))
 
 
 def has_clock_time(stamp: Column) -> Column:

@@ -26,36 +26,39 @@ def _offered(name: str) -> bool:
     return name not in skipped and not name.startswith("Unnamed:")
 
 
+def _cells(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value) of every cell of the given columns."""
+    pairs = F.array(
+        *[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields]
+    )
+    return df.select(F.explode(pairs).alias("cell")).select("cell.field", "cell.value")
+
+
+def _value_counts(cells: DataFrame) -> DataFrame:
+    cleaned = cells.withColumn("value", clean(F.col("value"))).filter(F.col("value").isNotNull())
+    return cleaned.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _provably_many(df: DataFrame, fields: list[str]) -> set[str]:
     """Fields with too many values already among some of the rows.
 
     Distinct values of a part are a lower bound for the whole, so leaving these
     out is exact, and their values are never shuffled for the full frame.
     """
-    if not fields:
-        return set()
-    counts = [F.count_distinct(clean(F.col(f"`{f}`").cast("string"))).alias(f) for f in fields]
-    seen = df.limit(_PROBE_ROWS).agg(*counts).first()
-    return {f for f in fields if seen[f] > MAX_DISTINCT_VALUES}
+    seen = _value_counts(_cells(df.limit(_PROBE_ROWS), fields)).groupBy("field").agg(F.count(F.lit(1)).alias("k"))
+    return {r["field"] for r in seen.filter(F.col("k") > MAX_DISTINCT_VALUES).collect()}
 
 
 def field_values(prepared: DataFrame) -> DataFrame:
     """(field, value, n) of every offered field with at most 300 distinct values."""
     offered = [c for c in prepared.columns if _offered(c)]
     fields = [f for f in offered if f not in _provably_many(prepared, offered)]
-    cells = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields]
-    )
+    cells = _cells(prepared, fields)
     for column in (S.NOTE_FIELDS, S.EXTRAS):
         if column in prepared.columns:
-            entries = F.transform(
-                F.map_entries(column), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value"))
-            )
-            cells = F.concat(cells, F.coalesce(entries, F.array().cast("array<struct<field:string,value:string>>")))
-    long = prepared.select(F.explode(cells).alias("cell")).select("cell.field", clean(F.col("cell.value")).alias("value"))
-    offered_rows = long.filter(F.col("value").isNotNull() & ~F.col("field").startswith("Unnamed:"))
-    offered_rows = offered_rows.filter(~F.col("field").isin(*UNGROUPABLE_FIELDS))
-    counts = offered_rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+            entries = prepared.select(F.explode(column).alias("field", "value"))
+            cells = cells.unionByName(entries.filter(~F.col("field").startswith("Unnamed:")))
+    counts = _value_counts(cells.filter(~F.col("field").isin(*UNGROUPABLE_FIELDS)))
     small = counts.groupBy("field").agg(F.count(F.lit(1)).alias("distinct_values"))
     small = small.filter(F.col("distinct_values") <= MAX_DISTINCT_VALUES)
     return counts.join(small, "field").select("field", "value", "n")
