@@ -52,7 +52,8 @@ def _provably_many(df: DataFrame, fields: list[str]) -> set[str]:
 def field_values(prepared: DataFrame) -> DataFrame:
     """(field, value, n) of every offered field with at most 300 distinct values."""
     offered = [c for c in prepared.columns if _offered(c)]
-    fields = [f for f in offered if f not in _provably_many(prepared, offered)]
+    many = _provably_many(prepared, offered)
+    fields = [f for f in offered if f not in many]
     cells = _cells(prepared, fields)
     for column in (S.NOTE_FIELDS, S.EXTRAS):
         if column in prepared.columns:
