@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # Cell texts that mean "nothing recorded", compared case-sensitively.
 NULL_TOKENS = ("", "nan", "None", "NaT", "-", "NA", "N/A")
 
+_NULL_TOKEN_ARRAY = "array(" + ", ".join(f"'{t}'" for t in NULL_TOKENS) + ")"
+
 # Cell texts the spreadsheet reader itself turns into nulls.
 READER_NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -30,7 +32,7 @@ def trimmed(c: Column) -> Column:
 def clean(c: Column) -> Column:
     """The stripped text, or null when it is one of the null tokens."""
     text = trimmed(c)
-    return F.when(~text.isin(*NULL_TOKENS), text)
+    return F.when(~F.array_contains(F.expr(_NULL_TOKEN_ARRAY), text), text)
 
 
 def present(c: Column) -> Column:
@@ -57,7 +59,8 @@ def _code_page_char(byte: int) -> str:
 
 _HIGH_CHARS = [_code_page_char(b) for b in range(0x80, 0x100)]
 _MOVED = [(c, chr(b)) for b, c in enumerate(_HIGH_CHARS, start=0x80) if c != chr(b)]
-_SUSPECT_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in _HIGH_CHARS) + "]"
+# The upper half of Latin-1 is one range; the rest are single characters.
+_SUSPECT_CLASS = "[\\xA0-\\xFF" + "".join(f"\\x{{{ord(c):X}}}" for c in _HIGH_CHARS[:0x20]) + "]"
 SUSPECT_RUN = f"{_SUSPECT_CLASS}{{2,}}"
 
 

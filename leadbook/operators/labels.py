@@ -13,7 +13,7 @@ from leadbook.functions.labels import (
 )
 from leadbook.functions.money import budget_band, parse_budget
 from leadbook.functions.text import clean
-from leadbook.runtime import salted_left_join, small_copy
+from leadbook.runtime import salted_left_join, small_copy, stage
 
 # Hand-typed fields whose casing drifts.
 CASE_FOLDED_FIELDS = (
@@ -57,7 +57,7 @@ def fold_case(df: DataFrame, fields: tuple[str, ...] = CASE_FOLDED_FIELDS, order
     here = tuple(f for f in fields if f in df.columns)
     if not here:
         return df
-    variants = case_variants(df, here)
+    variants = stage(case_variants(df, here), "case_variants")
     local = small_copy(variants)
     out = df.withColumns({f: clean(F.col(f)) for f in here})
     # A dictionary proven small also tells which fields need no lookup at all.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leadbook import schema as S
 from leadbook.functions.text import deslug, fold_key, trimmed
 from leadbook.operators.sheets import SHEET_KEYS
-from leadbook.runtime import lookup_join
+from leadbook.runtime import lookup_join, stage
 
 # How a labelled line looks, and which labels read like labels.
 _BREAK = r"(?:_x000D_|\r|\n)"
@@ -83,7 +83,7 @@ def with_note_text(df: DataFrame, name: str = "__note") -> DataFrame:
     here = [c for c in TEXT_COLUMNS if c in df.columns]
     if len(here) < 2:
         return df.withColumn(name, F.col(here[0]) if here else F.lit(None).cast("string"))
-    picked = lookup_join(df, text_column(df), list(SHEET_KEYS), S.ROW_ORD)
+    picked = lookup_join(df, stage(text_column(df), "text_columns"), list(SHEET_KEYS), S.ROW_ORD)
     text = F.coalesce(*[F.when(F.col("text_column") == c, F.col(c)) for c in here])
     return picked.withColumn(name, text).drop("text_column")
 
@@ -168,7 +168,7 @@ def lift_notes(df: DataFrame, proposals: dict[str, str] | None = None) -> DataFr
 
 def _attach_kept(rows: DataFrame, per_sheet: DataFrame) -> DataFrame:
     """The kept labels of each row's sheet, by a size-checked lookup on text."""
-    as_text = per_sheet.withColumn("__kept", F.to_json("__kept"))
+    as_text = stage(per_sheet.withColumn("__kept", F.to_json("__kept")), "kept_labels")
     joined = lookup_join(rows, as_text, list(SHEET_KEYS), S.ROW_ORD)
     return joined.withColumn("__kept", F.from_json("__kept", S.STRING_MAP))
 

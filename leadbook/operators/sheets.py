@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadbook import schema as S
 from leadbook.functions.text import trimmed
-from leadbook.runtime import lookup_join
+from leadbook.runtime import lookup_join, stage
 
 # Property types with the words that name them, in matching order.
 PROPERTY_TYPES = {
@@ -104,6 +104,6 @@ def check_selection(selected: DataFrame) -> DataFrame:
 
 def keep_chosen(rows: DataFrame, selected: DataFrame) -> DataFrame:
     """Rows of the selected sheets, tagged with their property type."""
-    table = selected.select(*SHEET_KEYS, F.col("property_type").alias("__type"))
+    table = stage(selected.select(*SHEET_KEYS, F.col("property_type").alias("__type")), "selected_sheets")
     tagged = lookup_join(rows.drop(S.PROPERTY_TYPE), table, list(SHEET_KEYS), S.ROW_ORD)
     return tagged.filter(F.col("__type").isNotNull()).withColumnRenamed("__type", S.PROPERTY_TYPE)

@@ -20,6 +20,7 @@ TRACKED_FIELDS = (
 CALL_LIST_SIZE = 20
 REMARK_SAMPLE = 40
 REMARK_CHARS = 120
+IS_HWC, IS_QUALITY = "is_hwc", "is_quality"
 HWC_LABELS = ("HWC-marked", "Not marked")
 
 
@@ -29,13 +30,22 @@ def column_or_null(df: DataFrame, name: str) -> Column:
 
 
 def is_hwc(df: DataFrame) -> Column:
+    if IS_HWC in df.columns:
+        return F.col(IS_HWC)
     return hwc_flag(column_or_null(df, "hwc"), column_or_null(df, "client_status"))
 
 
 def is_quality(df: DataFrame) -> Column:
+    if IS_QUALITY in df.columns:
+        return F.col(IS_QUALITY)
     return quality_flag(*[F.col(f) for f in QUALITY_FIELDS if f in df.columns])
 
 
+def with_flags(df: DataFrame) -> DataFrame:
+    """Both flags as columns, so that no section works them out again."""
+    return df.withColumns({IS_HWC: is_hwc(df), IS_QUALITY: is_quality(df)})
+
+
 def hwc_label(df: DataFrame) -> Column:
     return F.when(is_hwc(df), HWC_LABELS[0]).otherwise(HWC_LABELS[1])
 

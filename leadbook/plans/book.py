@@ -62,8 +62,8 @@ def stored_rows(rows: DataFrame) -> DataFrame:
 
 
 def build_lead_book(rows: DataFrame) -> DataFrame:
-    """Unique leads of these rows, from stored keyed rows."""
-    return merge_leads(stored_rows(rows))
+    """Unique leads of these rows, stored: every later step reads them more than once."""
+    return stage(merge_leads(stored_rows(rows)), "lead_book")
 
 
 def combined_pool(uploads: DataFrame) -> DataFrame:

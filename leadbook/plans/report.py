@@ -121,7 +121,7 @@ def full_report(prepared: DataFrame, rules: list[dict] | None = None, staged: bo
     """
     frame = classify(prepared, rules) if rules else prepared
     keep = (lambda df, label: stage(df, label)) if staged else (lambda df, label: df)
-    frame = keep(frame, "report_frame")
+    frame = keep(summaries.with_flags(frame), "report_frame")
     counts = keep(report_counts(frame), "report_counts")
     cells = keep(report_cells(frame), "report_cells")
     budgets = keep(summaries.budget_counts(frame), "report_budgets")

@@ -30,8 +30,18 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/leadbook/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/leadbook/{label}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> bool:
+    """Delete everything this session has staged; nothing staged may be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -77,7 +87,8 @@ def small_copy(table: DataFrame) -> DataFrame | None:
 def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], salt_by: str) -> DataFrame:
     """Left join `rows` to a lookup with at most one row per key.
 
-    A lookup proven small is broadcast.  A larger one is shuffled, with the rows
+    A lookup derived from a large scan should be staged first, because its size is
+    checked before it is used.  One proven small is broadcast.  A larger one is shuffled, with the rows
     salted and the lookup repeated once per salt, so that one key (or the null
     key) holding a third of the rows is spread over LOOKUP_SALTS tasks.
     """

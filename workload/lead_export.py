@@ -61,7 +61,7 @@ def duck_lead_export() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def derive_lead_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def derive_lead_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return spark.sql(
         text,
-        orders=spread(table(spark, sf_dir, "orders")),
+        orders=table(spark, sf_dir, "orders"),
         customer=table(spark, sf_dir, "customer"),
         nation=table(spark, sf_dir, "nation"),
     )

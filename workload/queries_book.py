@@ -488,7 +488,7 @@ def row_richness(spark, sf_dir):
 )
 def leads_merged(spark, sf_dir):
     """Raw rows to unique leads: keyed, stored, merged."""
-    return plan.build_lead_book(lead_export(spark, sf_dir))
+    return ident.merge_leads(plan.stored_rows(lead_export(spark, sf_dir)))
 
 
 @query(
