@@ -37,7 +37,8 @@ def clean(c: Column) -> Column:
 
 def present(c: Column) -> Column:
     """The stripped text, or null when nothing is left of it."""
-    return F.nullif(trimmed(c), F.lit(""))
+    text = trimmed(c)
+    return F.when(text != "", text)
 
 
 def fold_key(c: Column) -> Column:
