@@ -152,18 +152,32 @@ def lift_notes(df: DataFrame, proposals: dict[str, str] | None = None) -> DataFr
     )
     rows = _attach_kept(texted.withColumn("__pairs", note_pairs(F.col("__note"))), per_sheet)
 
+    # Answers are made readable once per line, before the fields pick theirs.
+    known = sorted({slug for slugs in by_field.values() for slug in slugs})
+    lifted = F.transform(
+        F.filter(
+            F.col("__pairs"),
+            lambda p: p["slug"].isin(*known) | F.coalesce(F.map_contains_key(F.col("__kept"), p["slug"]), F.lit(False)),
+        ),
+        lambda p: F.struct(
+            p["slug"].alias("slug"),
+            F.try_element_at(F.col("__kept"), p["slug"]).alias("own"),
+            deslug(p["value"]).alias("value"),
+        ),
+    )
+    rows = rows.withColumn("__lifted", lifted)
     fills = {}
     for field, slugs in by_field.items():
-        lifted = deslug(_first_value(F.col("__pairs"), slugs))
-        fills[field] = F.coalesce(F.col(field), lifted) if field in df.columns else lifted
-    kept = F.filter(F.col("__pairs"), lambda p: F.map_contains_key(F.col("__kept"), p["slug"]))
-    slugs = F.array_distinct(F.transform(kept, lambda p: p["slug"]))
+        answer = _first_value(F.col("__lifted"), slugs)
+        fills[field] = F.coalesce(F.col(field), answer) if field in df.columns else answer
+    own_lines = F.filter(F.col("__lifted"), lambda p: p["own"].isNotNull())
+    names = F.array_distinct(F.transform(own_lines, lambda p: p["own"]))
     entries = F.map_from_arrays(
-        F.transform(slugs, lambda s: F.concat(F.lit(S.NOTE_PREFIX), F.element_at(F.col("__kept"), s))),
-        F.transform(slugs, lambda s: deslug(F.get(F.filter(kept, lambda p: p["slug"] == s), F.lit(0))["value"])),
+        F.transform(names, lambda n: F.concat(F.lit(S.NOTE_PREFIX), n)),
+        F.transform(names, lambda n: F.get(F.filter(own_lines, lambda p: p["own"] == n), F.lit(0))["value"]),
     )
-    fills[S.NOTE_FIELDS] = F.when(F.size(slugs) > 0, entries)
-    return rows.withColumns(fills).drop("__note", "__pairs", "__kept")
+    fills[S.NOTE_FIELDS] = F.when(F.size(names) > 0, entries)
+    return rows.withColumns(fills).drop("__note", "__pairs", "__kept", "__lifted")
 
 
 def _attach_kept(rows: DataFrame, per_sheet: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def read_draft(spark: SparkSession, paths: list[str] | str, mappings: dict[str,
     """Read files, split sheets by campaign, and describe every virtual sheet."""
     rows, matches = read_exports(spark, paths, mappings)
     split = with_virtual_sheets(rows)
-    return Draft(split, sheet_catalogue(split, matches))
+    return Draft(split, stage(sheet_catalogue(split, matches), "catalogue"))
 
 
 def detected_choices(catalogue: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def detected_choices(catalogue: DataFrame) -> DataFrame:
 
 def confirm(draft: Draft, choices: DataFrame, note_proposals: dict[str, str] | None = None) -> DataFrame:
     """Lead rows of the chosen sheets: typed, notes lifted, canonical, with a project."""
-    selected = check_selection(chosen_sheets(draft.catalogue, choices))
+    selected = check_selection(stage(chosen_sheets(draft.catalogue, choices), "selected_sheets"))
     rows = keep_chosen(draft.rows, selected)
     lifted = lift_notes(rows, note_proposals)
     return with_project(ensure_canonical(lifted))
