@@ -64,7 +64,7 @@ def test_selection_errors(spark):
 
 
 NOTE = (
-    "Campaign: bungalow general_x000D_Full Name: Hemal Gohil\nCity: Ahmedabad\r\nWhat Is Your Budget?: inr_4_cr_to_6_cr\n"
+    "Campaign: bungalow general_x000D_Full Name: Asha Rao\nCity: Surat\r\nWhat Is Your Budget?: inr_4_cr_to_6_cr\n"
     "Are You Ready (Rs 5L)?: yes,_i_can\ncalled 3 times: no answer"
 )
 
@@ -73,7 +73,7 @@ def test_note_pairs(spark):
     df = spark.createDataFrame([(NOTE,), ("no labels here",), (None,)], "t string")
     pairs = [r[0] for r in df.select(notes.note_pairs(F.col("t"))).collect()]
     assert [(p["slug"], p["value"]) for p in pairs[0]] == [
-        ("campaign", "bungalow general"), ("fullname", "Hemal Gohil"), ("city", "Ahmedabad"),
+        ("campaign", "bungalow general"), ("fullname", "Asha Rao"), ("city", "Surat"),
         ("whatisyourbudget", "inr_4_cr_to_6_cr"), ("areyoureadyrs5l", "yes,_i_can"), ("called3times", "no answer"),
     ]
     assert not pairs[1] and not pairs[2]
