@@ -13,7 +13,7 @@ from leadbook.functions.labels import (
 )
 from leadbook.functions.money import budget_band, parse_budget
 from leadbook.functions.text import clean
-from leadbook.runtime import salted_left_join, small_copy, stage
+from leadbook.runtime import lookup_join, small_copy, stage
 
 # Hand-typed fields whose casing drifts.
 CASE_FOLDED_FIELDS = (
@@ -68,7 +68,8 @@ def fold_case(df: DataFrame, fields: tuple[str, ...] = CASE_FOLDED_FIELDS, order
         source = variants if local is None else local
         entries = source.filter(F.col("field") == field).select(F.col("value").alias(field), "canonical")
         if local is None:
-            out = salted_left_join(out, entries, [field], order_col)
+            # Too many spellings over all fields; each field is still checked on its own.
+            out = lookup_join(out, entries, [field], order_col)
         else:
             out = out.join(F.broadcast(entries), [field], "left")
         out = out.withColumn(field, F.coalesce("canonical", field)).drop("canonical")

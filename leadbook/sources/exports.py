@@ -50,6 +50,15 @@ def file_name(path):
     return F.element_at(F.split(decoded_path(path), "/"), -1)
 
 
+def _header_cells(spark: SparkSession, layout) -> list[str | None]:
+    """The cells of a header line; a cell with a line break needs the file's first record."""
+    if layout["header"].count('"') % 2 == 0:
+        return next(csv.reader(io.StringIO(layout["header"])))
+    encoding = "UTF-8" if layout["utf8"] else "ISO-8859-1"
+    records = spark.read.option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(layout["plain"])
+    return list(records.select(*[repair_encoding(F.col(c)) for c in records.columns]).first())
+
+
 def _read_layout(spark: SparkSession, paths: list[str], utf8: bool, names: list[str], multiline: bool) -> DataFrame:
     """All files of one header layout, in canonical columns plus `extras`."""
     positional = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
@@ -114,7 +123,7 @@ def read_exports(
         {"file": repair_encoding(file_name(F.col("path"))), "plain": decoded_path(F.col("path"))}
     )
     for row in listed.collect():
-        headers = sheet_headers(next(csv.reader(io.StringIO(row["header"]))))
+        headers = sheet_headers(_header_cells(spark, row))
         mapping = (mappings or {}).get(row["file"], {})
         names = canonical_names([mapping.get(h, h) for h in headers])
         layouts.setdefault((row["utf8"], tuple(names)), []).append(row["plain"])

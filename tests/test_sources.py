@@ -18,6 +18,7 @@ def test_csv_dirt(spark, tmp_path):
     put(folder, "café.csv", "Full Name,Mobile,City,Email\nJosé,9824039893,São,a@b.c\n", "latin-1")
     put(folder, "bom.csv", "﻿Name,Phone\r\nA â‚¹80,1\r\nB,2\r\n")
     put(folder, "empty.csv", "\n\n")
+    put(folder, "broken header.csv", "Name,Phone,\"Budget\nRange\",City\nMulti,9824039894,\"3 Cr, or\nmore\",Pune\n")
     rows, matches = exports.read_exports(spark, str(folder))
     got = {r["row_ord"]: r for r in rows.collect()}
     assert sorted(got) == list(range(len(got)))
@@ -27,7 +28,8 @@ def test_csv_dirt(spark, tmp_path):
     assert amit["extras"] == {"Unnamed: 3": "x", "Odd": "o"}
     assert amit["source_file"] == "Flat Leads.csv"
     assert by_name["José"]["current_city"] == "São" and by_name["José"]["source_file"] == "café.csv"
-    assert "A ₹80" in by_name and len(got) == 4
+    assert (by_name["Multi"]["budget"], by_name["Multi"]["current_city"]) == ("3 Cr, or\nmore", "Pune")
+    assert "A ₹80" in by_name and len(got) == 5
     assert {r[0]: r[1] for r in matches.collect()}["Flat Leads.csv"] == 5
 
 
