@@ -551,14 +551,22 @@ def old_frames_back_filled(spark, sf_dir):
 
 # ── streaming ────────────────────────────────────────────────────────────────
 
-@query("ST1")
+@query(
+    "ST1",
+    oracle(
+        "SELECT 'Mixed / Other' AS property_type, count(*) AS rows, count(*) FILTER (WHERE budget IS NOT NULL OR row_ord % 4 = 0) AS budgets,"
+        " count(*) FILTER (WHERE current_city IS NOT NULL OR row_ord % 4 = 0) AS cities, count(qualitative_remarks) AS remarks FROM leads",
+        "leads",
+    ),
+)
 def files_taken_in(spark, sf_dir):
     """Differently headed files arriving in a folder become stored uploads."""
     folder, root = _write_csv_sets(spark, sf_dir), scratch_path(spark, "intake")
     intake_stream(spark, folder, root, scratch_path(spark, "intake_checkpoint")).awaitTermination()
     stored = lead_table.read_uploads(spark, root)
-    return stored.groupBy("upload_id", "property_type").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("budget").alias("budgets"), F.count("current_city").alias("cities")
+    return stored.groupBy("property_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("budget").alias("budgets"), F.count("current_city").alias("cities"),
+        F.count("qualitative_remarks").alias("remarks"),
     )
 
 
