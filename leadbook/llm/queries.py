@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leadbook.llm.embeddings import near_duplicates
+from leadbook.llm.fingerprints import edited_fingerprints
+from leadbook.llm.jaccard import similarity_groups
+from leadbook.llm.language import predict_documents
 from leadbook.llm.packing import pack_documents
 from leadbook.llm.token_files import read_token_files, write_token_files
 
@@ -29,6 +34,56 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+@query
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by three-word shingle sets of Jaccard similarity 0.9 or more."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
+    groups = similarity_groups(docs, words=3, num=90, den=100)
+    return groups.select("doc_id", "n_shingles", F.col("lead_id").alias("component_id"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, with every fourth held out."""
+    return predict_documents(documents(spark, sf_dir))
+
+
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.9 or more."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
+ORACLES["op9_embedding_near_dedup"] = """
+WITH RECURSIVE
+good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.vec_id, pairs.b FROM reach JOIN pairs ON reach.other = pairs.a
+),
+lead AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
+SELECT lead.vec_id, coalesce(n.n, 0) AS n_links, component_id, lead.vec_id = component_id AS kept
+FROM lead LEFT JOIN n ON lead.vec_id = n.vec_id
+"""
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from token files: word-level ids, then id 2."""
