@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from leadbook.llm.embeddings import near_duplicates
 from leadbook.llm.fingerprints import edited_fingerprints
+from leadbook.llm.html_content import extract_pages
 from leadbook.llm.jaccard import similarity_groups
 from leadbook.llm.language import predict_documents
+from leadbook.llm.lines import dedup_lines
 from leadbook.llm.packing import pack_documents
 from leadbook.llm.token_files import read_token_files, write_token_files
 
@@ -34,6 +36,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the runs of lines that an earlier document has."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
+    return dedup_lines(docs).select("doc_id", "text", "n_deleted")
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
