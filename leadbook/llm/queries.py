@@ -14,6 +14,7 @@ from leadbook.llm.html_content import extract_pages
 from leadbook.llm.jaccard import similarity_groups
 from leadbook.llm.language import predict_documents
 from leadbook.llm.lines import dedup_lines
+from leadbook.llm.ngram_model import score_documents
 from leadbook.llm.packing import pack_documents
 from leadbook.llm.token_files import read_token_files, write_token_files
 
@@ -63,6 +64,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", F.col("lead_id").alias("component_id"))
 
 
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, with every tenth held out."""
+    return score_documents(documents(spark, sf_dir))
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, with every fourth held out."""
