@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(texts, doomed):
-        return texts.combine(doomed, lambda t, d: t if d is None else without_lines(t, d.tolist()))
+        return texts.combine(doomed, lambda t, d: t if d is None else without_lines(t, list(d)))
 
     joined = docs.withColumnRenamed("uid", "__uid").join(
         line_deletions(docs, block_words).select(F.col("uid").alias("__uid"), F.col("doomed").alias("__doomed")), "__uid", "left"

@@ -16,6 +16,7 @@ from leadbook.llm.language import predict_documents
 from leadbook.llm.lines import dedup_lines
 from leadbook.llm.ngram_model import score_documents
 from leadbook.llm.packing import pack_documents
+from leadbook.llm.sentencepiece_scan import decode_documents, encode_documents
 from leadbook.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_deleted")
 
 
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids of every whole text, and the text decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
+    coded = encode_documents(docs, model, carry=("doc_id",))
+    return decode_documents(coded, model).select("doc_id", "ids", "text")
+
+
 @query
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
