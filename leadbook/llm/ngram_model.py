@@ -21,11 +21,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadbook.llm.key_blocks import by_part, pack, pack_keys, unpack, unpack_keys
 from leadbook.llm.language import crc_of_id
 from leadbook.runtime import stage
 
@@ -59,25 +59,6 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
-
-
-def _unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences with equal bytes side by side, whose leading zeros compress."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return _pack(gaps.view(np.uint8).reshape(-1, 8).T)
-
-
-def _unpack_keys(data: bytes) -> np.ndarray:
-    flat = _unpack(data, "u1")
-    return np.cumsum(np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
-
-
 # --- chunks -----------------------------------------------------------------------
 
 
@@ -136,14 +117,9 @@ class Chunk:
         return before
 
     def pairs(self, counts: np.ndarray):
-        """Per token: its pair's count where the chunk alone tells it (0 or 1), else -1; and the pair's key.
-
-        A pair with a word unseen in training is unseen, and one in a training text with a
-        word seen once is that one use.
-        """
+        """Per token: 0 where its pair has a word unseen in training and is so itself, else -1; the pair's key; its context."""
         before = self.contexts()
-        rare = np.minimum(counts[before], counts[self.at])
-        known = np.where(rare == 0, 0, np.where(self.trained & (rare == 1), 1, -1))
+        known = np.where(np.minimum(counts[before], counts[self.at]) == 0, 0, -1)
         first = self.words[before].copy()
         first[self.starts] = _START
         return known, pair_keys(first, self.tokens), before
@@ -154,19 +130,11 @@ def bucket_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(counts.astype(np.float64))[1], BUCKETS - 1).astype(np.uint8)
 
 
-def _by_part(keys: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
-    """Indexes of sorted keys by owning part, in order of part."""
-    part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    return [(int(part[ix[0]]), ix) for ix in np.split(order, cuts) if len(ix)]
-
-
 def _asked(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: np.ndarray | None, parts: int) -> list[tuple]:
     out = []
-    for part, ix in _by_part(keys, parts):
-        classes = _pack(buckets[ix]) if buckets is not None else b""
-        out.append((part, chunk, _pack_keys(keys[ix]), _pack(counts[ix].astype("<u4")), classes))
+    for part, ix in by_part(keys, parts):
+        classes = pack(buckets[ix]) if buckets is not None else b""
+        out.append((part, chunk, pack_keys(keys[ix]), pack(counts[ix].astype("<u4")), classes))
     return out
 
 
@@ -184,8 +152,8 @@ def _totals(chunk: int, kind: int, keys: np.ndarray, answers: pd.DataFrame, part
     """The answered totals in the order of `keys`."""
     own = answers[answers["kind"] == kind].set_index("part")["totals"]
     out = np.zeros(len(keys), np.int64)
-    for part, ix in _by_part(keys, parts):
-        out[ix] = _unpack(own[part], "<u4")
+    for part, ix in by_part(keys, parts):
+        out[ix] = unpack(own[part], "<u4")
     return out
 
 
@@ -200,8 +168,6 @@ def _ask_pairs(parts: int):
             sent, first, at = np.unique(keys[known < 0], return_index=True, return_inverse=True)
             used = np.bincount(at[own.trained[known < 0]], minlength=len(sent))
             rows += _asked(chunk, sent, used, classes[known < 0][first], parts)
-            alone = np.bincount(classes[known == 1], minlength=BUCKETS)  # used once, told by the chunk
-            rows.append((-1, chunk, b"", _pack(alone.astype("<u8")), b""))
         return pd.DataFrame(rows, columns=["part", "chunk", "keys", "counts", "buckets"])
 
     return run
@@ -212,23 +178,20 @@ def _answer(kind: int):
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         part = int(group["part"].iloc[0])
-        if part < 0:
-            alone = sum(_unpack(c, "<u8") for c in group["counts"])
-            return pd.DataFrame([(STATS, part, -1, np.stack([alone, alone]).astype("<u8").tobytes())], columns=["kind", "part", "chunk", "totals"])
-        keys = [_unpack_keys(k) for k in group["keys"]]
+        keys = [unpack_keys(k) for k in group["keys"]]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([_unpack(c, "<u4") for c in group["counts"]])
+        counts = np.concatenate([unpack(c, "<u4") for c in group["counts"]])
         totals = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
         if kind == WORD:
             stats = np.array([totals.sum(), (totals > 0).sum(), (totals == 1).sum()])
         else:
             classes = np.zeros(len(distinct), np.uint8)
-            classes[at] = np.concatenate([_unpack(b, "u1") for b in group["buckets"]])
+            classes[at] = np.concatenate([unpack(b, "u1") for b in group["buckets"]])
             uses = np.bincount(classes, weights=totals, minlength=BUCKETS)
             once = np.bincount(classes[totals == 1], minlength=BUCKETS)
             stats = np.stack([uses, once])
-        rows = [(kind, part, chunk, _pack(totals[ix].astype("<u4"))) for chunk, ix in zip(group["chunk"], np.split(at, cuts))]
+        rows = [(kind, part, chunk, pack(totals[ix].astype("<u4"))) for chunk, ix in zip(group["chunk"], np.split(at, cuts))]
         rows.append((STATS, part, -1, stats.astype("<u8").tobytes()))
         return pd.DataFrame(rows, columns=["kind", "part", "chunk", "totals"])
 
