@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from leadbook.llm.dom import Page, blocks_of, parse
 from leadbook.llm.labelled_pages import PAGES
 
-TRAINING_ROUNDS = 300
+TRAINING_ROUNDS = 600
 LEARNING_RATE = 0.5
-SHRINK = 0.002
+SHRINK = 0.001
 
 # Words of class, id and role that sites use.
 NAMES = {
@@ -32,7 +32,7 @@ NAMES = {
     "head": "header masthead topbar logo",
     "ad": "ad ads advert advertisement advertising sponsor sponsored promo banner",
     "notice": "cookie cookies consent notice alert gdpr privacy popup modal overlay dialog paywall",
-    "comment": "comment comments reply replies discussion disqus respond",
+    "comment": "comment comments reply replies discussion disqus respond response responses",
     "share": "share sharing social follow tweet facebook",
     "form": "form login signup subscribe subscription newsletter search contact",
 }
@@ -78,6 +78,7 @@ def features(page: Page) -> list[tuple[str, ...]]:
             found.append("sentence")
         if i:
             above = nodes[n.parent]
+            found += [f"in:{k}" for k in _named(above.attributes) if k != "good"]
             inside[i] = inside[n.parent] or above.tag in ("article", "main")
             if inside[i]:
                 found.append("in-article")

@@ -46,6 +46,16 @@ PAGES = (
     f'<html>{_HEAD}<body>{_NAV}<div class="ad">{_SHORT}</div><article data-main="1"><h1>No trains today because of the wind</h1><p>No trains today because of the wind on the coast.</p></article>{_FOOT}',
     f'<html>{_HEAD}<body>{_NAV}<article data-main="1"><p>Closed</p></article>{_FOOT}</body></html>',
     f'<html>{_HEAD}<body>{_NAV}{_AD}<article data-main="1"><h1>Lost</h1></article><footer>&copy; 1999</footer></body></html>',
+    # content in named elements, with parts inside that are none
+    f'<html>{_HEAD}<body>{_NAV}<div id="main-content" data-main="1"><h2>The mill</h2><p>{_MID}</p><p>{_LONG}</p><p>{_SHORT}</p><table><tr><th>Year</th><td>1901</td></tr></table></div><div id="sidebar"><p>{_SHORT}</p></div>{_FOOT}</body></html>',
+    f'<html>{_HEAD}<body><div class="site-header"><p>{_SHORT}</p></div><div class="entry-content" data-main="1"><h1>First snow</h1><p>{_SHORT}</p><p>{_LONG}</p><div class="sharing" data-main="0"><a href="#">Share this</a></div><p>{_MID}</p></div><div class="comments-area"><p>{_LONG}</p></div><div class="promo"><p>{_MID}</p></div></body></html>',
+    f'<html>{_HEAD}<body><div role="main" data-main="1"><div class="story"><h1>Two goals</h1><p>{_MID}</p><p>{_LONG}</p></div></div><div role="navigation"><a href="/">Home</a></div><div class="popup"><p>{_MID}</p></div>{_FOOT}</body></html>',
+    f'<html>{_HEAD}<body>{_NAV}<article data-main="1"><h1>The choir</h1><p>{_MID}</p><div class="ad" data-main="0">{_MID}</div><p>{_LONG}</p><div class="advertisement" data-main="0"><p>{_LONG}</p></div><div class="newsletter-signup" data-main="0"><p>{_SHORT}</p><form><input><button>Go</button></form></div><p>{_SHORT}</p></article>{_FOOT}</body></html>',
+    f'<html>{_HEAD}<body>{_NAV}<article data-main="1"><h1>Late bus</h1><p>{_LONG}</p><div id="comments" data-main="0"><h3>Comments</h3><div class="comment-body"><p>{_LONG}</p></div><div class="comment-body"><p>{_SHORT}</p></div></div></article><div class="cookie-bar"><p>{_LONG}</p></div>{_FOOT}</body></html>',
+    f'<html>{_HEAD}<body>{_NAV}<main data-main="1"><section><h2>Part one</h2><p>{_LONG}</p></section><section><h2>Part two</h2><p>{_MID}</p><form class="login" data-main="0"><label>Name</label><p>{_SHORT}</p></form></section><footer data-main="0"><a href="/x">More by this author</a></footer></main><section class="comments"><p>{_MID}</p></section>{_FOOT}</body></html>',
+    f'<html>{_HEAD}<body><div><div><a href="/">Start</a></div><div data-main="1"><h1>Old maps</h1><div><p>{_LONG}</p></div><p>{_MID}</p></div></div><aside class="widget"><p>{_MID}</p></aside><footer><p>{_SHORT}</p></footer></body></html>',
+    f'<html>{_HEAD}<body>{_NAV}{_COOKIE}<div class="page"><div class="article-body" data-main="1"><h1>Quince</h1><p>{_MID}</p><ul><li>Two quinces.</li><li>Sugar.</li></ul><p>{_LONG}</p></div><ul class="related-links"><li><a href="/1">Apples in autumn</a></li></ul></div><div class="alert"><p>{_MID}</p></div><section class="responses"><article class="comment"><p>{_LONG}</p></article></section>{_FOOT}</body></html>',
+    f'<html>{_HEAD}<body><header><p>{_MID}</p></header><article data-main="1"><h1>Tide tables</h1><p>{_SHORT}</p><section><h2>Spring</h2><p>{_LONG}</p></section><aside data-main="0"><p>{_SHORT}</p></aside><section><h2>Autumn</h2><p>{_MID}</p></section></article><form><p>{_MID}</p><button>Send</button></form><div class="modal"><p>{_MID}</p></div>{_FOOT}',
     # only boilerplate
     f"<html>{_HEAD}<body>{_NAV}{_ASIDE}{_FORM}{_COOKIE}{_FOOT}</body></html>",
     f'<html>{_HEAD}<body><header class="site-header"><div><p>{_MID}</p></div></header><div role="main" data-main="1"><div><h1>Market day</h1><div><p>{_LONG}</p></div><div><p>{_SHORT}</p><p>{_MID}</p></div></div></div><aside><p>{_LONG}</p></aside><div class="comment-list"><ul><li><p>{_LONG}</p></li></ul></div><div hidden=""><p>{_MID}</p></div>{_FOOT}</body></html>',
