@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
 from functools import cache
@@ -89,19 +90,17 @@ def damage_encoding(c: Column) -> Column:
 
 # ── styled Unicode letters ───────────────────────────────────────────────────
 
+_CASED_OR_DIGIT = {"Lu", "Ll", "Nd"}
+_ASCII_ALNUM = set(string.ascii_letters + string.digits)
+
+
 @cache
 def styled_table() -> tuple[str, str]:
     """Every cased letter or decimal digit whose NFKC form is one ASCII alphanumeric."""
-    styled, plain = [], []
-    for point in range(0x80, sys.maxunicode + 1):
-        char = chr(point)
-        if unicodedata.category(char) not in ("Lu", "Ll", "Nd"):
-            continue
-        folded = unicodedata.normalize("NFKC", char)
-        if len(folded) == 1 and folded.isascii() and folded.isalnum():
-            styled.append(char)
-            plain.append(folded)
-    return "".join(styled), "".join(plain)
+    beyond = (chr(point) for point in range(0x80, sys.maxunicode + 1))
+    forms = {c: unicodedata.normalize("NFKC", c) for c in beyond if unicodedata.category(c) in _CASED_OR_DIGIT}
+    table = {c: form for c, form in forms.items() if form in _ASCII_ALNUM}
+    return "".join(table), "".join(table.values())
 
 
 def fold_styled(c: Column) -> Column:

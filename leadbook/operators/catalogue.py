@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadbook import schema as S
 from leadbook.functions.text import clean
+from leadbook.runtime import stage
 
 # Columns no rule is written against, columns with one value per
 # lead, and the number of distinct values beyond which a field is not offered.
@@ -18,7 +19,6 @@ UNGROUPABLE_FIELDS = ("name", "email", "phone", "qualitative_remarks", "phone_2"
 MAX_DISTINCT_VALUES = 300
 
 _OWN_COLUMNS = (S.ROW_ORD, S.UPLOAD_ID, S.MEMBER_FRAMES, "name_key", "phone_status", "phone_bucket", "stamp")
-_PROBE_ROWS = 20_000
 
 
 def _offered(name: str) -> bool:
@@ -26,40 +26,29 @@ def _offered(name: str) -> bool:
     return name not in skipped and not name.startswith("Unnamed:")
 
 
-def _cells(df: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, value) of every cell of the given columns."""
-    pairs = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields]
-    )
-    return df.select(F.explode(pairs).alias("cell")).select("cell.field", "cell.value")
-
-
 def _value_counts(cells: DataFrame) -> DataFrame:
     cleaned = cells.withColumn("value", clean(F.col("value"))).filter(F.col("value").isNotNull())
     return cleaned.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _provably_many(df: DataFrame, fields: list[str]) -> set[str]:
-    """Fields with too many values already among some of the rows.
-
-    Distinct values of a part are a lower bound for the whole, so leaving these
-    out is exact, and their values are never shuffled for the full frame.
-    """
-    seen = _value_counts(_cells(df.limit(_PROBE_ROWS), fields)).groupBy("field").agg(F.count(F.lit(1)).alias("k"))
-    return {r["field"] for r in seen.filter(F.col("k") > MAX_DISTINCT_VALUES).collect()}
+def _all_cells(df: DataFrame) -> DataFrame:
+    """(field, value) of the offered columns and of the map entries, from one pass over the rows."""
+    fields = [c for c in df.columns if _offered(c)]
+    cells = [F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields])]
+    for column in (S.NOTE_FIELDS, S.EXTRAS):
+        if column in df.columns:
+            entries = F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value")))
+            named = F.filter(entries, lambda e: ~e["field"].startswith("Unnamed:") & ~e["field"].isin(*UNGROUPABLE_FIELDS))
+            cells.append(F.coalesce(named, F.array().cast("array<struct<field:string,value:string>>")))
+    return df.select(F.explode(F.concat(*cells)).alias("cell")).select("cell.field", "cell.value")
 
 
 def field_values(prepared: DataFrame) -> DataFrame:
-    """(field, value, n) of every offered field with at most 300 distinct values."""
-    offered = [c for c in prepared.columns if _offered(c)]
-    many = _provably_many(prepared, offered)
-    fields = [f for f in offered if f not in many]
-    cells = _cells(prepared, fields)
-    for column in (S.NOTE_FIELDS, S.EXTRAS):
-        if column in prepared.columns:
-            entries = prepared.select(F.explode(column).alias("field", "value"))
-            cells = cells.unionByName(entries.filter(~F.col("field").startswith("Unnamed:")))
-    counts = _value_counts(cells.filter(~F.col("field").isin(*UNGROUPABLE_FIELDS)))
+    """(field, value, n) of every offered field with at most 300 distinct values.
+
+    The cells are counted once; the counts are stored and both read from there.
+    """
+    counts = stage(_value_counts(_all_cells(prepared)), "value_counts")
     small = counts.groupBy("field").agg(F.count(F.lit(1)).alias("distinct_values"))
     small = small.filter(F.col("distinct_values") <= MAX_DISTINCT_VALUES)
     return counts.join(small, "field").select("field", "value", "n")
@@ -84,11 +73,22 @@ def field_catalogue(prepared: DataFrame) -> DataFrame:
     ).orderBy(F.desc("fill_rate"), "field")
 
 
-def upload_catalogue(rows: DataFrame, created_col: str = "created_at") -> DataFrame:
-    """One row per upload: status, creation time, files and rows, newest first."""
-    uploads = rows.groupBy(S.UPLOAD_ID).agg(
+def upload_catalogue(
+    rows: DataFrame, leads: DataFrame, drafts: DataFrame | None = None, created_col: str = "created_at"
+) -> DataFrame:
+    """One row per upload: status, creation time, files and size, newest first.
+
+    `rows` are the rows of stored uploads, which are ready and counted in leads:
+    `leads` has (upload_id, row_count).  `drafts` are rows read but not yet
+    accepted, with the same columns, counted as they are.
+    """
+    described = lambda df, status: df.groupBy(S.UPLOAD_ID).agg(
         F.min(created_col).alias(created_col),
         F.array_join(F.array_sort(F.collect_set(S.SOURCE_FILE)), ", ").alias("files"),
         F.count(F.lit(1)).alias("row_count"),
+        F.lit(status).alias("status"),
     )
-    return uploads.withColumn("status", F.lit("ready")).orderBy(F.desc(created_col), S.UPLOAD_ID)
+    uploads = described(rows, "ready").drop("row_count").join(leads, S.UPLOAD_ID)
+    if drafts is not None:
+        uploads = uploads.unionByName(described(drafts, "draft"))
+    return uploads.orderBy(F.desc(created_col), S.UPLOAD_ID)

@@ -11,9 +11,8 @@ from leadbook.functions.money import parse_budget, rupees
 from leadbook.functions.text import present, trimmed
 from leadbook.operators.rules import CLASSES, classify
 
-# Derived columns that are not exported, and the customer-list columns.
+# Derived columns that are not exported.
 INTERNAL_COLUMNS = ("lead_class_reason", "budget_value", "phone_normalized", "merged_row_count", "merged_sources")
-AUDIENCE_COLUMNS = ("email", "phone", "fn", "ln", "ct", "st", "country", "value", "currency")
 
 _OWN_COLUMNS = (S.ROW_ORD, S.UPLOAD_ID, S.MEMBER_FRAMES, "name_key", "phone_status", "phone_bucket")
 
@@ -30,12 +29,24 @@ def class_slice(prepared: DataFrame, rules: list[dict], category: str) -> DataFr
 
 
 def export_rows(classified: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The wanted columns, unknown ones skipped, the reason last."""
+    """The wanted columns, the reason last.
+
+    A field that is no column is read from the note fields (if its name says so) or
+    the extras; it is null where a lead has none.  Without either map it is skipped.
+    """
     defaults = exportable_columns(classified)
-    wanted = [c for c in (columns or defaults) if c in classified.columns] or defaults
-    if S.LEAD_REASON in classified.columns and S.LEAD_REASON not in wanted:
-        wanted = [*wanted, S.LEAD_REASON]
-    return classified.select(*wanted)
+    read = {c: _exported(classified, c) for c in (columns or defaults)}
+    wanted = {c: value for c, value in read.items() if value is not None} or {c: F.col(f"`{c}`") for c in defaults}
+    if S.LEAD_REASON in classified.columns:
+        wanted.setdefault(S.LEAD_REASON, F.col(S.LEAD_REASON))
+    return classified.select(*(value.alias(c) for c, value in wanted.items()))
+
+
+def _exported(df: DataFrame, field: str):
+    if field in df.columns:
+        return F.col(f"`{field}`")
+    held = S.NOTE_FIELDS if field.startswith(S.NOTE_PREFIX) else S.EXTRAS
+    return F.try_element_at(F.col(held), F.lit(field)) if held in df.columns else None
 
 
 def _first_present(df: DataFrame, *fields: str):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadbook import schema as S
+from leadbook.runtime import stage
 from leadbook.functions.identity import name_key, normalize_phone, phone_status
 
 NAME_KEY = "name_key"
@@ -97,13 +98,22 @@ def _best(column: str) -> Column:
     return F.expr(f"min(CASE WHEN `{column}` IS NOT NULL THEN {ranked} END)")
 
 
-def _merge_maps(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """The best-ranked value of every map key, as one map per group."""
-    entries = rows.select(*keys, _RANK, F.explode(column).alias("field", "value"))
-    best = entries.groupBy(*keys, "field").agg(_best("value").alias("best"))
+def _merge_maps(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The best-ranked value of every key of each map, as one map per group and column.
+
+    The entries of all maps come from one pass, told apart by their column.
+    """
+    entry = lambda c: F.transform(
+        F.coalesce(F.map_entries(c), F.array().cast("array<struct<key:string,value:string>>")),
+        lambda e: F.struct(F.lit(c).alias("held"), e["key"].alias("field"), e["value"].alias("value")),
+    )
+    entries = rows.select(*keys, _RANK, F.explode(F.concat(*[entry(c) for c in columns])).alias("entry"))
+    entries = entries.select(*keys, _RANK, "entry.*")
+    best = entries.groupBy(*keys, "held", "field").agg(_best("value").alias("best"))
     kept = best.filter(F.col("best").isNotNull())
-    pairs = F.sort_array(F.collect_list(F.struct("field", F.col("best.value").alias("value"))))
-    return kept.groupBy(*keys).agg(F.map_from_entries(pairs).alias(column))
+    held = lambda c: F.sort_array(F.collect_list(F.when(F.col("held") == c, F.struct("field", F.col("best.value").alias("value")))))
+    maps = [F.when(F.size(held(c)) > 0, F.map_from_entries(held(c))).alias(c) for c in columns]
+    return kept.groupBy(*keys).agg(*maps)
 
 
 def merge_groups(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,10 +138,8 @@ def merge_groups(keyed: DataFrame, keys: list[str]) -> DataFrame:
     if S.UPLOAD_ID in keyed.columns:
         aggregates.append(F.collect_set(S.UPLOAD_ID).alias(S.MEMBER_FRAMES))
     merged = ranked.groupBy(*keys).agg(*aggregates)
-    for column in _MAPS:
-        if column in keyed.columns:
-            merged = merged.join(_merge_maps(ranked, keys, column), keys, "left")
-    return merged
+    maps = [c for c in _MAPS if c in keyed.columns]
+    return merged.join(_merge_maps(ranked, keys, maps), keys, "left") if maps else merged
 
 
 def _attach(named: DataFrame, nameless: DataFrame) -> DataFrame:
@@ -182,18 +190,17 @@ def _finish(merged: DataFrame, shape: DataFrame) -> DataFrame:
 def merge_leads(df: DataFrame, phone_col: str = "phone") -> DataFrame:
     """One row per (mobile, name): duplicates coalesced, unreachable rows dropped.
 
-    Rows are shuffled once, already merged per task, on (phone, name key): the
-    named rows and the nameless ones are two disjoint halves of one stored table,
-    and the name-key filter reaches its scan.  The nameless groups, at most one
-    per phone, then attach to the only named lead of their phone.  That join finds
-    the named side partitioned as it needs, so only the nameless groups and the
-    narrow list of sole names move.
+    Rows are shuffled once, already merged per task, on (phone, name key), and a
+    second pass merges the entries of their maps.  The merged groups are stored;
+    from there the nameless ones, at most one per phone, attach to the only named
+    lead of their phone.
     """
     keyed = reachable(df, phone_col)
     keys = [S.PHONE_NORM, NAME_KEY]
-    named = merge_groups(keyed.filter(F.col(NAME_KEY) != ""), keys)
-    blank = merge_groups(keyed.filter(F.col(NAME_KEY) == ""), keys)
-    resolved = blank.join(sole_names(keyed), S.PHONE_NORM, "left")
+    groups = stage(merge_groups(keyed, keys), "merged_groups")
+    named = groups.filter(F.col(NAME_KEY) != "")
+    blank = groups.filter(F.col(NAME_KEY) == "")
+    resolved = blank.join(sole_names(groups), S.PHONE_NORM, "left")
     resolved = resolved.withColumn(NAME_KEY, F.coalesce("sole_key", NAME_KEY)).drop("sole_key")
     return _finish(_attach(named, resolved), keyed)
 

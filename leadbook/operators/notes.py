@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leadbook import schema as S
 from leadbook.functions.text import deslug, fold_key, trimmed
+from leadbook.operators.headers import PROTECTED_NOTE_TARGETS
 from leadbook.operators.sheets import SHEET_KEYS
 from leadbook.runtime import lookup_join, stage
 
@@ -133,11 +134,13 @@ def lift_notes(df: DataFrame, proposals: dict[str, str] | None = None) -> DataFr
     """Fill known fields from notes and collect the other recurring labels.
 
     `proposals` maps labels to canonical fields; a proposed label enriches that
-    field and keeps its own `note:` entry.  Canonical fields are only filled
+    field and keeps its own `note:` entry.  Protected fields are never filled so.  Canonical fields are only filled
     where they are null; `note_fields` is written whatever the sheet holds.
     """
     proposed = {
-        S.header_key(label): field for label, field in (proposals or {}).items() if field in S.CANONICAL_FIELDS
+        S.header_key(label): field
+        for label, field in (proposals or {}).items()
+        if field in S.CANONICAL_FIELDS and field not in PROTECTED_NOTE_TARGETS
     }
     texted = with_note_text(df)
     by_field = {field: tuple(slugs) for field, slugs in NOTE_ALIASES.items()}

@@ -44,10 +44,16 @@ def virtual_sheet(sheet: Column, campaign: Column) -> Column:
 
 
 def with_virtual_sheets(df: DataFrame) -> DataFrame:
-    """Split each sheet by campaign, as a column: no rows move."""
+    """Split each sheet by campaign, as a column: no rows move.
+
+    A sheet of a file without a campaign column stays whole, under its own name.
+    """
     if "campaign" not in df.columns:
         return df
-    return df.withColumn(S.SOURCE_SHEET, virtual_sheet(F.col(S.SOURCE_SHEET), F.col("campaign")))
+    split = virtual_sheet(F.col(S.SOURCE_SHEET), F.col("campaign"))
+    if S.HAS_CAMPAIGN in df.columns:
+        split = F.when(F.col(S.HAS_CAMPAIGN), split).otherwise(F.col(S.SOURCE_SHEET))
+    return df.withColumn(S.SOURCE_SHEET, split).drop(S.HAS_CAMPAIGN)
 
 
 def sheet_catalogue(df: DataFrame, matches: DataFrame | None = None, matched: int | None = None) -> DataFrame:

@@ -32,9 +32,14 @@ class Draft:
     catalogue: DataFrame
 
 
-def read_draft(spark: SparkSession, paths: list[str] | str, mappings: dict[str, dict[str, str]] | None = None) -> Draft:
-    """Read files, split sheets by campaign, and describe every virtual sheet."""
-    rows, matches = read_exports(spark, paths, mappings)
+def read_draft(
+    spark: SparkSession, paths: list[str] | str, mappings: dict[str, dict[str, str]] | None = None, multiline: bool = True
+) -> Draft:
+    """Read files, split sheets by campaign, and describe every virtual sheet.
+
+    Without line breaks inside cells, `multiline=False` reads large files in splits.
+    """
+    rows, matches = read_exports(spark, paths, mappings, multiline)
     split = with_virtual_sheets(rows)
     return Draft(split, stage(sheet_catalogue(split, matches), "catalogue"))
 
@@ -87,9 +92,9 @@ def renumber_uploads(uploads: DataFrame) -> DataFrame:
     return placed.withColumn(S.ROW_ORD, F.col(S.ROW_ORD) + F.col("__start")).drop("__start", "created_at")
 
 
-def pool_stats(uploads: DataFrame) -> DataFrame:
-    """Merge statistics of the pool, counted on raw rows."""
-    return dedupe_stats(uploads)
+def ready_uploads(uploads: DataFrame) -> DataFrame:
+    """(upload_id, row_count) of the stored uploads: their leads, not their raw rows."""
+    return upload_stats(uploads).select(S.UPLOAD_ID, F.col("unique_leads").alias("row_count"))
 
 
 def upload_stats(uploads: DataFrame) -> DataFrame:

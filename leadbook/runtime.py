@@ -23,7 +23,7 @@ def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="leadbook-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -58,16 +58,6 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it has fewer splits than there are cores.
-
-    A file of one row group is one task.  A scan of many row groups, as any large
-    table is, comes back unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def small_copy(table: DataFrame) -> DataFrame | None:
     """`table` as a local relation if it is proven small, else None.
 

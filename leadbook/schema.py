@@ -89,6 +89,7 @@ SOURCE_SHEET = "source_sheet"
 PROPERTY_TYPE = "property_type"
 PROJECT = "project"
 EXTRAS = "extras"
+HAS_CAMPAIGN = "has_campaign"
 NOTE_FIELDS = "note_fields"
 PHONE_NORM = "phone_normalized"
 MERGED_COUNT = "merged_row_count"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,13 @@ from leadbook.functions.text import READER_NULL_TOKENS, repair_encoding
 from leadbook.operators.headers import canonical_names, matched_fields, sheet_headers
 from leadbook.runtime import lookup_join, stage
 
-_PATH, _BLOCK, _SEEN = "__path", "__block", "__seen"
+_PATH, _BLOCK, _SEEN, _RAW = "__path", "__block", "__seen", "__raw"
+# A cell of a CSV line behind its comma: quoted, with doubled quotes inside, or plain.
+_CELL = r',("(?:[^"]|"")*"|[^,]*)'
+
+
+class NoHeaderError(ValueError):
+    """None of the files has a line with anything on it."""
 
 
 def file_layouts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -46,6 +53,11 @@ def decoded_path(path):
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+def literal_path(path: str) -> str:
+    """A path in which no character is read as a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def file_name(path):
     return F.element_at(F.split(decoded_path(path), "/"), -1)
 
@@ -55,38 +67,54 @@ def _header_cells(spark: SparkSession, layout) -> list[str | None]:
     if layout["header"].count('"') % 2 == 0:
         return next(csv.reader(io.StringIO(layout["header"])))
     encoding = "UTF-8" if layout["utf8"] else "ISO-8859-1"
-    records = spark.read.option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(layout["plain"])
+    records = spark.read.option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(literal_path(layout["plain"]))
     return list(records.select(*[repair_encoding(F.col(c)) for c in records.columns]).first())
 
 
 def _read_layout(spark: SparkSession, paths: list[str], utf8: bool, names: list[str], multiline: bool) -> DataFrame:
     """All files of one header layout, in canonical columns plus `extras`."""
-    positional = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    positional = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
     raw = (
-        spark.read.schema(positional)
+        spark.read.schema(T.StructType([*positional, T.StructField(_RAW, T.StringType())]))
+        .option("columnNameOfCorruptRecord", _RAW)
         .option("header", True)
         .option("multiLine", multiline)
         .option("escape", '"')
         .option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-        .csv(paths)
+        .csv([literal_path(p) for p in paths])
     )
     cells = {
         name: repair_encoding(F.when(~F.col(f"_c{i}").isin(*READER_NULL_TOKENS), F.col(f"_c{i}")))
         for i, name in enumerate(names)
     }
-    kept = raw.filter(F.coalesce(*[F.when(~F.col(c).isin(*READER_NULL_TOKENS), F.col(c)) for c in raw.columns]).isNotNull())
     unknown = [n for n in names if n not in S.CANONICAL_FIELDS]
     pairs = [x for n in unknown for x in (F.lit(n), cells[n])]
-    extras = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.lit(None)
+    named = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.lit(None)
+    beyond = _cells_beyond(F.col(_RAW), len(names))
+    extras = F.when(F.size(beyond) > 0, F.map_concat(F.coalesce(named.cast(S.STRING_MAP), F.create_map().cast(S.STRING_MAP)), beyond))
+    extras = F.coalesce(extras, named.cast(S.STRING_MAP))
+    anything = F.coalesce(*[F.when(~F.col(c.name).isin(*READER_NULL_TOKENS), F.col(c.name)) for c in positional]).isNotNull()
+    kept = raw.filter(anything | (F.size(beyond) > 0))
     return kept.select(
         F.col("_metadata.file_path").alias(_PATH),
         F.col("_metadata.file_block_start").alias(_BLOCK),
         F.monotonically_increasing_id().alias(_SEEN),
         *[cells[f].alias(f) if f in cells else F.lit(None).cast("string").alias(f) for f in S.CANONICAL_FIELDS],
-        extras.cast(S.STRING_MAP).alias(S.EXTRAS),
+        extras.alias(S.EXTRAS),
+        F.lit("campaign" in names).alias(S.HAS_CAMPAIGN),
     )
 
 
+def _cells_beyond(line, width: int):
+    """Cells that a row has beyond its header, as `Unnamed: <place>`; empty for other rows."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+    text = F.transform(found, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    placed = F.transform(text, lambda c, i: F.struct(F.concat(F.lit("Unnamed: "), i).alias("k"), repair_encoding(c).alias("v"), i.alias("i")))
+    kept = F.filter(placed, lambda c: (c["i"] >= width) & ~c["v"].isin(*READER_NULL_TOKENS))
+    entries = F.map_from_entries(F.transform(kept, lambda c: F.struct(c["k"], c["v"])))
+    return F.when(F.size(found) > width, entries).otherwise(F.create_map().cast(S.STRING_MAP))
+
+
 def _with_row_order(rows: DataFrame) -> DataFrame:
     """Number all rows by file, then position in the file.
 
@@ -114,7 +142,8 @@ def read_exports(
     Headers drift from file to file, so files are grouped by header and encoding
     and each group is one scan over its own files.  The driver holds one short
     row per file, as it does for any file listing.  `mappings` renames columns of
-    single files before the alias table is applied.  Files with line breaks
+    single files before the alias table is applied.  Cells beyond a file's header
+    are kept in `extras` as `Unnamed: <place>`.  Files with line breaks
     inside cells need `multiline`, which reads each file in one task.
     """
     layouts: dict[tuple, list[str]] = {}
@@ -129,7 +158,7 @@ def read_exports(
         layouts.setdefault((row["utf8"], tuple(names)), []).append(row["plain"])
         matched.append((row["file"], matched_fields(names)))
     if not layouts:
-        raise ValueError("no file with a header row")
+        raise NoHeaderError("no file with a header row")
     scans = [_read_layout(spark, files, utf8, list(names), multiline) for (utf8, names), files in layouts.items()]
     rows = _with_row_order(stage(reduce(DataFrame.unionByName, scans), "export_rows"))
     named = repair_encoding(file_name(F.col(_PATH)))

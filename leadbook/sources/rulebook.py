@@ -9,21 +9,17 @@ from pyspark.sql import SparkSession
 from leadbook.operators.rules import RuleError, validate_rules
 
 
+# Names of the older form, and what a condition has unless it says otherwise.
+_RENAMED = {"col": "field", "vals": "values"}
+_PLAIN_CONDITION = {"field": "", "op": "is", "values": []}
+
+
 def upgrade_rule(rule: dict) -> dict:
     """A rule in the current form; the flat `{col, vals, category}` form is one `is` condition."""
-    category = "bad" if rule.get("category") == "bad" else "good"
-    if rule.get("col"):
-        conditions = [{"field": rule["col"], "op": "is", "values": rule.get("vals") or []}]
-    else:
-        conditions = [
-            {
-                "field": c.get("field") or c.get("col") or "",
-                "op": c.get("op") or "is",
-                "values": c.get("values") or c.get("vals") or [],
-            }
-            for c in rule.get("conditions") or []
-        ]
-    return {"conditions": conditions, "category": category}
+    parts = [{"col": rule["col"], "vals": rule.get("vals")}] if rule.get("col") else rule.get("conditions") or []
+    named = [{_RENAMED.get(key, key): value for key, value in sorted(part.items()) if value} for part in parts]
+    conditions = [{**_PLAIN_CONDITION, **{k: part[k] for k in _PLAIN_CONDITION if k in part}} for part in named]
+    return {"conditions": conditions, "category": "bad" if rule.get("category") == "bad" else "good"}
 
 
 def import_rules(text: str) -> list[dict]:

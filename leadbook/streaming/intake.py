@@ -8,20 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from leadbook import schema as S
 from leadbook.plans.book import confirm, detected_choices, read_draft
-from leadbook.sources.exports import decoded_path
-from leadbook.sources.lead_table import write_upload
+from leadbook.sources.exports import NoHeaderError, decoded_path, literal_path
+from leadbook.sources.lead_table import path_exists, read_uploads, write_upload
 
 MAX_FILES_PER_BATCH = 1_000
 _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def take_in(spark: SparkSession, paths: list[str], root: str, upload_id: str, created_at: str) -> DataFrame:
-    """Read files, accept what is detected in them, store them as one upload."""
-    draft = read_draft(spark, paths)
-    rows = confirm(draft, detected_choices(draft.catalogue))
+def take_in(
+    spark: SparkSession, paths: list[str], root: str, upload_id: str, created_at: str, first_row: int = 0, multiline: bool = True
+) -> DataFrame | None:
+    """Read files, accept what is detected in them, store them as one upload and read it back.
+
+    Its rows are numbered from `first_row`, so that uploads keep their order when
+    they are merged.  Files in which no sheet looks like leads are passed over: None.
+    """
+    try:
+        draft = read_draft(spark, paths, multiline=multiline)
+    except NoHeaderError:
+        return None
+    choices = detected_choices(draft.catalogue)
+    if choices.filter("include").isEmpty():
+        return None
+    rows = confirm(draft, choices).withColumn(S.ROW_ORD, F.col(S.ROW_ORD) + first_row)
     write_upload(rows, root, upload_id, created_at)
-    return rows
+    return read_uploads(spark, root).filter(F.col(S.UPLOAD_ID) == upload_id)
+
+
+def rows_before(spark: SparkSession, root: str, upload_id: str) -> int:
+    """The first free row number behind the uploads that sort before `upload_id`."""
+    if not path_exists(spark, root):
+        return 0
+    earlier = read_uploads(spark, root).filter(F.col(S.UPLOAD_ID) < upload_id)
+    return earlier.agg(F.coalesce(F.max(S.ROW_ORD) + 1, F.lit(0))).first()[0]
 
 
 def intake_stream(
@@ -30,12 +51,14 @@ def intake_stream(
     root: str,
     checkpoint: str,
     then: Callable[[DataFrame, int], None] | None = None,
+    multiline: bool = True,
 ) -> StreamingQuery:
     """Store every new file of `folder`; headers may differ from file to file.
 
     The stream itself carries file paths only; the contents are read by the batch
     reader, per header layout.  A batch holds at most MAX_FILES_PER_BATCH paths,
-    and a replayed batch writes the same upload again.
+    and a replayed batch writes the same upload again.  Rows are numbered on from
+    batch to batch.  A batch without leads stores nothing.
     """
     files = (
         spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
@@ -47,9 +70,10 @@ def intake_stream(
     def store(batch: DataFrame, number: int) -> None:
         paths = sorted(r["path"] for r in batch.collect())
         if paths:
-            created = f"batch {number:012d}"
-            rows = take_in(batch.sparkSession, paths, root, f"batch-{number:012d}", created)
-            if then:
+            session, upload = batch.sparkSession, f"batch-{number:012d}"
+            first = rows_before(session, root, upload)
+            rows = take_in(session, [literal_path(p) for p in paths], root, upload, f"batch {number:012d}", first, multiline)
+            if then and rows is not None:
                 then(rows, number)
 
     return (

@@ -3,6 +3,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadbook import schema as S
+from leadbook.operators import export
+from leadbook.operators.notes import lift_notes
 from leadbook.plans import book
 from leadbook.sources import exports, lead_table
 
@@ -54,7 +56,7 @@ def test_draft_to_lead_rows(spark, tmp_path):
     catalogue = {r["source_sheet"]: r for r in draft.catalogue.collect()}
     assert catalogue["export.csv [Villa push]"]["detected_type"] == "Bungalow"
     assert catalogue["export.csv [No campaign]"]["detected_type"] is None
-    assert not catalogue["targets.csv [No campaign]"]["looks_like_lead_sheet"]
+    assert not catalogue["targets.csv"]["looks_like_lead_sheet"]  # a file without a campaign column stays whole
     rows = book.confirm(draft, book.detected_choices(draft.catalogue))
     assert rows.count() == 8
     types = {r[0]: r[1] for r in rows.groupBy("property_type").count().collect()}
@@ -63,6 +65,36 @@ def test_draft_to_lead_rows(spark, tmp_path):
     assert book.build_lead_book(rows).count() == 8
 
 
+def test_cells_beyond_the_header_are_kept(spark, tmp_path):
+    put(tmp_path / "in", "wide.csv", 'Name,Phone,City\nA,1,X,EXTRA,"V, ""I"" P"\nB,2\nC,3,Y,\n,,,only\n')
+    rows, _ = exports.read_exports(spark, str(tmp_path / "in"))
+    got = {r["name"]: r["extras"] for r in rows.collect()}
+    assert got["A"] == {"Unnamed: 3": "EXTRA", "Unnamed: 4": 'V, "I" P'}
+    assert got[None] == {"Unnamed: 3": "only"}
+    assert not got["B"] and not got["C"] and len(got) == 4
+
+
+def test_any_file_name(spark, tmp_path):
+    for name in ("leads [may].csv", "a{b}.csv", "what?.csv", "st*r.csv", "100% +x.csv"):
+        put(tmp_path / "in", name, f"Name,Phone\n{name},9\n")
+    rows, _ = exports.read_exports(spark, str(tmp_path / "in"))
+    assert all(r["name"] == r["source_file"] for r in rows.collect()) and rows.count() == 5
+
+
+def test_exported_note_and_extra_fields(spark):
+    df = spark.createDataFrame([("A", {"Odd": "o"}, {"note:Timeline": "3 days"}), ("B", None, None)], "name string, extras map<string,string>, note_fields map<string,string>")
+    rows = export.export_rows(df, ["note:Timeline", "name", "Odd"]).collect()
+    assert [tuple(r) for r in rows] == [("3 days", "A", "o"), (None, "B", None)]
+    assert export.export_rows(df, ["name", "nowhere"]).columns == ["name", "nowhere"]
+
+
+def test_protected_fields_are_not_filled_from_notes(spark):
+    rows = [(i, "f", "s", f"Alt: 982403989{i}\nPlace: P{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "row_ord long, source_file string, source_sheet string, qualitative_remarks string")
+    lifted = lift_notes(df.withColumn("phone", F.lit(None).cast("string")), {"Alt": "phone", "Place": "current_city"})
+    assert [(r["phone"], r["current_city"]) for r in lifted.orderBy("row_ord").collect()] == [(None, f"P{i}") for i in range(4)]
+
+
 def test_mapping_per_file(spark, tmp_path):
     put(tmp_path / "in", "new.csv", "Cust,Mob No,City\nAmit,9824039892,X\n")
     rows, matches = exports.read_exports(spark, str(tmp_path / "in"), {"new.csv": {"Cust": "name", "Mob No": "phone"}})

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from leadbook import schema as S
 from leadbook.operators import identity as I
+from leadbook.plans import book
 from leadbook.sources import lead_table
 from leadbook.streaming import intake, upsert
 from tests.test_identity import FIELDS, SCHEMA, make_rows, merged_rows
@@ -46,3 +49,28 @@ def test_intake_takes_only_new_files(spark, tmp_path):
     }
     assert seen == [0, 1]
     assert set(FIELDS) <= set(uploads.columns)
+
+
+def test_streamed_book_equals_the_pool(spark, tmp_path):
+    """Files taken in batch by batch and upserted give the book that a full merge gives, on all columns."""
+    folder, root = tmp_path / "in", str(tmp_path / "uploads")
+    paths = str(tmp_path / "rows"), str(tmp_path / "leads")
+    folder.mkdir()
+    line = "Name,Phone,Email,Budget,City,Remarks"
+    files = {
+        "b.csv": f"{line}\nAmit,9824039892,,,Pune,\nAmit,9824039893,a@b.c,,Surat,\n",
+        "a.csv": f"{line}\nAmit,9824039892,z@b.c,2 Cr,,\n,9824039893,,3 Cr,,\nRita,9824039894,r@b.c,,,x\n",
+        "junk.csv": "Month,Target\nJan,1\n",
+        "c [x].csv": f"{line}\nAmit,9824039892,,4 Cr,Agra,\nRita,9824039894,,,Goa,\n",
+    }
+    for name, text in files.items():
+        (folder / name).write_text(text)
+        upsert_batch = lambda rows, number: upsert.upsert_leads(rows, number, *paths, buckets=4)
+        intake.intake_stream(spark, str(folder), root, str(tmp_path / "checkpoint"), then=upsert_batch).awaitTermination()
+    streamed = upsert.read_book(spark, paths[1])
+    pool = book.combined_pool(lead_table.read_uploads(spark, root))
+    same = sorted(set(pool.columns) & set(streamed.columns) - {S.ROW_ORD})
+    flat = lambda df: sorted(map(str, df.select(*[F.to_json(c) if t.startswith("map") else c for c, t in df.select(*same).dtypes]).collect()))
+    assert {"email", "budget", "current_city", S.MERGED_COUNT, S.MEMBER_FRAMES} <= set(same)
+    assert flat(streamed) == flat(pool)
+    assert lead_table.read_uploads(spark, root).select("upload_id").distinct().count() == 3

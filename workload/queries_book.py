@@ -12,6 +12,7 @@ from leadbook.functions import text as txt
 from leadbook.operators import headers, notes, sheets, union
 from leadbook.operators import identity as ident
 from leadbook.operators.catalogue import upload_catalogue
+from leadbook.operators.identity import dedupe_stats
 from leadbook.operators.rules import classification_summary, classify
 from leadbook.plans import book as plan
 from leadbook.runtime import scratch_path
@@ -129,6 +130,15 @@ def virtual_sheets(spark, sf_dir):
 _UPLOADS = {"Apartment Leads.csv": "u1", "crm_a.csv": "u2", "Bungalow Enquiries.csv": "u3"}
 
 
+# Leads of each phone of an upload: its names, or one nameless lead; a nameless row joins a sole name.
+_LEADS_PER_PHONE = (
+    "SELECT CASE source_file WHEN 'Apartment Leads.csv' THEN 'u1' WHEN 'crm_a.csv' THEN 'u2' ELSE 'u3' END AS upload_id, source_file,"
+    " phone_normalized, count(*) AS n, count(DISTINCT name_key) FILTER (WHERE name_key <> '')"
+    " + CASE WHEN count(DISTINCT name_key) FILTER (WHERE name_key <> '') = 1 THEN 0 ELSE max((name_key = '')::INT) END AS leads"
+    " FROM keyed GROUP BY source_file, phone_normalized"
+)
+
+
 def _store_uploads(spark, sf_dir) -> str:
     root = scratch_path(spark, "uploads")
     for number, (file, upload) in enumerate(_UPLOADS.items(), start=1):
@@ -146,15 +156,19 @@ def lead_table_round_trip(spark, sf_dir):
 @query(
     "S10",
     oracle(
-        "SELECT upload_id, min(created_at) AS created_at, min(source_file) AS files, count(*) AS row_count, 'ready' AS status FROM ("
-        "SELECT source_file, CASE source_file WHEN 'Apartment Leads.csv' THEN 'u1' WHEN 'crm_a.csv' THEN 'u2' ELSE 'u3' END AS upload_id,"
-        " CASE source_file WHEN 'Apartment Leads.csv' THEN '2026-01-01' WHEN 'crm_a.csv' THEN '2026-01-02' ELSE '2026-01-03' END AS created_at"
-        " FROM leads) GROUP BY upload_id",
-        "leads",
+        f"SELECT upload_id, CASE upload_id WHEN 'u1' THEN '2026-01-01' WHEN 'u2' THEN '2026-01-02' ELSE '2026-01-03' END AS created_at,"
+        " source_file AS files, sum(leads)::BIGINT AS row_count, 'ready' AS status"
+        f" FROM ({_LEADS_PER_PHONE}) WHERE phone_normalized IS NOT NULL GROUP BY upload_id, source_file"
+        " UNION ALL SELECT 'u4', '2026-01-04', source_file, count(*), 'draft' FROM leads WHERE source_file = 'crm_a.csv' GROUP BY source_file",
+        "keyed",
     ),
 )
 def uploads_listed(spark, sf_dir):
-    return upload_catalogue(lead_table.read_uploads(spark, _store_uploads(spark, sf_dir)))
+    """Stored uploads with their leads, and one file read but not yet accepted."""
+    stored = lead_table.read_uploads(spark, _store_uploads(spark, sf_dir))
+    draft = lead_export(spark, sf_dir).filter(F.col("source_file") == "crm_a.csv")
+    drafts = draft.select(F.lit("u4").alias("upload_id"), F.lit("2026-01-04").alias("created_at"), "source_file")
+    return upload_catalogue(stored, plan.ready_uploads(stored), drafts)
 
 
 @query(
@@ -530,15 +544,35 @@ def combined_pool(spark, sf_dir):
 @query(
     "D9",
     oracle(
+        "SELECT a.*, duplicate_rows_merged, unique_leads, 0 AS cross_file_leads FROM ("
         "SELECT CASE source_file WHEN 'Apartment Leads.csv' THEN 'u1' WHEN 'crm_a.csv' THEN 'u2' ELSE 'u3' END AS upload_id,"
         " count(*) AS input_rows, count(*) FILTER (WHERE phone IS NOT NULL AND trim(phone) <> '' AND phone_normalized IS NULL) AS invalid_phone_dropped,"
-        " count(*) FILTER (WHERE phone IS NULL OR trim(phone) = '') AS missing_phone_dropped FROM keyed GROUP BY 1",
+        " count(*) FILTER (WHERE phone IS NULL OR trim(phone) = '') AS missing_phone_dropped FROM keyed GROUP BY 1) a JOIN ("
+        f"SELECT upload_id, sum(n - leads)::BIGINT AS duplicate_rows_merged, sum(leads)::BIGINT AS unique_leads FROM ({_LEADS_PER_PHONE})"
+        " WHERE phone_normalized IS NOT NULL GROUP BY upload_id) b USING (upload_id)",
         "keyed",
     ),
 )
 def upload_statistics(spark, sf_dir):
-    stats = plan.upload_stats(lead_table.read_uploads(spark, _store_uploads(spark, sf_dir)))
-    return stats.select("upload_id", "input_rows", "invalid_phone_dropped", "missing_phone_dropped")
+    return plan.upload_stats(lead_table.read_uploads(spark, _store_uploads(spark, sf_dir)))
+
+
+@query(
+    "D9",
+    oracle(
+        "SELECT a.*, duplicate_rows_merged, unique_leads, cross_file_leads FROM ("
+        "SELECT count(*) AS input_rows, count(*) FILTER (WHERE phone IS NOT NULL AND trim(phone) <> '' AND phone_normalized IS NULL) AS invalid_phone_dropped,"
+        " count(*) FILTER (WHERE phone IS NULL OR trim(phone) = '') AS missing_phone_dropped FROM keyed) a, ("
+        "SELECT sum(n - leads)::BIGINT AS duplicate_rows_merged, sum(leads)::BIGINT AS unique_leads, sum(files > 1)::BIGINT AS cross_file_leads FROM ("
+        "SELECT phone_normalized, count(*) AS n, count(DISTINCT source_file) AS files, count(DISTINCT name_key) FILTER (WHERE name_key <> '')"
+        " + CASE WHEN count(DISTINCT name_key) FILTER (WHERE name_key <> '') = 1 THEN 0 ELSE max((name_key = '')::INT) END AS leads"
+        " FROM keyed WHERE phone_normalized IS NOT NULL GROUP BY phone_normalized)) b",
+        "keyed",
+    ),
+)
+def pool_statistics(spark, sf_dir):
+    """Merge statistics over all stored uploads, counted on raw rows."""
+    return dedupe_stats(lead_table.read_uploads(spark, _store_uploads(spark, sf_dir)))
 
 
 @query("D10", oracle("SELECT phone_normalized, name_key, merged_row_count FROM book", "book"))
