@@ -44,18 +44,31 @@ def clear_staged(spark: SparkSession) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = (), rows_per_file: int = 0) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
     This cuts lineage, survives lost executors, and lets later sections of a
-    report read only the columns they use.
+    report read only the columns they use.  `rows_per_file` bounds the rows of a
+    file, so that a table from few splits is read again in more.
     """
     path = scratch_path(df.sparkSession, label)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing will read again; other frames are passed over."""
+    for table in tables:
+        location = getattr(table, "_staged_path", None)
+        if location:
+            jvm = table.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(location)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_copy(table: DataFrame) -> DataFrame | None:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leadbook import schema as S
 from leadbook.operators.identity import merge_leads, standardise
-from leadbook.runtime import lookup_join, stage
+from leadbook.runtime import discard, lookup_join, stage
 from leadbook.sources.lead_table import path_exists
 
 BUCKET = "phone_bucket"
@@ -55,7 +55,9 @@ def upsert_leads(rows: DataFrame, batch_id: int, rows_path: str, leads_path: str
         old = spark.read.parquet(leads_path).filter(F.col(BUCKET).isin(numbers))
         carried = _touched(old, phones, S.ROW_ORD).filter(F.col("__touched").isNull()).drop("__touched")
         book = book.unionByName(carried, allowMissingColumns=True)
-    _overwrite_partitions(stage(book, "lead_buckets"), leads_path, (BUCKET,))
+    buckets_now = stage(book, "lead_buckets")
+    _overwrite_partitions(buckets_now, leads_path, (BUCKET,))
+    discard(buckets_now, phones)
 
 
 def upsert_stream(

@@ -73,3 +73,17 @@ def test_staged_frame_is_pruned(spark):
     plan = staged.filter("id > 3").select("twice")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in plan
     assert "ReadSchema: struct<id:bigint,twice:bigint>" in plan
+
+
+def test_discarded_tables_are_gone(spark):
+    table = runtime.stage(spark.range(5), "short_lived")
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._staged_path)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert store.exists(path)
+    runtime.discard(table, spark.range(3), None)
+    assert not store.exists(path)
+
+
+def test_rows_per_file_bounds_the_files(spark):
+    table = runtime.stage(spark.range(0, 100, 1, 1), "cut", rows_per_file=30)
+    assert len(table.inputFiles()) == 4 and table.count() == 100

@@ -85,6 +85,6 @@ def lead_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived rows as a stored table, as leads are kept; written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        _STORED[key] = stage(derive_lead_export(spark, sf_dir), "lead_export")
+        _STORED[key] = stage(derive_lead_export(spark, sf_dir), "lead_export", rows_per_file=20_000)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return _STORED[key]
