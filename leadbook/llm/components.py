@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadbook.runtime import stage
+from leadbook.runtime import discard, stage
 
 
 def _signature(edges: DataFrame) -> tuple[int, int | None]:
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
         small = large.join(lowest, "a").select(pairs.alias("e")).select("e.*").where("a <> b").distinct()
-        edges = stage(small, "stars")
+        before, edges = edges, stage(small, "stars")
+        discard(before)
         now = _signature(edges)
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
