@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +64,30 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = (), rows_pe
     return staged
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once per session, so that their Python workers can import it.
+
+    The archive goes through the shared folder, as staged tables do.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    location = f"{scratch_path(spark, 'code')}/{root.name}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(held.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(location)
+    _SHIPPED.add(application)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete staged tables that nothing will read again; other frames are passed over."""
     for table in tables:
