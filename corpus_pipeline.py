@@ -9,6 +9,7 @@ table passes through every stage as one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from leadbook.llm.jaccard import similarity_groups
 from leadbook.llm.language import UNKNOWN, crc_of_id, training_texts, with_language
 from leadbook.llm.lines import dedup_lines
 from leadbook.llm.packing import pack_documents
-from leadbook.runtime import stage
+from leadbook.runtime import ship_code, stage
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -62,11 +63,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def _stage(step: Stage) -> Stage:
+    """A stage whose executors have the package."""
+
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return step(spark, docs, sf_dir)
+
+    return run_step
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language ID", known_language),
-    ("line dedup", without_repeated_lines),
-    ("n-gram Jaccard join", one_of_each_group),
-    ("best-fit packing", packed),
+    ("language ID", _stage(known_language)),
+    ("line dedup", _stage(without_repeated_lines)),
+    ("n-gram Jaccard join", _stage(one_of_each_group)),
+    ("best-fit packing", _stage(packed)),
 ]
 
 # No SQL for these stages; tests hold them against brute force.

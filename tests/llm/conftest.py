@@ -4,9 +4,16 @@ import random
 
 import pytest
 
+from leadbook.runtime import ship_code
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, node long, ids string, line string, place int"
 
 
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    ship_code(spark)
+
+
 def prose(rng: random.Random, words: int) -> str:
     return " ".join("".join(rng.choice(["ka", "lo", "mi", "ran", "tes", "u"]) for _ in range(rng.randint(1, 4))) for _ in range(words))
 
