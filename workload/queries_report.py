@@ -31,7 +31,7 @@ from workload.oracle_tables import (
     stamp,
     status,
 )
-from workload.registry import query
+from workload.registry import ORACLES, query
 from workload.tables import RULES, classified, lead_book, prepared
 
 BAND_POSITION = "list_position([" + ", ".join(f"'{b}'" for b in money.BAND_LABELS) + "], {})"
@@ -689,12 +689,67 @@ def arrival_peaks(spark, sf_dir):
 
 # ── whole report and exports ─────────────────────────────────────────────────
 
-@query("A14 R9")
+# Sections of the report that a query of its own covers: that query, and the columns as text, whole or decimal numbers.
+_SECTIONS = {
+    "scope": ("report_scope", "kind value", "", ""),
+    "data_quality": ("data_quality", "field", "filled missing", "fill_rate"),
+    "core": ("priority_summary", "", "total hwc", "hwc_share"),
+    "hwc_split": ("priority_split", "label", "count", ""),
+    "call_list": ("call_list", "name phone hwc budget configuration buying_status call_status remarks", "", ""),
+    "budget": ("budget_summary", "", "total_rows parsed_count unparsed_count", "min max median mean"),
+    "budget_bands": ("budget_bands", "label", "position count", "min max quality_rate"),
+    "arrivals": ("arrival_header", "", "dated_leads total_leads timed_leads", ""),
+    "by_weekday": ("arrivals_by_weekday", "label", "weekday count", ""),
+    "by_month": ("arrivals_by_month", "label", "count", ""),
+    "by_hour": ("arrivals_by_hour", "label", "hour count", ""),
+    "weekday_by_hour": ("arrivals_weekday_by_hour", "day", "weekday hour n", ""),
+    "peaks": ("arrival_peaks", "kind label", "count", ""),
+    "headline": ("headline_tiles", "tile value", "", "detail"),
+    "remarks": ("remark_sample", "remark", "row_ord", ""),
+    "merge_quality": ("merge_quality", "", "total_leads merged_leads rows_absorbed", ""),
+    "classification": ("classification_counts", "", "total good bad unclassified", "classified_share"),
+    "unclassified_reasons": ("unclassified_reasons", "reason", "count", "share"),
+}
+# Tables of all fields or cross-tabs: the book's part, and the part that the classes add.
+_TABLES = {
+    "distributions": (("distributions_all", "class_distribution"), "field value", "count", "share"),
+    "crosstabs": (("crosstabs_all", "class_crosstabs"), "section row_label col_label", "n row_total col_total", ""),
+}
+
+
+def _row_text(names: str, whole: str, decimal: str, text_of, number_of) -> list:
+    """The cells of a row as texts, from functions that render a text, whole or decimal column."""
+    return [text_of(c) for c in names.split()] + [number_of(c, 0) for c in whole.split()] + [number_of(c, 4) for c in decimal.split()]
+
+
+def _section_sql(section: str, sources: tuple[str, ...], names: str, whole: str, decimal: str) -> str:
+    text_of = lambda c: f"coalesce(CAST(\"{c}\" AS VARCHAR), '-')"
+    number_of = lambda c, places: f"coalesce(CAST(CAST(\"{c}\" AS DECIMAL(20,{places})) AS VARCHAR), '-')"
+    cells = " || '|' || ".join(_row_text(names, whole, decimal, text_of, number_of))
+    parts = []
+    for source in sources:
+        extra = "'lead_class' AS field, " if source == "class_distribution" else ""
+        parts.append(f"SELECT '{section}' AS section, {cells} AS cells FROM (SELECT {extra}* FROM ({ORACLES[source]}))")
+    return " UNION ALL ".join(parts)
+
+
+def _full_report_sql() -> str:
+    sections = {name: ((source,), *kinds) for name, (source, *kinds) in _SECTIONS.items()} | _TABLES
+    return " UNION ALL ".join(_section_sql(name, *spec) for name, spec in sections.items())
+
+
+@query("A14 R9", _full_report_sql())
 def full_report(spark, sf_dir):
-    """Every section of the classified report, with its number of rows."""
-    sections = plan.full_report(prepared(spark, sf_dir), RULES)
-    sizes = [df.agg(F.count(F.lit(1)).alias("rows")).withColumn("section", F.lit(name)) for name, df in sections.items()]
-    return reduce(DataFrame.unionByName, sizes).select("section", "rows")
+    """The rows of the classified report's sections, each as one text."""
+    report = plan.full_report(prepared(spark, sf_dir), RULES)
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    number_of = lambda c, places: F.coalesce(F.col(c).cast(f"decimal(20,{places})").cast("string"), F.lit("-"))
+    sections = {name: kinds for name, (_, *kinds) in (_SECTIONS | _TABLES).items()}
+    rows = [
+        report[name].select(F.lit(name).alias("section"), F.concat_ws("|", *_row_text(*kinds, text_of, number_of)).alias("cells"))
+        for name, kinds in sections.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(
