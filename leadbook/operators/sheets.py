@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadbook import schema as S
 from leadbook.functions.text import trimmed
+from leadbook.operators.headers import wants_proposal
 from leadbook.runtime import lookup_join
 
 # Property types with the words that name them, in matching order.
@@ -59,8 +60,9 @@ def with_virtual_sheets(df: DataFrame) -> DataFrame:
 def sheet_catalogue(df: DataFrame, matches: DataFrame | None = None, matched: int | None = None) -> DataFrame:
     """One row per virtual sheet: rows, matched fields, lead-likeness, detected type.
 
-    `matches` gives (source_file, matched_fields) where files have their own
-    headers; `matched` is one count for all of them.  Types are read from the
+    `matches` gives (source_file, matched_fields, column_count) where files have
+    their own headers, and the sheets that are worth a column proposal are marked;
+    `matched` is one count for all of them.  Types are read from the
     distinct sheet names, never per row.
     """
     sheets = df.groupBy(*SHEET_KEYS).agg(F.count(F.lit(1)).alias("row_count"))
@@ -68,6 +70,9 @@ def sheet_catalogue(df: DataFrame, matches: DataFrame | None = None, matched: in
         sheets = sheets.join(matches, S.SOURCE_FILE, "left")
     else:
         sheets = sheets.withColumn("matched_fields", F.lit(matched or 0).cast("long"))
+    if "column_count" in sheets.columns:
+        gate = wants_proposal(F.col("matched_fields"), F.col("column_count"), F.col("row_count"))
+        sheets = sheets.withColumn("wants_proposal", F.coalesce(gate, F.lit(False)))
     return sheets.withColumns(
         {
             "looks_like_lead_sheet": F.coalesce(F.col("matched_fields") >= 5, F.lit(False)),

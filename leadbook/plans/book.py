@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadbook import schema as S
-from leadbook.operators.headers import ensure_canonical
+from leadbook.operators.headers import ensure_canonical, valid_proposals
 from leadbook.operators.identity import dedupe_stats, merge_leads, standardise
 from leadbook.operators.notes import lift_notes
 from leadbook.operators.sheets import (
@@ -44,6 +44,21 @@ def read_draft(
     return Draft(split, stage(sheet_catalogue(split, matches), "catalogue"))
 
 
+def accepted_proposals(draft: Draft, proposals: DataFrame) -> dict[str, dict[str, str]]:
+    """Mappings for `read_draft` from proposals (source_file, source_col, target_field, ord).
+
+    Only files with a sheet that wants a proposal take one; the first claim on a
+    field wins, and the reader passes over columns that the file lacks.
+    """
+    gated = draft.catalogue.filter("wants_proposal").select(S.SOURCE_FILE).distinct()
+    named = proposals.join(gated, S.SOURCE_FILE, "left_semi").withColumnRenamed(S.SOURCE_FILE, "sheet_key")
+    checked = valid_proposals(named, named.select("sheet_key", "source_col").distinct())
+    mappings: dict[str, dict[str, str]] = {}
+    for row in checked.collect():  # at most one row per proposed field of a file
+        mappings.setdefault(row["sheet_key"], {})[row["source_col"]] = row["target_field"]
+    return mappings
+
+
 def detected_choices(catalogue: DataFrame) -> DataFrame:
     """The choices a user makes by accepting what was detected."""
     return catalogue.select(

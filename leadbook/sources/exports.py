@@ -71,6 +71,15 @@ def _header_cells(spark: SparkSession, layout) -> list[str | None]:
     return list(records.select(*[repair_encoding(F.col(c)) for c in records.columns]).first())
 
 
+def _checked_mapping(mapping: dict[str, str], headers: list[str]) -> dict[str, str]:
+    """The renames that a file can take: known column, known field, first claim on it."""
+    claims: dict[str, str] = {}
+    for source, field in mapping.items():
+        if source in headers and field in S.CANONICAL_FIELDS:
+            claims.setdefault(field, source)
+    return {source: field for field, source in claims.items()}
+
+
 def _read_layout(spark: SparkSession, paths: list[str], utf8: bool, names: list[str], multiline: bool) -> DataFrame:
     """All files of one header layout, in canonical columns plus `extras`."""
     positional = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
@@ -137,12 +146,13 @@ def read_exports(
     mappings: dict[str, dict[str, str]] | None = None,
     multiline: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """All rows of the files in canonical columns, and (source_file, matched_fields).
+    """All rows of the files in canonical columns, and (source_file, matched_fields, column_count).
 
     Headers drift from file to file, so files are grouped by header and encoding
     and each group is one scan over its own files.  The driver holds one short
     row per file, as it does for any file listing.  `mappings` renames columns of
-    single files before the alias table is applied.  Cells beyond a file's header
+    single files before the alias table is applied; a column that the file lacks, a
+    field that does not exist and a second claim on a field are passed over.  Cells beyond a file's header
     are kept in `extras` as `Unnamed: <place>`.  Files with line breaks
     inside cells need `multiline`, which reads each file in one task.
     """
@@ -153,17 +163,17 @@ def read_exports(
     )
     for row in listed.collect():
         headers = sheet_headers(_header_cells(spark, row))
-        mapping = (mappings or {}).get(row["file"], {})
+        mapping = _checked_mapping((mappings or {}).get(row["file"], {}), headers)
         names = canonical_names([mapping.get(h, h) for h in headers])
         layouts.setdefault((row["utf8"], tuple(names)), []).append(row["plain"])
-        matched.append((row["file"], matched_fields(names)))
+        matched.append((row["file"], matched_fields(names), len(names)))
     if not layouts:
         raise NoHeaderError("no file with a header row")
     scans = [_read_layout(spark, files, utf8, list(names), multiline) for (utf8, names), files in layouts.items()]
     rows = _with_row_order(stage(reduce(DataFrame.unionByName, scans), "export_rows"))
     named = repair_encoding(file_name(F.col(_PATH)))
     tagged = rows.withColumns({S.SOURCE_FILE: named, S.SOURCE_SHEET: named}).drop(_PATH)
-    matches = spark.createDataFrame(matched, f"{S.SOURCE_FILE} string, matched_fields long")
+    matches = spark.createDataFrame(matched, f"{S.SOURCE_FILE} string, matched_fields long, column_count long")
     return tagged, matches
 
 

@@ -95,6 +95,24 @@ def test_protected_fields_are_not_filled_from_notes(spark):
     assert [(r["phone"], r["current_city"]) for r in lifted.orderBy("row_ord").collect()] == [(None, f"P{i}") for i in range(4)]
 
 
+def test_proposals_reach_the_draft(spark, tmp_path):
+    put(tmp_path / "in", "new.csv", "Cust,Mob No,Mail To,Town,Wants\n" + "Amit,9824039892,a@b.c,Pune,3 BHK\n" * 3)
+    put(tmp_path / "in", "known.csv", "Name,Phone,Email,Budget,City\nB,2,x,1 Cr,Y\n")
+    folder = str(tmp_path / "in")
+    draft = book.read_draft(spark, folder)
+    wanted = {r["source_file"]: (r["column_count"], r["wants_proposal"]) for r in draft.catalogue.collect()}
+    assert wanted == {"new.csv": (5, True), "known.csv": (5, False)}
+    rows = [("new.csv", "Cust", "name", 1), ("new.csv", "Town", "name", 2), ("new.csv", "Mob No", "phone", 3), ("new.csv", "Nope", "email", 4),
+            ("new.csv", "Wants", "salary", 5), ("known.csv", "Name", "email", 6)]
+    proposals = spark.createDataFrame(rows, "source_file string, source_col string, target_field string, ord int")
+    mappings = book.accepted_proposals(draft, proposals)
+    assert mappings == {"new.csv": {"Cust": "name", "Mob No": "phone", "Nope": "email"}}
+    again = book.read_draft(spark, folder, mappings)
+    matched = {r["source_file"]: r["matched_fields"] for r in again.catalogue.collect()}
+    assert matched["new.csv"] == 2 and matched["known.csv"] == 5
+    assert again.rows.filter("source_file = 'new.csv'").first()["name"] == "Amit"
+
+
 def test_mapping_per_file(spark, tmp_path):
     put(tmp_path / "in", "new.csv", "Cust,Mob No,City\nAmit,9824039892,X\n")
     rows, matches = exports.read_exports(spark, str(tmp_path / "in"), {"new.csv": {"Cust": "name", "Mob No": "phone"}})
