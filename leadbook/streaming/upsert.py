@@ -38,17 +38,50 @@ def upsert_leads(rows: DataFrame, batch_id: int, rows_path: str, leads_path: str
     leads of the same buckets are carried over.  The new buckets are written in
     full to the shared folder before they replace the old ones.
     """
-    spark = rows.sparkSession
     keyed = with_bucket(standardise(rows).filter(F.col(S.PHONE_NORM).isNotNull()), buckets)
     _overwrite_partitions(keyed.withColumn(BATCH, F.lit(batch_id)), rows_path, (BATCH, BUCKET))
+    batch = rows.sparkSession.read.parquet(rows_path).filter(F.col(BATCH) == batch_id)
+    phones = stage(batch.select(S.PHONE_NORM, BUCKET).distinct(), "touched_phones")
+    _merge_again(phones, rows_path, leads_path, buckets)
+    discard(phones)
+
+
+def forget_upload(spark: SparkSession, upload_id: str, rows_path: str, leads_path: str, buckets: int = DEFAULT_BUCKETS) -> None:
+    """Take an upload's rows out of the maintained book, and merge the leads they were part of anew.
+
+    A lead without other rows goes.  An upload that the book does not hold changes nothing.
+    """
     stored = spark.read.parquet(rows_path)
-    batch = stored.filter(F.col(BATCH) == batch_id)
+    mine = F.col(S.UPLOAD_ID) == upload_id
+    phones = stage(stored.filter(mine).select(S.PHONE_NORM, BUCKET).distinct(), "touched_phones")
+    # At most one pair per folder of the layout that the upload reaches.
+    touched = {(r[BATCH], r[BUCKET]) for r in stored.filter(mine).select(BATCH, BUCKET).distinct().collect()}
+    if touched:
+        inside = F.col(BATCH).isin([b for b, _ in touched]) & F.col(BUCKET).isin([b for _, b in touched])
+        kept = stage(stored.filter(inside & ~F.coalesce(mine, F.lit(False))), "kept_rows")
+        full = {(r[BATCH], r[BUCKET]) for r in kept.select(BATCH, BUCKET).distinct().collect()}
+        _overwrite_partitions(kept, rows_path, (BATCH, BUCKET))
+        _remove(spark, [f"{rows_path}/{BATCH}={b}/{BUCKET}={k}" for b, k in touched - full])
+        _merge_again(phones, rows_path, leads_path, buckets)
+        discard(kept)
+    discard(phones)
+
+
+def _remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _merge_again(phones: DataFrame, rows_path: str, leads_path: str, buckets: int) -> None:
+    """Replace the leads of the given phones by what their stored rows merge to."""
+    spark = phones.sparkSession
     # At most one value per bucket, a number fixed by the layout.
-    numbers = [r[0] for r in batch.select(BUCKET).distinct().collect()]
+    numbers = [r[0] for r in phones.select(BUCKET).distinct().collect()]
     if not numbers:
         return
-    phones = stage(batch.select(S.PHONE_NORM).distinct(), "touched_phones")
-    nearby = stored.filter(F.col(BUCKET).isin(numbers)).drop(BATCH)
+    phones = phones.select(S.PHONE_NORM)
+    nearby = spark.read.parquet(rows_path).filter(F.col(BUCKET).isin(numbers)).drop(BATCH)
     again = _touched(nearby, phones, S.ROW_ORD).filter(F.col("__touched")).drop("__touched")
     book = with_bucket(merge_leads(again), buckets)
     if path_exists(spark, leads_path):
@@ -56,8 +89,10 @@ def upsert_leads(rows: DataFrame, batch_id: int, rows_path: str, leads_path: str
         carried = _touched(old, phones, S.ROW_ORD).filter(F.col("__touched").isNull()).drop("__touched")
         book = book.unionByName(carried, allowMissingColumns=True)
     buckets_now = stage(book, "lead_buckets")
+    left = {r[0] for r in buckets_now.select(BUCKET).distinct().collect()}
     _overwrite_partitions(buckets_now, leads_path, (BUCKET,))
-    discard(buckets_now, phones)
+    _remove(spark, [f"{leads_path}/{BUCKET}={b}" for b in numbers if b not in left])
+    discard(buckets_now)
 
 
 def upsert_stream(

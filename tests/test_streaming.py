@@ -73,4 +73,10 @@ def test_streamed_book_equals_the_pool(spark, tmp_path):
     flat = lambda df: sorted(map(str, df.select(*[F.to_json(c) if t.startswith("map") else c for c, t in df.select(*same).dtypes]).collect()))
     assert {"email", "budget", "current_city", S.MERGED_COUNT, S.MEMBER_FRAMES} <= set(same)
     assert flat(streamed) == flat(pool)
-    assert lead_table.read_uploads(spark, root).select("upload_id").distinct().count() == 3
+    uploads = [r[0] for r in lead_table.read_uploads(spark, root).select("upload_id").distinct().collect()]
+    assert len(uploads) == 3
+    for upload in sorted(uploads)[1:]:  # forgetting one leaves what the others merge to
+        lead_table.remove_upload(spark, root, upload)
+        upsert.forget_upload(spark, upload, *paths, buckets=4)
+        upsert.forget_upload(spark, "no such upload", *paths, buckets=4)
+        assert flat(upsert.read_book(spark, paths[1])) == flat(book.combined_pool(lead_table.read_uploads(spark, root)))
