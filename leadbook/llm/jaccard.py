@@ -19,18 +19,29 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadbook.llm.components import components
-from leadbook.runtime import stage
+from leadbook.llm.key_blocks import by_part, pack, pack_keys, unpack, unpack_keys
+from leadbook.runtime import discard, stage
 
 # Bits of a sketch block: wide enough that few elements of a block share a bit.
 BLOCK_BITS = 4096
+# Bits of the sketch that a candidate pair is held against before its texts are.
+SKETCH_BITS = 1024
 # Sizes of a band lie within this ratio.
 BAND_RATIO = 1.4
-# Pivots of a group grow by this factor from round to round.
-PIVOT_GROWTH = 4
+# Candidates that a set proposes in a group grow by this factor from round to round, until none is held back.
+ROUND_GROWTH = 8
+# Sets of a group that one task compares; larger groups are cut into blocks and compared by pairs of blocks.
+GROUP_SETS = 4_096
+# Rows of the groups that are dealt to one task.
+TASK_ROWS = 50_000
+# Characters of text for each part of the key space, and keys that a chunk of documents asks about at once.
+PART_CHARS = 16_000_000
+CHUNK_KEYS = 2_000_000
 
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -139,34 +150,177 @@ def block_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-_SKETCHED = "uid long, doc_id long, n_shingles long, node long, keys array<long>"
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """The set's parity sketch in SKETCH_BITS bits."""
+    places = (hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
 
 
-def sketched(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """One row per document: size and identity of its set, and its block keys.
+_SKETCHED = (
+    "uid long, doc_id long, n_shingles long, node long, sketch binary, keys array<long>, "
+    "chunk long, part long, asked binary, several binary"
+)
 
-    The identity is a 64-bit hash of the set (null for the empty set): n sets collide with
-    a chance of n^2 / 2^65.
+
+def sketched(docs: DataFrame, words: int, bands: Bands, parts: int) -> DataFrame:
+    """Rows of documents, and of the block keys that their chunks ask about.
+
+    A document's row has the size, identity, sketch and block keys of its set.  The identity is
+    a 64-bit hash of the set (null for the empty set): n sets collide with a chance of n^2 / 2^65.
+    A row with a `part` has a chunk's distinct keys in that part of the key space, and whether
+    several sets of the chunk have each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            sizes, nodes, keys = [], [], []
+            sizes, nodes, sketches, keys = [], [], [], []
             for text in batch.column(2):
                 hashes = shingles(text.as_py(), words)
                 sizes.append(len(hashes))
                 nodes.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63 if len(hashes) else None)
-                keys.append(block_keys(hashes, bands).view(np.int64))
+                sketches.append(sketch_of(hashes) if len(hashes) else None)
+                keys.append(block_keys(hashes, bands))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(offsets, np.concatenate(keys)) if keys else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), listed],
-                names=["uid", "doc_id", "n_shingles", "node", "keys"],
-            )
+            flat = np.concatenate([*keys, np.zeros(0, np.uint64)])
+            held.append((flat, np.repeat(np.array([n or 0 for n in nodes], np.int64), np.diff(offsets))))
+            yield _batch({
+                "uid": batch.column(0), "doc_id": batch.column(1), "n_shingles": sizes, "node": nodes, "sketch": sketches,
+                "keys": pa.ListArray.from_arrays(offsets, flat.view(np.int64)), "chunk": [chunk] * len(sizes),
+            })
+            size += len(flat)
+            if size >= CHUNK_KEYS:
+                yield _asks(chunk, held, parts)
+                chunk, held, size = chunk + 1, [], 0
+        if size:
+            yield _asks(chunk, held, parts)
 
     return docs.select("uid", "doc_id", "text").mapInArrow(run, _SKETCHED)
 
 
+_ARROW = pa.schema(
+    [(c, pa.int64()) for c in ("uid", "doc_id", "n_shingles", "node")] + [("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))]
+    + [("chunk", pa.int64()), ("part", pa.int64())] + [(c, pa.binary()) for c in ("asked", "several")]
+)
+
+
+def _batch(columns: dict) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays(
+        [c if isinstance(c := columns.get(f.name), pa.Array) else pa.array(c if c is not None else [None] * n, f.type) for f in _ARROW], schema=_ARROW
+    )
+
+
+def _asks(chunk: int, held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """The rows of a chunk's distinct keys, one a part."""
+    keys, nodes = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    last = np.concatenate([first[1:], [len(keys)]]) - 1
+    several = nodes[first] != nodes[last]
+    keys = keys[first]
+    rows = by_part(keys, parts)
+    return _batch({
+        "chunk": [chunk] * len(rows), "part": [p for p, _ in rows], "asked": [pack_keys(keys[ix]) for _, ix in rows],
+        "several": [pack(np.packbits(several[ix])) for _, ix in rows],
+    })
+
+
+def _answer(group: pd.DataFrame) -> pd.DataFrame:
+    """Per chunk of a part, which of its keys another chunk or several of its own sets have."""
+    keys = [unpack_keys(k) for k in group["asked"]]
+    several = np.concatenate([np.unpackbits(unpack(s, "u1"), count=len(k)) for s, k in zip(group["several"], keys)])
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    uses = np.diff([*first, len(flat)])
+    shared = (uses > 1) | (np.maximum.reduceat(several[order], first) > 0)
+    told = np.empty(len(flat), bool)
+    told[order] = np.repeat(shared, uses)
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    return group[["chunk", "part"]].assign(shared=[pack(np.packbits(t)) for t in np.split(told, cuts)])
+
+
+def _shared_keys(parts: int):
+    """(key, node) of a chunk's documents for the keys that more than one set may have."""
+
+    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node")
+        lengths = rows["keys"].map(len).to_numpy()
+        flat = np.concatenate([np.asarray(k, np.int64) for k in rows["keys"]] or [np.zeros(0, np.int64)]).view(np.uint64)
+        keys = np.unique(flat)
+        told = np.zeros(len(keys), bool)
+        own = answers.set_index("part")["shared"]
+        for part, ix in by_part(keys, parts):
+            told[ix] = np.unpackbits(unpack(own[part], "u1"), count=len(ix)).astype(bool)
+        kept = told[np.searchsorted(keys, flat)] if len(keys) else np.zeros(0, bool)
+        return pd.DataFrame({"key": flat.view(np.int64), "node": np.repeat(rows["node"].to_numpy(), lengths)})[kept]
+
+    return run
+
+
+def _candidates(bands: Bands, limit: int):
+    """Pairs of a group whose sketches differ in no more bits than similar sets may.
+
+    Only pairs of different components count.  Each set proposes its `limit` smallest; `more`
+    tells that it holds others back.  A set that is in any such pair, proposed or not, is also
+    paired with itself.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["group", "node"])
+        group, node, root, n, side = (rows[c].to_numpy() for c in ("group", "node", "root", "n", "side"))
+        bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        last = np.repeat(edge[1:], np.diff(edge))
+        proposed, held, met = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        room = last - np.arange(len(rows))
+        for shift in range(int(room.max()) - 1, 0, -1):
+            low = np.flatnonzero(room > shift)
+            high = low + shift
+            small, large = np.minimum(n[low], n[high]), np.maximum(n[low], n[high])
+            fits = (root[low] != root[high]) & (node[low] != node[high]) & (small * bands.den >= large * bands.num)
+            fits &= (side[low] != side[high]) | (side[low] == 0)  # side 0: the block meets itself
+            low, high = low[fits], high[fits]
+            apart = np.bitwise_count(bits[low] ^ bits[high]).sum(1)
+            near = apart <= (n[low] + n[high]) * (bands.den - bands.num) // (bands.den + bands.num)
+            low, high = low[near], high[near]
+            met[low] = met[high] = True
+            full = proposed[high] >= limit
+            held[high[full]] = True
+            low, high = low[~full], high[~full]
+            proposed[high] += 1
+            found.append((node[high], node[low]))
+        found.append((node[met], node[met]))
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        return pd.DataFrame({"a": a, "b": b, "more": np.isin(a, node[held])}).drop_duplicates()
+
+    return run
+
+
+def _dealt(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """From rows (key, node, root) those of keys with several roots, with `group`, `side`, and n and sketch of `sets`.
+
+    A group of more than GROUP_SETS sets is cut into blocks by hash; each pair of its blocks
+    is a group of its own, in which only sets of different blocks meet (side 1 and 2).
+    """
+    sizes = blocks.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    open_ = blocks.join(sizes.select("key", "size"), "key")
+    cuts = F.ceil(F.col("size") / GROUP_SETS).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("cuts") - 1),
+        lambda j: F.struct(
+            F.xxhash64("key", F.least(F.col("block"), j), F.greatest(F.col("block"), j)).alias("group"),
+            F.when(F.col("block") == j, 0).when(F.col("block") < j, 1).otherwise(2).alias("side"),
+        ),
+    )
+    cut = open_.withColumn("cuts", cuts).withColumn("block", block)
+    return cut.withColumn("pair", F.explode(pairs)).select("pair.*", "node", "root").join(sets.select("node", "n", "sketch"), "node")
+
+
 def similar(pairs: DataFrame, words: int, bands: Bands) -> DataFrame:
     """Pairs (a, b, text_a, text_b) whose texts reach the similarity, compared exactly."""
 
@@ -194,20 +348,32 @@ def similarity_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     one without words) links with nothing and leads itself.  uid must be unique; among equal
     doc_ids the smaller uid leads, null doc_ids come last.  An empty table gives no rows.
 
-    Only pairs within one component are ever left uncompared: in each round the pivots of a
-    block's group are compared with all its other sets, components are joined, groups inside
-    one component are done and pivots leave their groups, until no group is left.
+    Only pairs within one component are ever left uncompared: in each round the sets of a
+    block's group propose candidates outside their component, smallest first, links are
+    verified and components joined, until no set holds a candidate back.
     """
     bands = Bands(num, den)
-    rows = stage(sketched(docs, words, bands), "sketched")
+    chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    parts = max(8, -(-chars // PART_CHARS))
+    table = stage(sketched(docs, words, bands, parts), "sketched")
+    rows = table.where(F.col("part").isNull())
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid")
     nodes = rows.where(F.col("node").isNotNull())
-    classes = stage(nodes.groupBy("node").agg(F.min(order).alias("lead"), F.max("n_shingles").alias("n")), "classes")
-    roots = components(_links(docs, rows, classes, words, bands))
+    classes = nodes.groupBy("node").agg(F.min(order).alias("lead"), F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
+    classes = stage(classes, "classes")
+    asks = table.where(F.col("part").isNotNull()).select("chunk", "part", "asked", "several")
+    answers = asks.groupBy("part").applyInPandas(_answer, "chunk long, part long, shared binary")
+    keyed = rows.where(F.size("keys") > 0).select("chunk", "node", "keys").groupBy("chunk")
+    shared = keyed.cogroup(answers.groupBy("chunk")).applyInPandas(_shared_keys(parts), "key long, node long")
+    blocks = stage(shared.distinct(), "blocks")
+    links = stage(_links(docs, blocks, classes, words, bands), "all-links")
+    discard(blocks)
+    roots = components(links)
     at = F.coalesce("root", "node").alias("root")
     rooted = classes.join(roots, "node", "left").select("node", "lead", at)
     leads = rooted.groupBy("root").agg(F.min("lead").alias("first"))
     labels = stage(rooted.select("node", "root").join(leads, "root").select("node", "first"), "labels")
+    discard(links, classes)
     joined = rows.select("uid", "doc_id", "n_shingles", "node").join(labels, "node", "left")
     empty = F.col("node").isNull()
     return joined.select(
@@ -219,43 +385,31 @@ def similarity_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     )
 
 
-def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, bands: Bands) -> DataFrame:
+def _links(docs: DataFrame, blocks: DataFrame, classes: DataFrame, words: int, bands: Bands) -> DataFrame:
     """Verified links that connect all sets that are connected by any links."""
-    blocks = rows.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
-    shared = blocks.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    open_ = stage(blocks.join(shared, "key").distinct(), "blocks")
-    needed = open_.select("node").distinct().join(classes.select("node", F.col("lead.uid").alias("uid")), "node")
-    texts = stage(needed.join(docs.select("uid", "text"), "uid").select("node", "text"), "block-texts")
-    links = tested = None
-    pivots = 1
+    schema = "a long, b long, more boolean"
+    texts = links = None
+    limit = 1
+    roots = blocks.withColumn("root", F.col("node"))
     while True:
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        first = open_.withColumn("rank", rank).where(F.col("rank") <= pivots)
-        first = first.select("key", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), *(["root"] if links is not None else []))
-        if links is not None:
-            first = first.withColumnRenamed("root", "pivot_root")
-        met = open_.join(first, "key").where("node > pivot")
-        met = met.where(F.least("n", "pivot_n") * bands.den >= F.greatest("n", "pivot_n") * bands.num)
-        if links is not None:
-            met = met.where("root <> pivot_root")
-        pairs = met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("n"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if pivots == 1:  # first only the pivot that a set meets most often
-            pairs = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")
-        pairs = stage(pairs.select("a", "b"), "pairs")
-        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        dealt = stage(_dealt(roots, classes), "groups")
+        tasks = max(1, -(-dealt.count() // TASK_ROWS))
+        tasked = dealt.groupBy(F.pmod("group", F.lit(tasks)).alias("task"))
+        pairs = stage(tasked.applyInPandas(_candidates(bands, limit), schema), "candidates")
+        discard(dealt)
+        if limit == 1:  # texts of the sets that are in any candidate pair, of this or a later round
+            nodes = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
+            needed = nodes.join(classes.select("node", F.col("lead.uid").alias("uid")), "node")
+            texts = stage(needed.join(docs.select("uid", "text"), "uid").select("node", "text"), "group-texts")
+        chosen = pairs.where("a <> b").select("a", "b").distinct()
+        left = chosen.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         found = stage(similar(both.select("a", "b", "text_a", "text_b"), words, bands), "similar")
         links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if pivots > 1:
-            passed = first.select("key", F.col("pivot").alias("node"))
-            open_ = open_.join(passed, ["key", "node"], "left_anti")
-        roots = components(links)
-        open_ = open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        open_ = stage(open_.join(apart, "key"), "blocks")
-        if open_.isEmpty():
+        done = pairs.where("more").isEmpty()
+        discard(pairs)
+        if done:
             return links
-        pivots *= PIVOT_GROWTH
+        known = components(links)
+        roots = blocks.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        limit *= ROUND_GROWTH
