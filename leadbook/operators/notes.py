@@ -184,10 +184,8 @@ def lift_notes(df: DataFrame, proposals: dict[str, str] | None = None) -> DataFr
 
 
 def _attach_kept(rows: DataFrame, per_sheet: DataFrame) -> DataFrame:
-    """The kept labels of each row's sheet, by a size-checked lookup on text."""
-    as_text = stage(per_sheet.withColumn("__kept", F.to_json("__kept")), "kept_labels")
-    joined = lookup_join(rows, as_text, list(SHEET_KEYS), S.ROW_ORD)
-    return joined.withColumn("__kept", F.from_json("__kept", S.STRING_MAP))
+    """The kept labels of each row's sheet, by a size-checked lookup."""
+    return lookup_join(rows, stage(per_sheet, "kept_labels"), list(SHEET_KEYS), S.ROW_ORD)
 
 
 def note_columns(df: DataFrame) -> DataFrame:

@@ -104,10 +104,12 @@ def small_copy(table: DataFrame) -> DataFrame | None:
     At most BROADCAST_ROWS + 1 rows reach the driver, and a text too long for
     the byte bound is left behind on the executors, so the probe is bounded too.
     """
-    texts = [f.name for f in table.schema.fields if f.dataType.typeName() == "string"]
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
-    fits = size <= BROADCAST_ROW_BYTES
-    kept = [F.when(fits, F.col(c)).alias(c) if c in texts else F.col(c) for c in table.columns]
+    kinds = {f.name: f.dataType.typeName() for f in table.schema.fields}
+    texts = [c for c, kind in kinds.items() if kind == "string"]
+    nested = [c for c, kind in kinds.items() if kind in ("map", "array", "struct")]
+    lengths = [F.octet_length(c) for c in texts] + [F.octet_length(F.to_json(F.struct(c))) for c in nested]
+    fits = sum((F.coalesce(n, F.lit(0)) for n in lengths), F.lit(0)) <= BROADCAST_ROW_BYTES
+    kept = [F.when(fits, F.col(c)).alias(c) if c in texts or c in nested else F.col(c) for c in table.columns]
     probe = table.select(*kept, fits.alias("__fits")).limit(BROADCAST_ROWS + 1).collect()
     if len(probe) > BROADCAST_ROWS or not all(r["__fits"] for r in probe):
         return None
