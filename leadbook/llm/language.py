@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadbook.llm.worker_cache import held
+
 UNKNOWN = "und"
 # The sample that fits the automata: at most so many distinct labelled texts of a language,
 # so many leading characters of each, and so many characters over all languages.
 SAMPLE_TEXTS = 200
 SAMPLE_TEXT_CHARS = 2_000
-SAMPLE_CHARS = 400_000
+SAMPLE_CHARS = 240_000
 # Words of one worker's memo, which is emptied when full, and the longest word it keeps.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 MEMO_WORD_CHARS = 64
 
 _WORDS = regex.compile(r"(?:\p{L}\p{M}*)+")
@@ -29,41 +31,56 @@ def words_of(text: str | None) -> list[str]:
 
 
 class SuffixAutomaton:
-    """The minimal automaton of all substrings of a text."""
+    """The minimal automaton of all substrings of a text.
+
+    Most states have one way on; only the others keep a table.
+    """
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
+        states = self._states(text)
+        self.only = [next(iter(d)) if len(d) == 1 else None for d in states]
+        self.ahead = array("q", [next(iter(d.values())) if len(d) == 1 else 0 for d in states])
+        self.ways = {k: d for k, d in enumerate(states) if len(d) != 1}
+
+    @staticmethod
+    def _states(text: str) -> list[dict[str, int]]:
+        out: list[dict[str, int]] = [{}]
         link, length, last = [-1], [0], 0
         for ch in text:
-            state = len(self.next)
-            self.next.append({})
+            state = len(out)
+            out.append({})
             length.append(length[last] + 1)
             link.append(0)
             p = last
-            while p >= 0 and ch not in self.next[p]:
-                self.next[p][ch] = state
+            while p >= 0 and ch not in out[p]:
+                out[p][ch] = state
                 p = link[p]
             if p >= 0:
-                q = self.next[p][ch]
+                q = out[p][ch]
                 if length[p] + 1 == length[q]:
                     link[state] = q
                 else:
-                    clone = len(self.next)
-                    self.next.append(dict(self.next[q]))
+                    clone = len(out)
+                    out.append(dict(out[q]))
                     length.append(length[p] + 1)
                     link.append(link[q])
                     link[q] = link[state] = clone
-                    while p >= 0 and self.next[p].get(ch) == q:
-                        self.next[p][ch] = clone
+                    while p >= 0 and out[p].get(ch) == q:
+                        out[p][ch] = clone
                         p = link[p]
             last = state
+        return out
 
     def phrases(self, text: str) -> int:
         """Phrases of the parse in which each is the longest match from its start; a strange character is one."""
         count, at, end = 0, 0, len(text)
+        only, ahead, ways = self.only, self.ahead, self.ways
         while at < end:
             state, start = 0, at
-            while at < end and (step := self.next[state].get(text[at])) is not None:
+            while at < end:
+                step = ahead[state] if only[state] == text[at] else ways[state].get(text[at]) if state in ways else None
+                if step is None:
+                    break
                 state, at = step, at + 1
             at += at == start
             count += 1
@@ -153,15 +170,8 @@ def training_texts(labelled: DataFrame) -> dict[str, str]:
     return {k: t[:room] for k, t in texts.items()}
 
 
-_PARSERS: dict[tuple, CrossParser] = {}
-
-
 def _parser(texts: dict[str, str]) -> CrossParser:
-    key = tuple(sorted(texts.items()))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(texts)
-    return _PARSERS[key]
+    return held(("parser", tuple(sorted(texts.items()))), lambda: CrossParser(texts))
 
 
 def with_language(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataFrame:
@@ -174,10 +184,11 @@ def with_language(docs: DataFrame, texts: dict[str, str], text: str = "text") ->
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(texts)  # at most SAMPLE_CHARS characters
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(column: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def judge(column: pa.Array) -> pa.Array:
         parser = _parser(shared.value)
-        return pd.DataFrame([parser.predict(t) for t in column], columns=["lang_pred", "score"])
+        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+        return pa.array([dict(zip(("lang_pred", "score"), parser.predict(t.as_py()))) for t in column], kind)
 
     return docs.withColumn("__judged", judge(F.col(text))).select(*docs.columns, "__judged.*")
 

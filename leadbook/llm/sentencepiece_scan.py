@@ -20,9 +20,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece as spm
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from leadbook.llm.worker_cache import held
 
 CHUNK_CHARS = 65_536
 # Pairs of pieces of one worker's memo, which is emptied when full.
@@ -240,13 +244,8 @@ def _shift(matrix: Matrix, by: int) -> Matrix:
     return {(a + by, p): {(b + by, q): w for (b, q), w in row.items()} for (a, p), row in matrix.items()}
 
 
-_LATTICES: dict[str, Lattice] = {}
-
-
 def lattice(model: str) -> Lattice:
-    if model not in _LATTICES:
-        _LATTICES[model] = Lattice(model)
-    return _LATTICES[model]
+    return held(("lattice", model), lambda: Lattice(model))
 
 
 _PARTS = "uid long, k int, first long, begin int, end int, text string"
@@ -262,9 +261,13 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = CHUNK_CHARS, carr
     rows = docs.select("uid", *carry, F.col("text").cast("string").alias("text"))
     giant = F.coalesce(F.char_length("text") >= chunk, F.lit(False))  # the blank put before a text counts
 
-    @F.pandas_udf("array<int>")
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series(lattice(model).processor.encode(texts.fillna("").tolist(), num_threads=1))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lattice(model).processor
+        for batch in batches:
+            for part in _slices(batch):
+                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                ids = [np.array(i, np.int32) for i in own.encode(texts, num_threads=1)]
+                yield _with_column(part.select(range(part.num_columns - 1)), "ids", _lists(ids))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = lattice(model)
@@ -301,9 +304,11 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = CHUNK_CHARS, carr
             ]
             yield batch[["uid", "k"]].assign(ids=ids)
 
-    small = rows.where(~giant).select("uid", *carry, whole("text").alias("ids"))
+    kept = rows.select("uid", *carry).schema
+    small = rows.where(~giant).mapInArrow(whole, T.StructType([*kept.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     chunks = rows.where(giant).select("uid", "text").mapInPandas(split, _PARTS)
-    chunks = chunks.repartition("uid", "k")  # the chunks of one document go to many tasks
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(tasks, "uid", "k")  # the chunks of one document go to many tasks
     matrices = chunks.mapInPandas(transfer, "uid long, k int, matrix binary")
     states = matrices.groupBy("uid").applyInPandas(borders, "uid long, k int, start long, start_piece string, stop long, stop_piece string")
     traced = chunks.join(states, ["uid", "k"]).mapInPandas(trace, "uid long, k int, ids array<int>")
@@ -324,12 +329,31 @@ def decode_documents(ids: DataFrame, model: str) -> DataFrame:
     Byte pieces that are no valid UTF-8 become U+FFFD, as in the library.
     """
 
-    @F.pandas_udf("string")
-    def text(column: pd.Series) -> pd.Series:
+    place = ids.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model).processor
-        return pd.Series([own.decode(np.asarray(i).tolist()) if i is not None and len(i) else "" for i in column], dtype=object)
+        for batch in batches:
+            for part in _slices(batch):
+                texts = [own.decode(i) if i else "" for i in part.column(place).to_pylist()]
+                yield _with_column(part, "text", pa.array(texts, pa.string()))
+
+    return ids.mapInArrow(run, T.StructType([*ids.schema.fields, T.StructField("text", T.StringType())]))
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, since ids as Python numbers take ten times their text."""
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
+def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+
 
-    return ids.withColumn("text", text("ids"))
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate([*arrays, np.zeros(0, np.int32)]))
 
 
 def matrix_of(model: str, text: str, chunk: int) -> Matrix:

@@ -16,8 +16,10 @@ from pathlib import Path
 
 from tokenizers import Tokenizer
 
+from leadbook.llm.worker_cache import held
+
 # Entries of one worker's memo; it is emptied when full, which costs time, never results.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 250_000
 
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _OTHER_SAFE = " \t\n!-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷"
@@ -92,11 +94,6 @@ def _cut_rule(spec: dict) -> tuple[re.Pattern | None, bool]:
     return None, False
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; its memo lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for a tokenizer file, with its memo."""
+    return held(("encoder", path), lambda: Encoder(path))
