@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from leadbook.llm.components import components
 from leadbook.llm.key_blocks import by_part, pack, pack_keys, unpack, unpack_keys
+from leadbook.llm.worker_cache import release
 from leadbook.runtime import discard, stage
 
 # Bits of a sketch block: wide enough that few elements of a block share a bit.
@@ -41,7 +42,7 @@ GROUP_SETS = 4_096
 TASK_ROWS = 50_000
 # Characters of text for each part of the key space, and keys that a chunk of documents asks about at once.
 PART_CHARS = 16_000_000
-CHUNK_KEYS = 2_000_000
+CHUNK_KEYS = 500_000
 
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -157,22 +158,22 @@ def sketch_of(hashes: np.ndarray) -> bytes:
 
 
 _SKETCHED = (
-    "uid long, doc_id long, n_shingles long, node long, sketch binary, keys array<long>, "
-    "chunk long, part long, asked binary, several binary"
+    "uid long, doc_id long, n_shingles long, node long, sketch binary, chunk long, place int, part long, asked binary, places binary"
 )
 
 
 def sketched(docs: DataFrame, words: int, bands: Bands, parts: int) -> DataFrame:
-    """Rows of documents, and of the block keys that their chunks ask about.
+    """Rows of documents, and of the block keys of their chunks.
 
-    A document's row has the size, identity, sketch and block keys of its set.  The identity is
-    a 64-bit hash of the set (null for the empty set): n sets collide with a chance of n^2 / 2^65.
-    A row with a `part` has a chunk's distinct keys in that part of the key space, and whether
-    several sets of the chunk have each.
+    A document's row has the size, identity and sketch of its set, and its place in its chunk.  The
+    identity is a 64-bit hash of the set (null for the empty set): n sets collide with a chance of
+    n^2 / 2^65.  A row with a `part` has the sorted keys of a chunk in that part of the key space, each
+    with the place of a document of every set that has it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+        release()
+        chunk, held, size, place = TaskContext.get().partitionId() << 32, [], 0, 0
         for batch in batches:
             sizes, nodes, sketches, keys = [], [], [], []
             for text in batch.column(2):
@@ -181,17 +182,18 @@ def sketched(docs: DataFrame, words: int, bands: Bands, parts: int) -> DataFrame
                 nodes.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63 if len(hashes) else None)
                 sketches.append(sketch_of(hashes) if len(hashes) else None)
                 keys.append(block_keys(hashes, bands))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate([*keys, np.zeros(0, np.uint64)])
-            held.append((flat, np.repeat(np.array([n or 0 for n in nodes], np.int64), np.diff(offsets))))
+            lengths = [len(k) for k in keys]
+            places = np.arange(place, place + len(sizes), dtype=np.uint32)
+            named = np.array([n or 0 for n in nodes], np.int64)
+            held.append((np.concatenate([*keys, np.zeros(0, np.uint64)]), np.repeat(named, lengths), np.repeat(places, lengths)))
             yield _batch({
                 "uid": batch.column(0), "doc_id": batch.column(1), "n_shingles": sizes, "node": nodes, "sketch": sketches,
-                "keys": pa.ListArray.from_arrays(offsets, flat.view(np.int64)), "chunk": [chunk] * len(sizes),
+                "chunk": [chunk] * len(sizes), "place": places.tolist(),
             })
-            size += len(flat)
+            size, place = size + sum(lengths), place + len(sizes)
             if size >= CHUNK_KEYS:
                 yield _asks(chunk, held, parts)
-                chunk, held, size = chunk + 1, [], 0
+                chunk, held, size, place = chunk + 1, [], 0, 0
         if size:
             yield _asks(chunk, held, parts)
 
@@ -199,8 +201,8 @@ def sketched(docs: DataFrame, words: int, bands: Bands, parts: int) -> DataFrame
 
 
 _ARROW = pa.schema(
-    [(c, pa.int64()) for c in ("uid", "doc_id", "n_shingles", "node")] + [("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))]
-    + [("chunk", pa.int64()), ("part", pa.int64())] + [(c, pa.binary()) for c in ("asked", "several")]
+    [(c, pa.int64()) for c in ("uid", "doc_id", "n_shingles", "node")] + [("sketch", pa.binary()), ("chunk", pa.int64())]
+    + [("place", pa.int32()), ("part", pa.int64()), ("asked", pa.binary()), ("places", pa.binary())]
 )
 
 
@@ -211,53 +213,31 @@ def _batch(columns: dict) -> pa.RecordBatch:
     )
 
 
-def _asks(chunk: int, held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
-    """The rows of a chunk's distinct keys, one a part."""
-    keys, nodes = (np.concatenate(c) for c in zip(*held))
+def _asks(chunk: int, held: list[tuple[np.ndarray, ...]], parts: int) -> pa.RecordBatch:
+    """The rows of a chunk's keys, one a part; a set of several documents counts once."""
+    keys, nodes, places = (np.concatenate(c) for c in zip(*held))
     order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    last = np.concatenate([first[1:], [len(keys)]]) - 1
-    several = nodes[first] != nodes[last]
-    keys = keys[first]
+    keys, nodes, places = keys[order], nodes[order], places[order]
+    first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
+    keys, places = keys[first], places[first]
     rows = by_part(keys, parts)
     return _batch({
-        "chunk": [chunk] * len(rows), "part": [p for p, _ in rows], "asked": [pack_keys(keys[ix]) for _, ix in rows],
-        "several": [pack(np.packbits(several[ix])) for _, ix in rows],
+        "chunk": [chunk] * len(rows), "part": [p for p, _ in rows],
+        "asked": [pack_keys(keys[ix]) for _, ix in rows], "places": [pack(places[ix].astype("<u4")) for _, ix in rows],
     })
 
 
-def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    """Per chunk of a part, which of its keys another chunk or several of its own sets have."""
+def _shared_keys(group: pd.DataFrame) -> pd.DataFrame:
+    """(key, chunk, place) for the keys of a part that occur more than once."""
     keys = [unpack_keys(k) for k in group["asked"]]
-    several = np.concatenate([np.unpackbits(unpack(s, "u1"), count=len(k)) for s, k in zip(group["several"], keys)])
     flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
     uses = np.diff([*first, len(flat)])
-    shared = (uses > 1) | (np.maximum.reduceat(several[order], first) > 0)
-    told = np.empty(len(flat), bool)
-    told[order] = np.repeat(shared, uses)
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return group[["chunk", "part"]].assign(shared=[pack(np.packbits(t)) for t in np.split(told, cuts)])
-
-
-def _shared_keys(parts: int):
-    """(key, node) of a chunk's documents for the keys that more than one set may have."""
-
-    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node")
-        lengths = rows["keys"].map(len).to_numpy()
-        flat = np.concatenate([np.asarray(k, np.int64) for k in rows["keys"]] or [np.zeros(0, np.int64)]).view(np.uint64)
-        keys = np.unique(flat)
-        told = np.zeros(len(keys), bool)
-        own = answers.set_index("part")["shared"]
-        for part, ix in by_part(keys, parts):
-            told[ix] = np.unpackbits(unpack(own[part], "u1"), count=len(ix)).astype(bool)
-        kept = told[np.searchsorted(keys, flat)] if len(keys) else np.zeros(0, bool)
-        return pd.DataFrame({"key": flat.view(np.int64), "node": np.repeat(rows["node"].to_numpy(), lengths)})[kept]
-
-    return run
+    kept = order[np.repeat(uses > 1, uses)]
+    chunks = np.repeat(group["chunk"].to_numpy(np.int64), [len(k) for k in keys])
+    places = np.concatenate([unpack(p, "<u4") for p in group["places"]])
+    return pd.DataFrame({"key": flat[kept].view(np.int64), "chunk": chunks[kept], "place": places[kept].astype(np.int32)})
 
 
 def _candidates(bands: Bands, limit: int):
@@ -324,19 +304,19 @@ def _dealt(blocks: DataFrame, sets: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, words: int, bands: Bands) -> DataFrame:
     """Pairs (a, b, text_a, text_b) whose texts reach the similarity, compared exactly."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, known = None, None
         for batch in batches:
             linked = []
-            for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"]):
+            for b, text_a, text_b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 if b != pivot:
-                    pivot, known = b, shingles(text_b, words)
-                own = shingles(text_a, words)
+                    pivot, known = b, shingles(text_b.as_py(), words)
+                own = shingles(text_a.as_py(), words)
                 common = len(np.intersect1d(own, known, assume_unique=True))
                 linked.append(bands.den * common >= bands.num * (len(own) + len(known) - common))
-            yield batch.loc[linked, ["a", "b"]]
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    return pairs.sortWithinPartitions("b").mapInPandas(run, "a long, b long")
+    return pairs.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
 
 
 def similarity_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -361,10 +341,9 @@ def similarity_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     nodes = rows.where(F.col("node").isNotNull())
     classes = nodes.groupBy("node").agg(F.min(order).alias("lead"), F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
     classes = stage(classes, "classes")
-    asks = table.where(F.col("part").isNotNull()).select("chunk", "part", "asked", "several")
-    answers = asks.groupBy("part").applyInPandas(_answer, "chunk long, part long, shared binary")
-    keyed = rows.where(F.size("keys") > 0).select("chunk", "node", "keys").groupBy("chunk")
-    shared = keyed.cogroup(answers.groupBy("chunk")).applyInPandas(_shared_keys(parts), "key long, node long")
+    asks = table.where(F.col("part").isNotNull()).select("part", "chunk", "asked", "places")
+    shared = asks.groupBy("part").applyInPandas(_shared_keys, "key long, chunk long, place int")
+    shared = shared.join(rows.select("chunk", "place", "node"), ["chunk", "place"]).select("key", "node")
     blocks = stage(shared.distinct(), "blocks")
     links = stage(_links(docs, blocks, classes, words, bands), "all-links")
     discard(blocks)

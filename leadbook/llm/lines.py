@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadbook.llm.worker_cache import release
+
 # Words that a run of aligned lines needs to be deleted: shorter ones may be chance.
 BLOCK_WORDS = 10
 
@@ -72,6 +74,7 @@ _LINES = "uid long, doc_id long, place int, words int, line long"
 
 def _lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows, places, words, keys = [], [], [], []
             for row, text in enumerate(batch.column(2)):
