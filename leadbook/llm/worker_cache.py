@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
+import pyarrow as pa
+
 T = TypeVar("T")
 _HELD: dict[Hashable, object] = {}
 
@@ -18,5 +21,7 @@ def held(key: Hashable, make: Callable[[], T]) -> T:
 
 
 def release() -> None:
-    """Let go of what the worker holds; for operators that need its memory and hold nothing themselves."""
+    """Let go of what the worker holds, back to the system; for operators that hold nothing themselves."""
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
