@@ -20,7 +20,7 @@ SAMPLE_TEXTS = 200
 SAMPLE_TEXT_CHARS = 2_000
 SAMPLE_CHARS = 240_000
 # Words of one worker's memo, which is emptied when full, and the longest word it keeps.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 250_000
 MEMO_WORD_CHARS = 64
 
 _WORDS = regex.compile(r"(?:\p{L}\p{M}*)+")
@@ -40,7 +40,7 @@ class SuffixAutomaton:
         states = self._states(text)
         self.only = [next(iter(d)) if len(d) == 1 else None for d in states]
         self.ahead = array("q", [next(iter(d.values())) if len(d) == 1 else 0 for d in states])
-        self.ways = {k: d for k, d in enumerate(states) if len(d) != 1}
+        self.ways = [d if len(d) != 1 else None for d in states]
 
     @staticmethod
     def _states(text: str) -> list[dict[str, int]]:
@@ -78,10 +78,14 @@ class SuffixAutomaton:
         while at < end:
             state, start = 0, at
             while at < end:
-                step = ahead[state] if only[state] == text[at] else ways[state].get(text[at]) if state in ways else None
-                if step is None:
+                ch = text[at]
+                if only[state] == ch:
+                    state = ahead[state]
+                elif (table := ways[state]) and ch in table:
+                    state = table[ch]
+                else:
                     break
-                state, at = step, at + 1
+                at += 1
             at += at == start
             count += 1
         return count
