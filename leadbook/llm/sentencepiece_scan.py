@@ -60,6 +60,13 @@ class Lattice:
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
         self.longest = max(map(len, self.ids), default=1)
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.vocab_size()) if sp.is_byte(i)}
+        # text of each id that stands for itself; the others need the library
+        self.shown: list[str | None] = [None] * sp.vocab_size()
+        for piece, i in self.ids.items():
+            self.shown[i] = piece.replace("▁", " ")
+        for byte, i in self.bytes.items():
+            self.shown[i] = chr(byte) if byte < 128 else None
+        self.joins = sp.normalize("a  b") == "▁a▁▁b"
         self.merges = _is_bpe(model)
         self.strange = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.memo: dict[tuple[str, str], bool] = {}
@@ -176,6 +183,14 @@ class Lattice:
         ids = [self.trace(whole, s, t, b) for (_, b), s, t in zip(parts, states, states[1:])]
         return self.joined(ids)
 
+    def decode(self, ids: list[int]) -> str:
+        """The library's text of the ids; ids that stand for themselves are joined without it."""
+        if self.joins and ids and self.processor.id_to_piece(ids[0]).startswith("▁"):
+            parts = [self.shown[i] for i in ids]
+            if None not in parts:
+                return "".join(parts)[1:]
+        return self.processor.decode(ids) if ids else ""
+
     def joined(self, chunks: list[list[int]]) -> list[int]:
         """Chunks' ids in order; without byte pieces a run of unknown characters is one id."""
         ids = [i for part in chunks for i in part]
@@ -332,10 +347,10 @@ def decode_documents(ids: DataFrame, model: str) -> DataFrame:
     place = ids.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lattice(model).processor
+        own = lattice(model)
         for batch in batches:
             for part in _slices(batch):
-                texts = [own.decode(i) if i else "" for i in part.column(place).to_pylist()]
+                texts = [own.decode(i or []) for i in part.column(place).to_pylist()]
                 yield _with_column(part, "text", pa.array(texts, pa.string()))
 
     return ids.mapInArrow(run, T.StructType([*ids.schema.fields, T.StructField("text", T.StringType())]))
