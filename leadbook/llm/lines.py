@@ -5,11 +5,14 @@ pairs grow with the lines and not with the square of a line's documents, however
 common it is.  Equal lines of one text are told apart by their ordinal (the second
 "x" of a text matches only a second "x"), which makes every line unique in its
 text, as patience diff asks: per pair, the longest increasing run of common lines
-is the alignment.  Runs of aligned lines leave the later document.
+is the alignment.  Runs of aligned lines leave the later document if they are long
+enough for the number of documents that hold them.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -22,8 +25,24 @@ from pyspark.sql import functions as F
 
 from leadbook.llm.worker_cache import release
 
-# Words that a run of aligned lines needs to be deleted: shorter ones may be chance.
+# Words that a run of aligned lines needs to be deleted: shorter ones may be chance.  A line
+# counts its words once for every doubling of the documents that hold it.
 BLOCK_WORDS = 10
+# Characters that count as a word where there are fewer blanks, and letters of scripts that
+# are written without blanks, of which two count as one.
+WORD_CHARS = 6
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def words_in(line: str) -> int:
+    """Length of a line in words, whether or not its script sets blanks between them."""
+    chars = len(line) if line.isascii() else len(line) + (WORD_CHARS // 2 - 1) * len(_UNSPACED.findall(line))
+    return max(line.count(" ") + 1, chars // WORD_CHARS)
+
+
+def weight_of(words: int, holders: int) -> float:
+    """Words that a line counts for when so many documents hold it: those of two as they are."""
+    return words * math.log2(max(2, holders))
 
 
 def aligned(pairs: list[tuple[int, int]]) -> list[int]:
@@ -41,7 +60,7 @@ def aligned(pairs: list[tuple[int, int]]) -> list[int]:
     return found[::-1]
 
 
-def doomed_lines(matches: list[tuple[int, int, int, int]], block_words: int = BLOCK_WORDS) -> list[int]:
+def doomed_lines(matches: list[tuple[int, float, int, int]], block_words: int = BLOCK_WORDS) -> list[int]:
     """Places of the lines to delete from (place, words, partner, place there) of one document."""
     partners: dict[int, list[tuple[int, int]]] = {}
     words = {}
@@ -85,7 +104,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                     seen[line] += 1
                     rows.append(row)
                     places.append(place)
-                    words.append(line.count(" ") + 1)
+                    words.append(words_in(line))
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(words, pa.int32()), pa.array(keys, pa.int64())],
@@ -101,13 +120,16 @@ def line_deletions(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid", "place")
     # a line of a single document is no match; partial aggregation keeps a common line to one row a task
     first = lines.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("line", F.col("first.uid").alias("partner"), F.col("first.place").alias("there"))
+    first = first.select("line", "n", F.col("first.uid").alias("partner"), F.col("first.place").alias("there"))
     matches = lines.join(first, "line").where("uid <> partner")
-    own = matches.groupBy("uid").agg(F.collect_list(F.struct("place", "words", "partner", "there")).alias("matches"))
+    own = matches.groupBy("uid").agg(F.collect_list(F.struct("place", "words", "n", "partner", "there")).alias("matches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [doomed_lines([tuple(m.values()) for m in ms], block_words) for ms in batch.column(1).to_pylist()]
+            found = [
+                doomed_lines([(m["place"], weight_of(m["words"], m["n"]), m["partner"], m["there"]) for m in ms], block_words)
+                for ms in batch.column(1).to_pylist()
+            ]
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["uid", "doomed"])
             yield out.filter(pa.array(np.array([bool(d) for d in found], bool)))
 

@@ -223,3 +223,15 @@ def test_line_dedup_of_awkward_rows(awkward, no_documents):
     assert by[5].text == "" and by[3].n_deleted == 0 and 0 < by[4].n_deleted < 6
     assert by[6].n_deleted == 0 and len(by[6].text) > 100_000
     assert dedup_lines(numbered(no_documents)).count() == 0
+
+
+def test_short_lines_of_many_documents_go(spark):
+    rng = random.Random(7)
+    notice, passage = "Read our terms of use here.", ["这是一个关于大桥维修工程的长篇报道的第一段", "第二段说明了道路何时重新开放以及原因"]
+    texts = ["\n".join([prose(rng, 20), notice, prose(rng, 20)]) for _ in range(8)]
+    texts += ["\n".join([prose(rng, 20), "Twice by chance, no more.", prose(rng, 20)]) for _ in range(2)]
+    texts += ["\n".join([prose(rng, 20), *passage]) for _ in range(2)]
+    got = [r.text for r in sorted(dedup_lines(numbered(spark.createDataFrame(rows_of(texts), SCHEMA))).collect(), key=lambda r: r.doc_id)]
+    assert [notice in t for t in got[:8]] == [True] + [False] * 7
+    assert all("Twice by chance" in t for t in got[8:10])
+    assert passage[0] in got[10] and not any(line in got[11] for line in passage)
