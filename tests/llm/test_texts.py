@@ -235,3 +235,19 @@ def test_short_lines_of_many_documents_go(spark):
     assert [notice in t for t in got[:8]] == [True] + [False] * 7
     assert all("Twice by chance" in t for t in got[8:10])
     assert passage[0] in got[10] and not any(line in got[11] for line in passage)
+
+
+def test_lines_align_with_any_earlier_document(spark):
+    rng = random.Random(8)
+    x, y, z, v, w, first = (prose(rng, 6) for _ in range(6))
+    long = [prose(rng, 12) for _ in range(3)]
+    orders = [[z, y, x], [x, y, z], [x, y, z], [v, w, first], [v, prose(rng, 6), v, w, first]]
+    # lines far from each other, the first document has them in another order
+    apart = lambda ls: [line for own in ls for line in (own, prose(rng, 3))]
+    orders += [apart(long[::-1]), apart(long), apart(long)]
+    texts = ["\n".join(lines) for lines in orders]
+    got = [r.text for r in sorted(dedup_lines(numbered(spark.createDataFrame(rows_of(texts), SCHEMA))).collect(), key=lambda r: r.doc_id)]
+    assert got[0] == texts[0] and got[2] == "" and got[3] == texts[3]
+    assert got[4].split("\n") == orders[4][:2]
+    assert got[5] == texts[5] and got[7].split("\n") == orders[7][1::2]
+    assert aligned([(0, 0), (1, 0), (1, 3), (2, 1)]) in ([0, 2], [1, 2])
