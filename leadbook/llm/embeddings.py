@@ -21,9 +21,8 @@ SAMPLE_PER_CELL = 16
 KMEANS_ROUNDS = 12
 # Vectors of a block; a pair of blocks is one task's matrix product.
 BLOCK_ROWS = 2_048
-# A vector also visits the cells whose border lies within this many standard deviations of
-# the way a linked vector can lie, taken as spread evenly over the dimensions.
-BORDER_SIGMAS = 4.0
+# Placed rows of one output batch: a vector has a row for each cell that it visits.
+PLACED_ROWS = 20_000
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = KMEANS_ROUNDS) -> np.ndarray:
@@ -53,28 +52,34 @@ def usable(vector: str):
 
 
 def _places(centroids: dict[int, np.ndarray], threshold: float):
-    """Cells of each vector: its home, and those of higher number whose border is near."""
+    """Cells of each vector: its home, and those of higher number that can hold a linked vector.
+
+    Let v be nearer to centroid c than to d by a = v.(c - d), and u in the cell of d at an angle
+    t to v.  From u = cos t v + sin t w with w at a right angle to v, and u.(c - d) <= 0, follows
+    a <= sin t |c - d|: no linked vector is in the cells that fail this.
+    """
     sine = math.sqrt(max(0.0, 1 - threshold**2))
     reach, first = {}, 0
     for dim, c in sorted(centroids.items()):
         apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 512 else None
-        bound = min(sine, sine / max(threshold, 1e-9) * BORDER_SIGMAS / math.sqrt(dim))
-        reach[dim] = (c, apart, bound, first)
+        reach[dim] = (c, apart, first)
         first += len(c)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby(batch["vector"].map(len)):
-                c, apart, bound, base = reach[dim]
+                c, apart, base = reach[dim]
                 near = unit_rows(part["vector"]) @ c.T
                 home = near.argmax(1)
                 ahead = near[np.arange(len(near)), home][:, None] - near
                 gaps = apart[home] if apart is not None else np.stack([np.linalg.norm(c - c[h], axis=1) for h in home])
-                visits = (ahead <= bound * gaps + 1e-9) & (np.arange(len(c))[None, :] > home[:, None])
+                visits = (ahead <= sine * gaps + 1e-9) & (np.arange(len(c))[None, :] > home[:, None])
                 visits[np.arange(len(near)), home] = True
                 row, cell = np.nonzero(visits)
-                out = part.iloc[row][["node", "weight", "vector"]]
-                yield out.assign(cell=cell + base, visitor=cell != home[row])
+                for k in range(0, len(row), PLACED_ROWS):
+                    own, at = row[k : k + PLACED_ROWS], cell[k : k + PLACED_ROWS]
+                    out = part.iloc[own][["node", "weight", "vector"]]
+                    yield out.assign(cell=at + base, visitor=at != home[own])
 
     return run
 
@@ -119,9 +124,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     Returns per row vec_id, n_links (other rows linked directly), component_id (the smallest
     vec_id reachable by links) and kept (vec_id = component_id).  Every cosine is taken in
     double precision, so no pair below the threshold links.  Equal vectors are one node with a
-    weight.  A vector is compared with all of its cell and with those cells whose border is
-    near; a pair across a border further away than BORDER_SIGMAS allows can be missed.  Tables
-    that fill one cell are compared whole.  Vectors of different length never link.  Null or
+    weight.  A vector is compared with all of its cell and with every cell that can hold a linked
+    vector, so no link is missed.  Tables that fill one cell are compared whole.  Vectors of different length never link.  Null or
     zero vectors and those with null or non-finite components have no links and lead themselves.
     A repeated vec_id is as many rows; null vec_ids lead only among themselves; an empty table
     gives no rows; other columns are ignored.

@@ -284,3 +284,16 @@ def test_centroids_are_unit_vectors():
     sample = rng.normal(size=(500, 8))
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     assert np.linalg.norm(fit_centroids(sample, 7), axis=1) == pytest.approx(np.ones(7))
+
+
+def test_no_link_of_low_rank_vectors_is_missed(spark, monkeypatch):
+    from leadbook.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 100)
+    rng = np.random.default_rng(3)
+    vectors = (rng.normal(size=(1500, 8)) @ rng.normal(size=(8, 384))).astype(np.float32)
+    counts, leads = links_of(vectors, 0.9)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in near_duplicates(df).collect()}
+    assert [got[k].n_links for k in range(len(vectors))] == counts.tolist()
+    assert [got[k].component_id for k in range(len(vectors))] == leads.tolist()
