@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cache
 from html import unescape
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template noscript iframe object svg math".split())  # their content is never page text
+RAW = set("script style template noscript iframe svg annotation annotation-xml".split())  # their content is never page text
+MATH = set(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup "
+    "munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics".split()
+)
+FOREIGN = MATH | {"svg"}  # a closing slash ends them
+NESTED = set("template svg".split())  # they hold their own kind; the others end at the first closing tag
+ENDLESS = set("script style".split())  # without a closing tag they last to the end of the page
 TITLE = set("title textarea".split())  # their content holds no elements
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
-)
+) | MATH  # a formula is part of the text around it
 CLOSED_BY = {  # an open element of the first kind ends where one of the others starts
     "p": set(
         "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -27,10 +35,39 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table"}, "th": {"t
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S
 )
+_NESTED = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>svg|template)(?=[\s/>])(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I
+)
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'][^\s]*/\Z")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 KEPT = {"class", "id", "role", "hidden", "style", "aria-hidden", "data-main"}
 
 
+def _nested_ends(text: str, at: int) -> dict[int, tuple[int, int]]:
+    """Of nested raw elements from `at` on that are closed: end of the opening tag -> start and end of the closing one."""
+    ends, opened = {}, {tag: [] for tag in NESTED}
+    for m in _NESTED.finditer(text, at):
+        if m["tag"]:
+            tag = m["tag"].lower()
+            if not m["close"]:
+                if not (tag in FOREIGN and _self_closed(m["rest"])):
+                    opened[tag].append(m.end())
+            elif opened[tag]:
+                ends[opened[tag].pop()] = m.span()
+    return ends
+
+
+def _self_closed(rest: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value."""
+    return rest.endswith("/") and not _UNQUOTED_SLASH.search(rest)
+
+
+@cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I)
+
+
 @dataclass
 class Node:
     tag: str
@@ -59,6 +96,8 @@ def parse(html: str | None) -> Page:
     nodes, pieces, block = [Node("html", -1)], [], 0
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node that owns their text
     links, at, text = 0, 0, html or ""
+    open_ended: set[str] = set()  # raw elements that nothing closes from here on
+    nested: dict[int, tuple[int, int]] | None = None
     while at < len(text):
         m = _TOKEN.match(text, at)
         at = m.end()
@@ -99,10 +138,21 @@ def parse(html: str | None) -> Page:
             for key, value in _ATTRIBUTE.findall(rest):
                 if (key := key.lower()) in KEPT:
                     attributes[key] = unescape(value.strip("\"'"))
+        if tag in FOREIGN and _self_closed(rest):
+            continue
         if tag in RAW or tag in TITLE:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
-            inner = text[at : end.start()] if end else text[at:]
-            at = end.end() if end else len(text)
+            if tag in NESTED:
+                nested = _nested_ends(text, m.start()) if nested is None else nested
+                end = nested.get(at)
+            else:
+                found = None if tag in open_ended else _closing(tag).search(text, at)
+                end = found.span() if found else None
+            if end is None and tag not in ENDLESS:
+                open_ended.add(tag)
+                block += 1
+                continue  # read on
+            inner = text[at : end[0]] if end else text[at:]
+            at = end[1] if end else len(text)
             block += 1
             if tag in TITLE and inner.strip():
                 nodes.append(Node(tag, stack[-1][1], attributes, words=len(inner.split())))

@@ -297,3 +297,29 @@ def test_no_link_of_low_rank_vectors_is_missed(spark, monkeypatch):
     got = {r.vec_id: r for r in near_duplicates(df).collect()}
     assert [got[k].n_links for k in range(len(vectors))] == counts.tolist()
     assert [got[k].component_id for k in range(len(vectors))] == leads.tolist()
+
+
+@pytest.mark.parametrize(
+    "extra, shown",
+    [
+        ("<svg class='a/b' width='1'/>", ""),
+        ("<svg><svg><path d='M0'/></svg><text>icon</text></svg>", ""),
+        ("<svg><script>'</svg>'</script><text>icon</text></svg>", ""),
+        ("<svg><path d='M0'>", ""),
+        ("<math/>", ""),
+        ("<math><mi>E</mi><mo>=</mo><mi>m</mi><mspace/><annotation>tex</annotation></math>", "E=m"),
+        ("<noscript>", ""),
+        ("<iframe src=x>", ""),
+        ("<script>x()</script><style>p{}</style><template><template>t</template>u</template>", ""),
+    ],
+)
+def test_no_raw_element_swallows_the_article(model, extra, shown):
+    first, last = "The wind turned at noon, and the boats stayed in. Nobody was hurt", "More boats went out on the next day, and all came back."
+    got = model.extract(f"<body>{extra}<article><p>{first} {extra}.</p><p>{last}</p></article></body>")
+    assert "".join(got.split()) == "".join(f"{shown}{first}{shown}.{last}".split()) or "".join(got.split()) == "".join(f"{first}{shown}.{last}".split())
+
+
+def test_object_fallback_is_judged(model):
+    got = model.extract("<article><p>The wind turned at noon. Nobody was hurt.</p><object data=x><p>The film shows the boats. It was made at noon.</p></object></article>")
+    assert "The film shows the boats." in got
+    assert parse("<p>a<svg><svg>").pieces and model.extract("<svg>" * 20_000 + "x") in ("", "x")
