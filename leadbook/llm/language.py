@@ -15,10 +15,9 @@ from leadbook.llm.worker_cache import held
 
 UNKNOWN = "und"
 # The sample that fits the automata: at most so many distinct labelled texts of a language,
-# so many leading characters of each, and so many characters over all languages.
+# and so many characters of them, however many languages there are.
 SAMPLE_TEXTS = 200
-SAMPLE_TEXT_CHARS = 2_000
-SAMPLE_CHARS = 240_000
+LANGUAGE_CHARS = 60_000
 # Words of one worker's memo, which is emptied when full, and the longest word it keeps.
 MEMO_WORDS = 250_000
 MEMO_WORD_CHARS = 64
@@ -148,30 +147,48 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def equal_share(lengths: list[int], room: int) -> int:
+    """The most characters that each text may give so that all together fit: short ones give all, others the same."""
+    for k, n in enumerate(sorted(lengths)):
+        share = room // (len(lengths) - k)
+        if n > share:
+            return share
+        room -= n
+    return max(lengths, default=0)
+
+
+def _whole_words(piece: str, at_start: bool, at_end: bool) -> str:
+    """A piece of a text without the words that its ends cut; one without blanks stays as it is."""
+    parts = piece.split()
+    return " ".join(parts[not at_start : len(parts) - (not at_end)]) if len(parts) > 2 else piece
+
+
 def training_texts(labelled: DataFrame) -> dict[str, str]:
     """Sample text per language of `labelled` (doc_id, text, lang): words between single blanks.
 
-    Distinct texts are drawn by hash, so copies do not crowd out others; SAMPLE_TEXTS,
-    SAMPLE_TEXT_CHARS and SAMPLE_CHARS bound what reaches the driver.  Rows without lang,
-    letters or doc_id are not drawn.
+    Distinct texts are drawn by hash, so copies do not crowd out others; each gives an equal
+    share, from a place that its hash tells.  SAMPLE_TEXTS and LANGUAGE_CHARS bound what a
+    language sends to the driver.  Rows without lang, letters or doc_id are not drawn.
     """
     fit = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    hashed = fit.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    fit = fit.select("lang", "doc_id", "text", F.xxhash64("text").alias("h"))
+    hashed = fit.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"), F.max(F.char_length("text")).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    drawn = hashed.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).select("lang", "doc_id").collect()
+    drawn = hashed.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).select("lang", "h", "doc_id", "n").collect()
     if not drawn:
         return {}
-    wanted = labelled.sparkSession.createDataFrame([tuple(r) for r in drawn], "lang string, doc_id long")
-    chars = min(SAMPLE_TEXT_CHARS, SAMPLE_CHARS // len({r["lang"] for r in drawn}))
-    joined = fit.join(F.broadcast(wanted), ["lang", "doc_id"]).select("lang", "doc_id", F.substring("text", 1, chars).alias("text"))
-    rows = joined.dropDuplicates(["lang", "doc_id"]).collect()
-    room = SAMPLE_CHARS // len({r["lang"] for r in rows})
+    lengths: dict[str, list[int]] = {}
+    for r in drawn:
+        lengths.setdefault(r["lang"], []).append(r["n"])
+    share = {lang: equal_share(ns, LANGUAGE_CHARS) for lang, ns in lengths.items()}
+    pieces = [(r["lang"], r["h"], r["doc_id"], 1 + r["h"] % max(1, r["n"] - share[r["lang"]] + 1), share[r["lang"]], r["n"]) for r in drawn]
+    wanted = labelled.sparkSession.createDataFrame(pieces, "lang string, h long, doc_id long, start int, share int, n int")
+    joined = fit.join(F.broadcast(wanted), ["lang", "h", "doc_id"]).select("lang", "h", "start", "share", "n", F.expr("substring(text, start, share)").alias("text"))
     texts = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
-        own = texts.get(r["lang"], " ")
-        if len(own) < room:
-            texts[r["lang"]] = own + "".join(w + " " for w in words_of(r["text"]))
-    return {k: t[:room] for k, t in texts.items()}
+    for r in sorted(joined.dropDuplicates(["lang", "h"]).collect(), key=lambda r: (r["lang"], r["h"])):
+        piece = _whole_words(r["text"], r["start"] == 1, r["start"] + r["share"] > r["n"])
+        texts[r["lang"]] = texts.get(r["lang"], " ") + "".join(w + " " for w in words_of(piece))
+    return {k: t[:LANGUAGE_CHARS] for k, t in texts.items()}
 
 
 def _parser(texts: dict[str, str]) -> CrossParser:
@@ -186,7 +203,7 @@ def with_language(docs: DataFrame, texts: dict[str, str], text: str = "text") ->
     table gives no rows.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(texts)  # at most SAMPLE_CHARS characters
+    shared = spark.sparkContext.broadcast(texts)  # at most LANGUAGE_CHARS characters a language
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def judge(column: pa.Array) -> pa.Array:

@@ -323,3 +323,16 @@ def test_object_fallback_is_judged(model):
     got = model.extract("<article><p>The wind turned at noon. Nobody was hurt.</p><object data=x><p>The film shows the boats. It was made at noon.</p></object></article>")
     assert "The film shows the boats." in got
     assert parse("<p>a<svg><svg>").pieces and model.extract("<svg>" * 20_000 + "x") in ("", "x")
+
+
+def test_every_drawn_text_gives_its_share(spark):
+    from leadbook.llm.language import LANGUAGE_CHARS, equal_share
+
+    assert [equal_share(ns, 100) for ns in ([10, 500, 600], [30, 30], [], [200])] == [45, 30, 0, 100]
+    opening = "same opening for all " * 100
+    rows = [(k, opening + f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]} " * 300, "en") for k in range(100)]
+    rows += [(100 + k, "other words here " * 600, f"l{k}") for k in range(40)]
+    texts = training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = {w for w in texts["en"].split() if len(w) == 6 and w.startswith("word")}
+    assert len(own) > 50 and 50_000 < len(texts["en"]) <= LANGUAGE_CHARS
+    assert all(len(texts[f"l{k}"]) > 9_000 for k in range(40))
