@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadbook.llm.contamination import contamination_report
 from leadbook.llm.embeddings import near_duplicates
 from leadbook.llm.fingerprints import edited_fingerprints
 from leadbook.llm.html_content import extract_pages
@@ -129,3 +130,43 @@ FROM lead LEFT JOIN n ON lead.vec_id = n.vec_id
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from token files: word-level ids, then id 2."""
     return read_token_files(write_token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
+@query
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a ten-word window of a benchmark item."""
+    report = contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLES["op11_benchmark_decontamination"] = f"""
+WITH
+item AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS k, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM item WHERE len(w) > 0)
+),
+doc AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+size AS (SELECT DISTINCT n FROM win),
+place AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc CROSS JOIN size WHERE len(w) >= n)
+),
+found AS (SELECT doc_id, item_id, i, place.n AS n FROM place JOIN win ON place.k = win.k AND place.n = win.n),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id
+),
+held AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT doc.doc_id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit ON doc.doc_id = hit.doc_id LEFT JOIN held ON doc.doc_id = held.doc_id
+"""
