@@ -16,6 +16,7 @@ from leadbook.llm.html_content import extract_pages
 from leadbook.llm.jaccard import similarity_groups
 from leadbook.llm.language import predict_documents
 from leadbook.llm.lines import dedup_lines
+from leadbook.llm.merkle import document_proofs
 from leadbook.llm.ngram_model import score_documents
 from leadbook.llm.packing import pack_documents
 from leadbook.llm.sentencepiece_scan import decode_documents, encode_documents
@@ -170,3 +171,67 @@ SELECT doc.doc_id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGI
   coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit ON doc.doc_id = hit.doc_id LEFT JOIN held ON doc.doc_id = held.doc_id
 """
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the Merkle manifest, with every row of crc32 divisible by 7 tampered with."""
+    return document_proofs(documents(spark, sf_dir)).drop("path")
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of ASCII text, bit by bit."""
+    bit = "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"lambda r, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], {bit}, xor(r, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, {byte}, 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = (f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text"))
+    return f"sha256({' || '.join(fields)})"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE
+hashed AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+    CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS shown
+  FROM documents
+),
+leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+    row_number() OVER () AS id
+  FROM hashed
+),
+tree(lang, h, i, d, n) AS (
+  SELECT lang, 0, i, leaf, n FROM leaf
+  UNION ALL
+  SELECT lang, h + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, h, i // 2, n
+),
+sub AS (
+  SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1
+),
+upper(h, i, d, n) AS (
+  SELECT 0, i, d, n FROM sub
+  UNION ALL
+  SELECT h + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM upper WHERE n > 1 GROUP BY h, i // 2, n
+),
+climb(id, lang, h, i, n, beside, f) AS (
+  SELECT id, lang, 0, i, n, '', shown FROM leaf
+  UNION ALL
+  SELECT c.id, c.lang, c.h + 1, c.i // 2, (c.n + 1) // 2, c.beside || coalesce(s.d, ''),
+    sha256(CASE WHEN c.i % 2 = 0 THEN c.f || coalesce(s.d, '') ELSE s.d || c.f END)
+  FROM climb c LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM c.lang AND s.h = c.h AND s.i = xor(c.i, 1) WHERE c.n > 1
+),
+climb2(id, h, i, n, beside, f) AS (
+  SELECT c.id, 0, s.i, s.n, c.beside, c.f FROM climb c JOIN sub s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.id, c.h + 1, c.i // 2, (c.n + 1) // 2, c.beside || coalesce(s.d, ''),
+    sha256(CASE WHEN c.i % 2 = 0 THEN c.f || coalesce(s.d, '') ELSE s.d || c.f END)
+  FROM climb2 c LEFT JOIN upper s ON s.h = c.h AND s.i = xor(c.i, 1) WHERE c.n > 1
+)
+SELECT leaf.doc_id AS doc_id, leaf.leaf AS leaf, sub.d AS subroot, upper.d AS root, sha256(c.beside) AS proof_sha256, c.f AS folded_root,
+  c.f = upper.d AS verified
+FROM leaf JOIN sub ON sub.lang IS NOT DISTINCT FROM leaf.lang JOIN climb2 c ON c.id = leaf.id AND c.n = 1 JOIN upper ON upper.n = 1
+"""
