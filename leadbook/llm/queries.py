@@ -19,6 +19,7 @@ from leadbook.llm.lines import dedup_lines
 from leadbook.llm.merkle import document_proofs
 from leadbook.llm.ngram_model import score_documents
 from leadbook.llm.packing import pack_documents
+from leadbook.llm.prefix_trie import prefix_trie
 from leadbook.llm.sentencepiece_scan import decode_documents, encode_documents
 from leadbook.llm.token_files import read_token_files, write_token_files
 from leadbook.runtime import ship_code
@@ -235,3 +236,51 @@ SELECT leaf.doc_id AS doc_id, leaf.leaf AS leaf, sub.d AS subroot, upper.d AS ro
   c.f = upper.d AS verified
 FROM leaf JOIN sub ON sub.lang IS NOT DISTINCT FROM leaf.lang JOIN climb2 c ON c.id = leaf.id AND c.n = 1 JOIN upper ON upper.n = 1
 """
+
+
+@query
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations, with counts over its members and subtree."""
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+# A prefix is the digests of its turns, 64 characters each.
+ORACLES["op13_conversation_prefix_trie"] = f"""
+WITH
+t AS (
+  SELECT conv_id, item, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, item) - 1 AS pos
+  FROM (
+    SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS item,
+      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL
+  )
+),
+c AS (SELECT conv_id, {_crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+joined AS (
+  SELECT c.conv_id, 0 AS part, pos, item, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE pos < h
+  UNION ALL
+  SELECT c.conv_id, 1, pos, item, words FROM c JOIN t ON t.conv_id = c.conv_id WHERE pos >= h
+),
+pre AS (
+  SELECT conv_id, words, row_number() OVER w AS depth, string_agg(item, '') OVER w AS k
+  FROM joined WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM c
+),
+node AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM pre GROUP BY k, depth),
+child AS (SELECT left(k, 64 * (depth - 1)) AS k, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+own AS (
+  SELECT node.k, depth, (n_convs - 1) * words AS saved, CASE WHEN child.n IS NULL THEN 1 ELSE 0 END AS leaf
+  FROM node LEFT JOIN child ON child.k = node.k
+),
+total AS (
+  SELECT left(k, 64 * d) AS k, sum(saved) AS saved, sum(leaf) AS leaves
+  FROM (SELECT k, saved, leaf, unnest(generate_series(0, depth)) AS d FROM own) GROUP BY 1
+),
+last AS (SELECT conv_id, max_by(k, depth) AS k FROM pre GROUP BY conv_id),
+ends AS (SELECT k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS h FROM last GROUP BY k)
+SELECT node.conv_id, node.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(child.n, 0) AS n_children,
+  total.leaves::BIGINT AS n_leaves, total.saved::BIGINT AS saved_tokens, coalesce(ends.h, sha256('')) AS ends_sha256
+FROM node LEFT JOIN node up ON node.depth > 0 AND up.k = left(node.k, 64 * (node.depth - 1)) AND up.depth = node.depth - 1
+LEFT JOIN child ON child.k = node.k JOIN total ON total.k = node.k LEFT JOIN ends ON ends.k = node.k
+"""
