@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -66,20 +67,50 @@ _SUSPECT_CLASS = "[\\xA0-\\xFF" + "".join(f"\\x{{{ord(c):X}}}" for c in _HIGH_CH
 SUSPECT_RUN = f"{_SUSPECT_CLASS}{{2,}}"
 
 
-def _repair_run(run: Column) -> Column:
-    """A suspect run read as UTF-8 bytes, or unchanged if those are not UTF-8."""
-    one_byte_chars = F.translate(run, "".join(c for c, _ in _MOVED), "".join(b for _, b in _MOVED))
+# UTF-8 of more than one byte opens with one of C2 to F4, and one of 80 to BF follows, which may be a moved character.
+_OPENING_PAIR = r"[\xC2-\xF4][^\x00-\x7F\xC0-\xFF]"
+# Controls that the moved characters would be mistaken for.
+_TAKEN = "[" + "".join(f"\\x{ord(b):X}" for _, b in _MOVED) + "]"
+
+
+def _one_byte_chars(c: Column) -> Column:
+    return F.translate(c, "".join(c for c, _ in _MOVED), "".join(b for _, b in _MOVED))
+
+
+def _computed_once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(c)` with `c` evaluated a single time, however often it is used."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
+def _read_as_utf8(one_byte_chars: Column) -> Column:
+    """The UTF-8 text of characters up to FF taken as bytes, null where those are not UTF-8."""
     decoded = F.encode(one_byte_chars, "ISO-8859-1").cast("string")
-    return F.when(F.is_valid_utf8(decoded), decoded).otherwise(run)
+    return _computed_once(decoded, lambda d: F.when(F.is_valid_utf8(d), d))
 
 
-def repair_encoding(c: Column) -> Column:
-    """Undo UTF-8 read as code page 1252, one damaged run at a time."""
+def _repair_whole(c: Column) -> Column:
+    """A text in which every run is damage, read as UTF-8 in one go; null for any other text."""
+    fits = lambda m: F.when(~m.rlike(r"[^\x00-\xFF]"), m)
+    moved = _computed_once(F.when(~c.rlike(_TAKEN), _one_byte_chars(c)), fits)
+    return _read_as_utf8(moved)
+
+
+def _repair_runs(c: Column) -> Column:
+    """Each suspect run read as UTF-8, or left as it is if its bytes are not UTF-8."""
     runs = F.regexp_extract_all(c, F.lit(f"({SUSPECT_RUN})"), F.lit(1))
     between = F.split(c, SUSPECT_RUN, -1)
-    fixed = F.transform(runs, _repair_run)
+    fixed = F.transform(runs, lambda run: F.coalesce(_read_as_utf8(_one_byte_chars(run)), run))
     pieces = F.zip_with(between, fixed, lambda text, run: F.concat(text, F.coalesce(run, F.lit(""))))
-    return F.when(c.rlike(SUSPECT_RUN), F.array_join(pieces, "")).otherwise(c)
+    return F.array_join(pieces, "")
+
+
+def repair_encoding(c: Column) -> Column:
+    """Undo UTF-8 read as code page 1252, one damaged run at a time.
+
+    Most texts have no two characters that could be the bytes of one, and most others are
+    damaged throughout: reading those whole gives what reading run by run gives.
+    """
+    return F.when(~c.rlike(_OPENING_PAIR), c).otherwise(F.coalesce(_repair_whole(c), _repair_runs(c)))
 
 
 def damage_encoding(c: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadbook.functions import flags, identity, labels, money, text, timing
 from leadbook.operators.sheets import property_type
@@ -91,3 +93,11 @@ def test_hwc_words(spark):
     df = spark.createDataFrame(rows, "h string, s string")
     out = df.select(flags.hwc_flag(F.col("h"), F.col("s")))
     assert [r[0] for r in out.collect()] == [True, False, True, False, True, False]
+
+
+def test_repair_whole_equals_repair_by_runs(column):
+    """Damage, clean accents and characters that only look like damage, in every mixture."""
+    rng = random.Random(8)
+    parts = ["a", " ", "é", "Ã", "©", "Ã©", "â‚¬", "â", "‚", "¬", "\x81", "\x80", "Ã\x81", "漢", "ð\x9fŸ", "ðŸ˜€", "\xa0", "Â°"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(3000)] + [None, ""]
+    assert column(text.repair_encoding, texts) == column(lambda c: F.coalesce(text._repair_runs(c), c), texts)
