@@ -92,28 +92,52 @@ def _merge_order() -> Column:
     return F.when(in_range, packed).otherwise(F.raise_error(F.lit("row_ord outside the merge order range")))
 
 
-def _best(column: str) -> Column:
-    """The value of the best-ranked row that has one, with that rank."""
-    ranked = f"named_struct('rank', {_RANK}, 'value', `{column}`)"
-    return F.expr(f"min(CASE WHEN `{column}` IS NOT NULL THEN {ranked} END)")
+def row_states(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row as the merge state of a group of one: each value beside its row's rank.
+
+    Values are structs (rank, value), maps hold such structs, and the sets of sources and
+    uploads are arrays, so that states of any size merge by `merge_states` alone.
+    """
+    counted = keyed if RICHNESS in keyed.columns else keyed.withColumn(RICHNESS, richness(keyed))
+    ranked = counted.withColumn(_RANK, _merge_order())
+    plain = [c for c in keyed.columns if c not in keys and c not in _MAPS and c not in _DERIVED]
+    best = [F.expr(f"CASE WHEN `{c}` IS NOT NULL THEN named_struct('rank', {_RANK}, 'value', `{c}`) END").alias(c) for c in plain]
+    held = lambda v: F.struct(F.col(_RANK).alias("rank"), v.alias("value"))
+    known = lambda c: F.map_filter(c, lambda _, v: v.isNotNull())
+    maps = [F.transform_values(known(c), lambda _, v: held(v)).alias(c) for c in _MAPS if c in keyed.columns]
+    sets = {S.SOURCE_FILE: S.MERGED_SOURCES, S.UPLOAD_ID: S.MEMBER_FRAMES}
+    lineage = [F.array_compact(F.array(c)).alias(name) for c, name in sets.items() if c in keyed.columns]
+    return ranked.select(*keys, _RANK, *best, *maps, F.lit(1).cast("long").alias(S.MERGED_COUNT), *lineage)
+
+
+_SETS = (S.MERGED_SOURCES, S.MEMBER_FRAMES)
 
 
-def _merge_maps(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def _merge_maps(states: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """The best-ranked value of every key of each map, as one map per group and column.
 
     The entries of all maps come from one pass, told apart by their column.
     """
+    empty = F.array().cast("array<struct<key:string,value:struct<rank:bigint,value:string>>>")
     entry = lambda c: F.transform(
-        F.coalesce(F.map_entries(c), F.array().cast("array<struct<key:string,value:string>>")),
-        lambda e: F.struct(F.lit(c).alias("held"), e["key"].alias("field"), e["value"].alias("value")),
+        F.coalesce(F.map_entries(c), empty), lambda e: F.struct(F.lit(c).alias("held"), e["key"].alias("field"), e["value"].alias("best"))
     )
-    entries = rows.select(*keys, _RANK, F.explode(F.concat(*[entry(c) for c in columns])).alias("entry"))
-    entries = entries.select(*keys, _RANK, "entry.*")
-    best = entries.groupBy(*keys, "held", "field").agg(_best("value").alias("best"))
-    kept = best.filter(F.col("best").isNotNull())
-    held = lambda c: F.sort_array(F.collect_list(F.when(F.col("held") == c, F.struct("field", F.col("best.value").alias("value")))))
+    entries = states.select(*keys, F.explode(F.concat(*[entry(c) for c in columns])).alias("entry")).select(*keys, "entry.*")
+    best = entries.groupBy(*keys, "held", "field").agg(F.min("best").alias("best"))
+    held = lambda c: F.sort_array(F.collect_list(F.when(F.col("held") == c, F.struct("field", "best"))))
     maps = [F.when(F.size(held(c)) > 0, F.map_from_entries(held(c))).alias(c) for c in columns]
-    return kept.groupBy(*keys).agg(*maps)
+    return best.groupBy(*keys).agg(*maps)
+
+
+def merge_states(states: DataFrame, keys: list[str]) -> DataFrame:
+    """One state per group: of every column the value of the best-ranked row that has one."""
+    special = {*keys, _RANK, S.MERGED_COUNT, *_MAPS, *_SETS}
+    aggregates = [F.min(_RANK).alias(_RANK), F.sum(S.MERGED_COUNT).alias(S.MERGED_COUNT)]
+    aggregates += [F.min(f"`{c}`").alias(c) for c in states.columns if c not in special]
+    aggregates += [F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in _SETS if c in states.columns]
+    merged = states.groupBy(*keys).agg(*aggregates)
+    maps = [c for c in _MAPS if c in states.columns]
+    return merged.join(_merge_maps(states, keys, maps), keys, "left") if maps else merged
 
 
 def merge_groups(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -122,24 +146,7 @@ def merge_groups(keyed: DataFrame, keys: list[str]) -> DataFrame:
     Each column keeps the value of its best-ranked non-null row together with
     that rank, so merged groups can themselves be merged again exactly.
     """
-    counted = keyed if RICHNESS in keyed.columns else keyed.withColumn(RICHNESS, richness(keyed))
-    ranked = counted.withColumn(_RANK, _merge_order())
-    plain = [
-        c for c in keyed.columns
-        if c not in keys and c not in _MAPS and c not in _DERIVED
-    ]
-    aggregates = [
-        F.min(_RANK).alias(_RANK),
-        F.count(F.lit(1)).alias(S.MERGED_COUNT),
-        *[_best(c).alias(c) for c in plain],
-    ]
-    if S.SOURCE_FILE in keyed.columns:
-        aggregates.append(F.collect_set(S.SOURCE_FILE).alias(S.MERGED_SOURCES))
-    if S.UPLOAD_ID in keyed.columns:
-        aggregates.append(F.collect_set(S.UPLOAD_ID).alias(S.MEMBER_FRAMES))
-    merged = ranked.groupBy(*keys).agg(*aggregates)
-    maps = [c for c in _MAPS if c in keyed.columns]
-    return merged.join(_merge_maps(ranked, keys, maps), keys, "left") if maps else merged
+    return merge_states(row_states(keyed, keys), keys)
 
 
 def _attach(named: DataFrame, nameless: DataFrame) -> DataFrame:
@@ -148,7 +155,7 @@ def _attach(named: DataFrame, nameless: DataFrame) -> DataFrame:
     others = [c for c in nameless.columns if c not in keys]
     renamed = nameless.selectExpr(*keys, *[f"`{c}` AS `__nameless_{c}`" for c in others])
     joined = named.join(renamed, keys, "full")
-    empty_list, empty_map = F.array().cast("array<string>"), F.create_map().cast(S.STRING_MAP)
+    empty_list, empty_map = F.array().cast("array<string>"), F.create_map().cast("map<string,struct<rank:bigint,value:string>>")
     columns = {}
     for c in others:
         mine, theirs = F.col(c), F.col(f"__nameless_{c}")
@@ -156,27 +163,25 @@ def _attach(named: DataFrame, nameless: DataFrame) -> DataFrame:
             columns[c] = F.coalesce(mine, F.lit(0)) + F.coalesce(theirs, F.lit(0))
         elif c == _RANK:
             columns[c] = F.least(mine, theirs)
-        elif c in (S.MERGED_SOURCES, S.MEMBER_FRAMES):
+        elif c in _SETS:
             columns[c] = F.array_union(F.coalesce(mine, empty_list), F.coalesce(theirs, empty_list))
         elif c in _MAPS:
-            known = F.coalesce(mine, empty_map)
-            extra = F.map_filter(F.coalesce(theirs, empty_map), lambda k, _: ~F.map_contains_key(known, k))
-            columns[c] = F.map_concat(known, extra)
+            columns[c] = F.map_zip_with(F.coalesce(mine, empty_map), F.coalesce(theirs, empty_map), lambda _, a, b: F.least(a, b))
         else:
             columns[c] = F.expr(f"least(`{c}`, `__nameless_{c}`)")
     return joined.select(*keys, *[value.alias(c) for c, value in columns.items()])
 
 
-def _finish(merged: DataFrame, shape: DataFrame) -> DataFrame:
-    """Unwrap ranked values and restore the column order of the input."""
+def _finish(merged: DataFrame, shape: list[str]) -> DataFrame:
+    """Unwrap ranked values and put the lead columns in the order of `shape`."""
     lead_columns = []
-    for c in shape.columns:
+    for c in shape:
         if c in _DERIVED - {S.ROW_ORD}:
             continue
         if c == S.ROW_ORD:
             lead_columns.append(F.pmod(F.col(_RANK), F.lit(1 << _ORDER_BITS)).alias(c))
         elif c in _MAPS:
-            lead_columns.append(F.col(c))
+            lead_columns.append(F.transform_values(c, lambda _, v: v["value"]).alias(c))
         else:
             lead_columns.append(F.expr(f"`{c}`.value AS `{c}`"))
     lineage = [F.col(S.MERGED_COUNT)]
@@ -187,22 +192,31 @@ def _finish(merged: DataFrame, shape: DataFrame) -> DataFrame:
     return merged.select(S.PHONE_NORM, NAME_KEY, *lead_columns, *lineage)
 
 
+def leads_of(groups: DataFrame, shape: list[str] | None = None) -> DataFrame:
+    """One row per lead from merged states, one per (phone, name key), which should be staged.
+
+    The nameless groups, at most one per phone, attach to the only named lead of their
+    phone.  Columns are those of `shape`, or all that the states hold.
+    """
+    special = (S.PHONE_NORM, NAME_KEY, _RANK, S.MERGED_COUNT, *_SETS)
+    shape = shape or [S.ROW_ORD, *(c for c in groups.columns if c not in special)]
+    named = groups.filter(F.col(NAME_KEY) != "")
+    blank = groups.filter(F.col(NAME_KEY) == "")
+    resolved = blank.join(sole_names(groups), S.PHONE_NORM, "left")
+    resolved = resolved.withColumn(NAME_KEY, F.coalesce("sole_key", NAME_KEY)).drop("sole_key")
+    return _finish(_attach(named, resolved), shape)
+
+
 def merge_leads(df: DataFrame, phone_col: str = "phone") -> DataFrame:
     """One row per (mobile, name): duplicates coalesced, unreachable rows dropped.
 
     Rows are shuffled once, already merged per task, on (phone, name key), and a
     second pass merges the entries of their maps.  The merged groups are stored;
-    from there the nameless ones, at most one per phone, attach to the only named
-    lead of their phone.
+    from there the nameless ones attach to their leads.
     """
     keyed = reachable(df, phone_col)
-    keys = [S.PHONE_NORM, NAME_KEY]
-    groups = stage(merge_groups(keyed, keys), "merged_groups")
-    named = groups.filter(F.col(NAME_KEY) != "")
-    blank = groups.filter(F.col(NAME_KEY) == "")
-    resolved = blank.join(sole_names(groups), S.PHONE_NORM, "left")
-    resolved = resolved.withColumn(NAME_KEY, F.coalesce("sole_key", NAME_KEY)).drop("sole_key")
-    return _finish(_attach(named, resolved), keyed)
+    groups = stage(merge_groups(keyed, [S.PHONE_NORM, NAME_KEY]), "merged_groups")
+    return leads_of(groups, keyed.columns)
 
 
 def standardise(df: DataFrame, phone_col: str = "phone") -> DataFrame:
