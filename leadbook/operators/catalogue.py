@@ -73,22 +73,18 @@ def field_catalogue(prepared: DataFrame) -> DataFrame:
     ).orderBy(F.desc("fill_rate"), "field")
 
 
-def upload_catalogue(
-    rows: DataFrame, leads: DataFrame, drafts: DataFrame | None = None, created_col: str = "created_at"
-) -> DataFrame:
+def upload_catalogue(uploads: DataFrame, drafts: DataFrame | None = None, created_col: str = "created_at") -> DataFrame:
     """One row per upload: status, creation time, files and size, newest first.
 
-    `rows` are the rows of stored uploads, which are ready and counted in leads:
-    `leads` has (upload_id, row_count).  `drafts` are rows read but not yet
-    accepted, with the same columns, counted as they are.
+    `uploads` are the stored ones as the ledger lists them, counted in leads.
+    `drafts` are rows read but not yet accepted, counted as they are.
     """
-    described = lambda df, status: df.groupBy(S.UPLOAD_ID).agg(
-        F.min(created_col).alias(created_col),
-        F.array_join(F.array_sort(F.collect_set(S.SOURCE_FILE)), ", ").alias("files"),
-        F.count(F.lit(1)).alias("row_count"),
-        F.lit(status).alias("status"),
-    )
-    uploads = described(rows, "ready").drop("row_count").join(leads, S.UPLOAD_ID)
     if drafts is not None:
-        uploads = uploads.unionByName(described(drafts, "draft"))
+        counted = drafts.groupBy(S.UPLOAD_ID).agg(
+            F.min(created_col).alias(created_col),
+            F.array_join(F.array_sort(F.collect_set(S.SOURCE_FILE)), ", ").alias("files"),
+            F.count(F.lit(1)).alias("row_count"),
+            F.lit("draft").alias("status"),
+        )
+        uploads = uploads.unionByName(counted)
     return uploads.orderBy(F.desc(created_col), S.UPLOAD_ID)

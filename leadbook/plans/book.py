@@ -107,11 +107,6 @@ def renumber_uploads(uploads: DataFrame) -> DataFrame:
     return placed.withColumn(S.ROW_ORD, F.col(S.ROW_ORD) + F.col("__start")).drop("__start", "created_at")
 
 
-def ready_uploads(uploads: DataFrame) -> DataFrame:
-    """(upload_id, row_count) of the stored uploads: their leads, not their raw rows."""
-    return upload_stats(uploads).select(S.UPLOAD_ID, F.col("unique_leads").alias("row_count"))
-
-
 def upload_stats(uploads: DataFrame) -> DataFrame:
     """Merge statistics of each upload on its own."""
     return dedupe_stats(uploads, by=(S.UPLOAD_ID,))

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from leadbook import schema as S
 from leadbook.operators.identity import merge_leads
 from leadbook.sources.exports import harmonise
+from leadbook.sources.files import delete_path
+from leadbook.sources.ledger import record_upload, strike_upload
 
 
 def write_upload(rows: DataFrame, root: str, upload_id: str, created_at: str) -> None:
-    """Store one upload as its own partition; writing it again replaces it."""
+    """Store one upload as its own partition and enter it in the ledger; writing it again replaces it."""
     tagged = harmonise(rows.drop(S.UPLOAD_ID)).withColumn("created_at", F.lit(created_at))
-    tagged.write.mode("overwrite").parquet(f"{root}/{S.UPLOAD_ID}={upload_id}")
+    path = f"{root}/{S.UPLOAD_ID}={upload_id}"
+    tagged.write.mode("overwrite").parquet(path)
+    if "phone" in tagged.columns:
+        record_upload(rows.sparkSession, root, rows.sparkSession.read.schema(tagged.schema).parquet(path), upload_id, created_at)
 
 
 def read_uploads(spark: SparkSession, root: str) -> DataFrame:
@@ -22,15 +27,16 @@ def read_uploads(spark: SparkSession, root: str) -> DataFrame:
     return stored.withColumn(S.UPLOAD_ID, F.col(S.UPLOAD_ID).cast("string"))
 
 
-def remove_upload(spark: SparkSession, root: str, upload_id: str) -> bool:
-    """Delete the rows of one upload from storage."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{S.UPLOAD_ID}={upload_id}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def read_upload(spark: SparkSession, root: str, upload_id: str) -> DataFrame:
+    """The rows of one upload; no other upload's files are looked at."""
+    stored = spark.read.parquet(f"{root}/{S.UPLOAD_ID}={upload_id}")
+    return stored.withColumn(S.UPLOAD_ID, F.lit(upload_id))
 
 
-def path_exists(spark: SparkSession, location: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(location)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def remove_upload(spark: SparkSession, root: str, upload_id: str) -> bool:
+    """Take one upload out of the ledger and delete its rows; called again, it deletes what a crash left."""
+    struck = strike_upload(spark, root, upload_id)
+    return delete_path(spark, f"{root}/{S.UPLOAD_ID}={upload_id}") or struck
 
 
 def write_leads(leads: DataFrame, path: str) -> None:

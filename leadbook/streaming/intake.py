@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from leadbook import schema as S
 from leadbook.plans.book import confirm, detected_choices, read_draft
 from leadbook.sources.exports import NoHeaderError, decoded_path, literal_path
-from leadbook.sources.lead_table import path_exists, read_uploads, write_upload
+from leadbook.sources.lead_table import read_upload, write_upload
+from leadbook.sources.ledger import first_free_row, record_empty, upload_record
 
 MAX_FILES_PER_BATCH = 1_000
 _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -34,15 +35,19 @@ def take_in(
         return None
     rows = confirm(draft, choices).withColumn(S.ROW_ORD, F.col(S.ROW_ORD) + first_row)
     write_upload(rows, root, upload_id, created_at)
-    return read_uploads(spark, root).filter(F.col(S.UPLOAD_ID) == upload_id)
+    return read_upload(spark, root, upload_id)
 
 
-def rows_before(spark: SparkSession, root: str, upload_id: str) -> int:
-    """The first free row number behind the uploads that sort before `upload_id`."""
-    if not path_exists(spark, root):
+def _batch_upload(number: int) -> str:
+    return f"batch-{number:012d}"
+
+
+def _first_row(spark: SparkSession, root: str, number: int) -> int:
+    """Where a batch's row numbers begin: in the record of the batch before it, or, where that is missing, behind all earlier ones."""
+    if number == 0:
         return 0
-    earlier = read_uploads(spark, root).filter(F.col(S.UPLOAD_ID) < upload_id)
-    return earlier.agg(F.coalesce(F.max(S.ROW_ORD) + 1, F.lit(0))).first()[0]
+    before = upload_record(spark, root, _batch_upload(number - 1))
+    return before["next_row"] if before else first_free_row(spark, root, _batch_upload(number))
 
 
 def intake_stream(
@@ -58,7 +63,8 @@ def intake_stream(
     The stream itself carries file paths only; the contents are read by the batch
     reader, per header layout.  A batch holds at most MAX_FILES_PER_BATCH paths,
     and a replayed batch writes the same upload again.  Rows are numbered on from
-    batch to batch.  A batch without leads stores nothing.
+    batch to batch: the ledger's record of a batch says where the next one begins, so no
+    batch reads what others stored.  A batch without leads stores only a record.
     """
     files = (
         spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
@@ -70,10 +76,12 @@ def intake_stream(
     def store(batch: DataFrame, number: int) -> None:
         paths = sorted(r["path"] for r in batch.collect())
         if paths:
-            session, upload = batch.sparkSession, f"batch-{number:012d}"
-            first = rows_before(session, root, upload)
-            rows = take_in(session, [literal_path(p) for p in paths], root, upload, f"batch {number:012d}", first, multiline)
-            if then and rows is not None:
+            session, upload, created = batch.sparkSession, _batch_upload(number), f"batch {number:012d}"
+            first = _first_row(session, root, number)
+            rows = take_in(session, [literal_path(p) for p in paths], root, upload, created, first, multiline)
+            if rows is None:
+                record_empty(session, root, upload, created, first)
+            elif then:
                 then(rows, number)
 
     return (

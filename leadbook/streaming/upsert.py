@@ -1,111 +1,199 @@
-"""Keeping the lead book current: only the phones a batch touches are merged again."""
+"""Keeping the lead book current: a log of mergeable runs under a versioned manifest.
+
+A batch is merged on its own to states, one per (phone, name key), and stored as one run
+per upload; nothing stored before is read.  When a level holds RUNS_PER_LEVEL runs, these
+are merged to one run of the next level, so a row is rewritten once a level and the
+number of runs stays logarithmic.  States merge in any order, so the book is what all
+live runs merge to.
+
+The manifest is a small file that names the live runs and the batches they hold.  Every
+change writes its runs first and then one new version of the manifest; until that is
+whole the change has not happened, and after it nothing is left to do but clearing up.
+A merged run keeps the runs it came from, so an upload is forgotten by one commit: the runs
+that hold it are replaced by their parts, without its own.
+One writer at a time, as a stream's batches are.
+"""
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass, replace
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadbook import schema as S
-from leadbook.operators.identity import merge_leads, standardise
-from leadbook.runtime import discard, lookup_join, stage
-from leadbook.sources.lead_table import path_exists
+from leadbook.operators.identity import NAME_KEY, leads_of, merge_groups, merge_states, reachable, standardise
+from leadbook.runtime import discard, stage
+from leadbook.sources.files import delete_path, names_in, read_json, write_json
 
-BUCKET = "phone_bucket"
-BATCH = "batch_id"
-DEFAULT_BUCKETS = 256
+RUNS_PER_LEVEL = 8
+# Older versions of the manifest that clearing up leaves.
+KEPT_VERSIONS = 3
+_KEYS = [S.PHONE_NORM, NAME_KEY]
+_UPLOAD = "run_upload"
+_NO_UPLOAD = "__HIVE_DEFAULT_PARTITION__"
 
 
-def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn(BUCKET, F.pmod(F.hash(S.PHONE_NORM), F.lit(buckets)))
+@dataclass(frozen=True)
+class Manifest:
+    """A state of the book: the live runs as (run, level), and the batches taken in as spans."""
 
+    version: int = 0
+    runs: tuple[tuple[str, int], ...] = ()
+    applied: tuple[tuple[int, int], ...] = ()
 
-def _overwrite_partitions(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
-    """Replace only the partitions present in `df`."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    def holds(self, batch_id: int) -> bool:
+        return any(first <= batch_id <= last for first, last in self.applied)
 
+    def with_batch(self, batch_id: int) -> Manifest:
+        spans: list[tuple[int, int]] = []
+        for first, last in sorted([*self.applied, (batch_id, batch_id)]):
+            if spans and first <= spans[-1][1] + 1:
+                spans[-1] = (spans[-1][0], max(last, spans[-1][1]))
+            else:
+                spans.append((first, last))
+        return replace(self, applied=tuple(spans))
 
-def _touched(rows: DataFrame, phones: DataFrame, order_col: str) -> DataFrame:
-    """Rows with a flag that is set when their phone is in the batch."""
-    return lookup_join(rows, phones.withColumn("__touched", F.lit(True)), [S.PHONE_NORM], order_col)
 
+def read_manifest(spark: SparkSession, root: str) -> Manifest:
+    """The newest whole version; a book that does not exist yet is empty."""
+    for name in reversed(names_in(spark, f"{root}/manifest")):
+        held = read_json(spark, f"{root}/manifest/{name}")
+        if held is not None:
+            return Manifest(int(name.split(".")[0]), tuple(map(tuple, held["runs"])), tuple(map(tuple, held["applied"])))
+    return Manifest()
 
-def upsert_leads(rows: DataFrame, batch_id: int, rows_path: str, leads_path: str, buckets: int = DEFAULT_BUCKETS) -> None:
-    """Add a batch of lead rows and bring their phones' leads up to date.
 
-    The rows are stored under their batch number, so a batch that is replayed
-    replaces itself.  Stored rows of the touched phones are merged again; other
-    leads of the same buckets are carried over.  The new buckets are written in
-    full to the shared folder before they replace the old ones.
-    """
-    keyed = with_bucket(standardise(rows).filter(F.col(S.PHONE_NORM).isNotNull()), buckets)
-    _overwrite_partitions(keyed.withColumn(BATCH, F.lit(batch_id)), rows_path, (BATCH, BUCKET))
-    batch = rows.sparkSession.read.parquet(rows_path).filter(F.col(BATCH) == batch_id)
-    phones = stage(batch.select(S.PHONE_NORM, BUCKET).distinct(), "touched_phones")
-    _merge_again(phones, rows_path, leads_path, buckets)
-    discard(phones)
+def _commit(spark: SparkSession, root: str, manifest: Manifest) -> Manifest:
+    after = replace(manifest, version=manifest.version + 1)
+    write_json(spark, f"{root}/manifest/{after.version:012d}.json", {"runs": after.runs, "applied": after.applied})
+    return after
+
+
+def _run_path(root: str, run: str) -> str:
+    return f"{root}/runs/{run}"
+
+
+def _describe(spark: SparkSession, root: str, run: str, uploads: list[str], parts: list[tuple[str, int]]) -> None:
+    write_json(spark, f"{root}/parts/{run}.json", {"uploads": uploads, "parts": parts})
+
 
+def _described(spark: SparkSession, root: str, run: str) -> dict:
+    return read_json(spark, f"{root}/parts/{run}.json")
 
-def forget_upload(spark: SparkSession, upload_id: str, rows_path: str, leads_path: str, buckets: int = DEFAULT_BUCKETS) -> None:
-    """Take an upload's rows out of the maintained book, and merge the leads they were part of anew.
 
-    A lead without other rows goes.  An upload that the book does not hold changes nothing.
+def _states(spark: SparkSession, root: str, runs: list[str]) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(*[_run_path(root, r) for r in runs])
+
+
+def upsert_leads(rows: DataFrame, batch_id: int, root: str) -> None:
+    """Add a batch of lead rows to the book at `root`; a batch that it holds already changes nothing.
+
+    Rows are numbered over all batches (row_ord), as the merge order needs.  A batch without
+    a reachable row adds no run.
     """
-    stored = spark.read.parquet(rows_path)
-    mine = F.col(S.UPLOAD_ID) == upload_id
-    phones = stage(stored.filter(mine).select(S.PHONE_NORM, BUCKET).distinct(), "touched_phones")
-    # At most one pair per folder of the layout that the upload reaches.
-    touched = {(r[BATCH], r[BUCKET]) for r in stored.filter(mine).select(BATCH, BUCKET).distinct().collect()}
-    if touched:
-        inside = F.col(BATCH).isin([b for b, _ in touched]) & F.col(BUCKET).isin([b for _, b in touched])
-        kept = stage(stored.filter(inside & ~F.coalesce(mine, F.lit(False))), "kept_rows")
-        full = {(r[BATCH], r[BUCKET]) for r in kept.select(BATCH, BUCKET).distinct().collect()}
-        _overwrite_partitions(kept, rows_path, (BATCH, BUCKET))
-        _remove(spark, [f"{rows_path}/{BATCH}={b}/{BUCKET}={k}" for b, k in touched - full])
-        _merge_again(phones, rows_path, leads_path, buckets)
-        discard(kept)
-    discard(phones)
-
-
-def _remove(spark: SparkSession, folders: list[str]) -> None:
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _merge_again(phones: DataFrame, rows_path: str, leads_path: str, buckets: int) -> None:
-    """Replace the leads of the given phones by what their stored rows merge to."""
-    spark = phones.sparkSession
-    # At most one value per bucket, a number fixed by the layout.
-    numbers = [r[0] for r in phones.select(BUCKET).distinct().collect()]
-    if not numbers:
+    spark = rows.sparkSession
+    before = read_manifest(spark, root)
+    if before.holds(batch_id):
         return
-    phones = phones.select(S.PHONE_NORM)
-    nearby = spark.read.parquet(rows_path).filter(F.col(BUCKET).isin(numbers)).drop(BATCH)
-    again = _touched(nearby, phones, S.ROW_ORD).filter(F.col("__touched")).drop("__touched")
-    book = with_bucket(merge_leads(again), buckets)
-    if path_exists(spark, leads_path):
-        old = spark.read.parquet(leads_path).filter(F.col(BUCKET).isin(numbers))
-        carried = _touched(old, phones, S.ROW_ORD).filter(F.col("__touched").isNull()).drop("__touched")
-        book = book.unionByName(carried, allowMissingColumns=True)
-    buckets_now = stage(book, "lead_buckets")
-    left = {r[0] for r in buckets_now.select(BUCKET).distinct().collect()}
-    _overwrite_partitions(buckets_now, leads_path, (BUCKET,))
-    _remove(spark, [f"{leads_path}/{BUCKET}={b}" for b in numbers if b not in left])
-    discard(buckets_now)
-
-
-def upsert_stream(
-    rows: DataFrame, rows_path: str, leads_path: str, checkpoint: str, buckets: int = DEFAULT_BUCKETS
-) -> StreamingQuery:
+    held = stage(reachable(standardise(rows)), "batch_rows")
+    if S.UPLOAD_ID in held.columns:
+        states = merge_groups(held.withColumn(_UPLOAD, F.col(S.UPLOAD_ID)), [_UPLOAD, *_KEYS])
+    else:
+        states = merge_groups(held, _KEYS).withColumn(_UPLOAD, F.lit(None).cast("string"))
+    folder = f"batch-{batch_id:012d}"
+    states.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(_UPLOAD).parquet(_run_path(root, folder))
+    discard(held)
+    runs = []
+    for name in names_in(spark, _run_path(root, folder)):  # one per upload of the batch
+        if name.startswith(f"{_UPLOAD}="):
+            run, upload = f"{folder}/{name}", unquote(name.partition("=")[2])
+            _describe(spark, root, run, [] if upload == _NO_UPLOAD else [upload], [])
+            runs.append((run, 0))
+    after = _commit(spark, root, replace(before.with_batch(batch_id), runs=(*before.runs, *runs)))
+    compact(spark, root, after)
+
+
+def compact(spark: SparkSession, root: str, manifest: Manifest | None = None) -> Manifest:
+    """Merge runs of a level to one of the next while a level holds RUNS_PER_LEVEL of them."""
+    manifest = manifest or read_manifest(spark, root)
+    while True:
+        levels: dict[int, list[str]] = {}
+        for run, level in manifest.runs:
+            levels.setdefault(level, []).append(run)
+        full = [level for level, runs in sorted(levels.items()) if len(runs) >= RUNS_PER_LEVEL]
+        if not full:
+            return manifest
+        level, parts = full[0], levels[full[0]][:RUNS_PER_LEVEL]
+        run = f"level-{level + 1}-{uuid.uuid4().hex}"
+        merge_states(_states(spark, root, parts), _KEYS).write.parquet(_run_path(root, run))
+        uploads = sorted({u for p in parts for u in _described(spark, root, p)["uploads"]})
+        _describe(spark, root, run, uploads, [(p, level) for p in parts])
+        kept = tuple(r for r in manifest.runs if r[0] not in parts)
+        manifest = _commit(spark, root, replace(manifest, runs=(*kept, (run, level + 1))))
+
+
+def forget_upload(spark: SparkSession, upload_id: str, root: str) -> None:
+    """Take an upload out of the book, and its rows off the storage.
+
+    One commit replaces the runs that hold it by their parts, down to the upload's own,
+    which goes; leads without other rows go with it.  An upload that the book does not
+    hold changes nothing.  What is left to delete after a crash, the next call deletes.
+    """
+    manifest = read_manifest(spark, root)
+    open_runs, kept = list(manifest.runs), []
+    while open_runs:
+        run, level = open_runs.pop()
+        about = _described(spark, root, run)
+        if upload_id not in about["uploads"]:
+            kept.append((run, level))
+        open_runs += [tuple(p) for p in about["parts"]] if upload_id in about["uploads"] else []
+    if set(kept) != set(manifest.runs):
+        manifest = _commit(spark, root, replace(manifest, runs=tuple(sorted(kept))))
+    clear_up(spark, root, manifest)
+
+
+def clear_up(spark: SparkSession, root: str, manifest: Manifest | None = None) -> None:
+    """Delete runs that the manifest does not reach, and its older versions.
+
+    Nobody should be reading an older version of the book meanwhile.
+    """
+    manifest = manifest or read_manifest(spark, root)
+    reached, open_runs = set(), [run for run, _ in manifest.runs]
+    while open_runs:
+        run = open_runs.pop()
+        reached.add(run)
+        open_runs += [part for part, _ in _described(spark, root, run)["parts"]]
+    for name in names_in(spark, f"{root}/runs"):
+        inside = [f"{name}/{x}" for x in names_in(spark, _run_path(root, name)) if x.startswith(f"{_UPLOAD}=")]
+        for run in inside or [name]:
+            if run not in reached:
+                delete_path(spark, _run_path(root, run))
+                delete_path(spark, f"{root}/parts/{run}.json")
+    for name in names_in(spark, f"{root}/manifest")[: -KEPT_VERSIONS]:
+        delete_path(spark, f"{root}/manifest/{name}")
+
+
+def book_states(spark: SparkSession, root: str) -> DataFrame | None:
+    """The merged states of the whole book, staged; None while it has no run."""
+    runs = [run for run, _ in read_manifest(spark, root).runs]
+    return stage(merge_states(_states(spark, root, runs), _KEYS), "book_states") if runs else None
+
+
+def read_book(spark: SparkSession, root: str) -> DataFrame | None:
+    """The leads of the book; None while it has no run."""
+    states = book_states(spark, root)
+    return None if states is None else leads_of(states)
+
+
+def upsert_stream(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Apply `upsert_leads` to every micro-batch of a stream of lead rows."""
     return (
         rows.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: upsert_leads(batch, number, rows_path, leads_path, buckets))
+        .foreachBatch(lambda batch, number: upsert_leads(batch, number, root))
         .start()
     )
-
-
-def read_book(spark: SparkSession, leads_path: str) -> DataFrame:
-    return spark.read.parquet(leads_path).drop(BUCKET)

@@ -16,10 +16,10 @@ from leadbook.operators.identity import dedupe_stats
 from leadbook.operators.rules import classification_summary, classify
 from leadbook.plans import book as plan
 from leadbook.runtime import scratch_path
-from leadbook.sources import lead_table, rulebook
+from leadbook.sources import lead_table, ledger, rulebook
 from leadbook.sources.exports import harmonise, read_exports
 from leadbook.streaming.intake import intake_stream
-from leadbook.streaming.upsert import read_book, upsert_stream
+from leadbook.streaming.upsert import forget_upload, read_book, upsert_leads, upsert_stream
 from workload.lead_export import derive_lead_export, duck_lead_export, lead_export, table
 from workload.oracle_tables import FIELDS, clean, deslug, oracle, text
 from workload.registry import query
@@ -165,10 +165,10 @@ def lead_table_round_trip(spark, sf_dir):
 )
 def uploads_listed(spark, sf_dir):
     """Stored uploads with their leads, and one file read but not yet accepted."""
-    stored = lead_table.read_uploads(spark, _store_uploads(spark, sf_dir))
+    root = _store_uploads(spark, sf_dir)
     draft = lead_export(spark, sf_dir).filter(F.col("source_file") == "crm_a.csv")
     drafts = draft.select(F.lit("u4").alias("upload_id"), F.lit("2026-01-04").alias("created_at"), "source_file")
-    return upload_catalogue(stored, plan.ready_uploads(stored), drafts)
+    return upload_catalogue(ledger.listed_uploads(spark, root), drafts)
 
 
 @query(
@@ -614,6 +614,39 @@ def leads_upserted(spark, sf_dir):
     lead_export(spark, sf_dir).withColumn("part", F.col("row_ord") % 3).write.partitionBy("part").parquet(source)
     schema = lead_export(spark, sf_dir).schema
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 12).option("recursiveFileLookup", True).parquet(source)
-    rows, leads = scratch_path(spark, "book_rows"), scratch_path(spark, "book_leads")
-    upsert_stream(arriving, rows, leads, scratch_path(spark, "book_checkpoint"), buckets=16).awaitTermination()
-    return read_book(spark, leads).select("phone_normalized", "name_key", *FIELDS, "merged_row_count", "merged_sources")
+    root = scratch_path(spark, "book")
+    upsert_stream(arriving, root, scratch_path(spark, "book_checkpoint")).awaitTermination()
+    return read_book(spark, root).select("phone_normalized", "name_key", *FIELDS, "merged_row_count", "merged_sources")
+
+
+_WITHOUT_ONE = oracle(
+    f"SELECT phone_normalized, name_key, {LEAD_FIELDS}, merged_row_count, merged_sources, 1::BIGINT AS member_frames FROM book", "book"
+).replace(duck_lead_export(), f"SELECT * FROM ({duck_lead_export()}) WHERE source_file NOT IN ('crm_a.csv', 'Apartment Leads.csv')")
+
+
+@query("ST2 S11", _WITHOUT_ONE)
+def upload_forgotten(spark, sf_dir):
+    """Three uploads upserted one by one, the second and then the first forgotten: the book of the third alone."""
+    root = scratch_path(spark, "book")
+    for number, (file, upload) in enumerate(_UPLOADS.items()):
+        rows = lead_export(spark, sf_dir).filter(F.col("source_file") == file)
+        upsert_leads(rows.withColumn("upload_id", F.lit(upload)), number, root)
+    for file in ("crm_a.csv", "Apartment Leads.csv"):
+        forget_upload(spark, _UPLOADS[file], root)
+    return read_book(spark, root).select("phone_normalized", "name_key", *FIELDS, "merged_row_count", "merged_sources", "member_frames")
+
+
+@query("ST1 ST2 D9", oracle("SELECT phone_normalized, name_key, merged_row_count, true AS as_in_pool FROM book", "book"))
+def streamed_book(spark, sf_dir):
+    """CSV files taken in file by file and upserted; every lead must equal the pool's in every column."""
+    folder, uploads, root = _write_csv_sets(spark, sf_dir), scratch_path(spark, "intake"), scratch_path(spark, "book")
+    intake_stream(
+        spark, folder, uploads, scratch_path(spark, "intake_checkpoint"), then=lambda rows, number: upsert_leads(rows, number, root)
+    ).awaitTermination()
+    streamed, pool = read_book(spark, root), plan.combined_pool(lead_table.read_uploads(spark, uploads))
+    keys = ["phone_normalized", "name_key"]
+    fields = sorted(set(streamed.columns) & set(pool.columns) - {*keys, "row_ord"})
+    maps = {c for c, kind in pool.dtypes if kind.startswith("map")}
+    whole = lambda df, name: df.select(*keys, "merged_row_count", F.struct(*[F.array_sort(F.map_entries(c)) if c in maps else F.col(c) for c in fields]).alias(name))
+    both = whole(streamed, "mine").join(whole(pool, "theirs").drop("merged_row_count"), keys, "full")
+    return both.select(*keys, "merged_row_count", F.col("mine").eqNullSafe(F.col("theirs")).alias("as_in_pool"))
