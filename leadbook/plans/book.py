@@ -33,13 +33,10 @@ class Draft:
 
 
 def read_draft(
-    spark: SparkSession, paths: list[str] | str, mappings: dict[str, dict[str, str]] | None = None, multiline: bool = True
+    spark: SparkSession, paths: list[str] | str, mappings: dict[str, dict[str, str]] | None = None
 ) -> Draft:
-    """Read files, split sheets by campaign, and describe every virtual sheet.
-
-    Without line breaks inside cells, `multiline=False` reads large files in splits.
-    """
-    rows, matches = read_exports(spark, paths, mappings, multiline)
+    """Read files, split sheets by campaign, and describe every virtual sheet."""
+    rows, matches = read_exports(spark, paths, mappings)
     split = with_virtual_sheets(rows)
     return Draft(split, stage(sheet_catalogue(split, matches), "catalogue"))
 

@@ -1,54 +1,27 @@
-"""Reading export files: encoding and header per file, one scan per header layout."""
+"""Reading export files: encoding and header per file, one scan for all layouts."""
 
 from __future__ import annotations
 
 import csv
 import io
 import re
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leadbook import schema as S
 from leadbook.functions.text import READER_NULL_TOKENS, repair_encoding
 from leadbook.operators.headers import canonical_names, matched_fields, sheet_headers
-from leadbook.runtime import lookup_join, stage
+from leadbook.runtime import stage
+from leadbook.sources.records import BLOCK, LINE, PATH, PLACE, cells_of, file_records
 
-_PATH, _BLOCK, _SEEN, _RAW = "__path", "__block", "__seen", "__raw"
-# A cell of a CSV line behind its comma: quoted, with doubled quotes inside, or plain.
-_CELL = r',("(?:[^"]|"")*"|[^,]*)'
+_LAYOUT = "header string, mapped string, places array<int>, others array<struct<name:string,place:int>>, width int, matched_fields long, column_count long"
 
 
 class NoHeaderError(ValueError):
     """None of the files has a line with anything on it."""
 
 
-def file_layouts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, utf8, header) of every file, from one splittable scan of raw lines.
-
-    A file is read as UTF-8 only if all of its lines are; the header is its first
-    line with anything on it.
-    """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("value"),
-        F.monotonically_increasing_id().alias("seen"),
-    )
-    # The first split of a file is read in order by one task.
-    opening = (F.col("block") == 0) & (F.length(F.trim("value")) > 0)
-    files = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.min(F.when(opening, F.struct("seen", F.col("value").cast("binary").alias("line")))).alias("first"),
-    )
-    line = F.col("first.line")
-    as_text = F.when(F.col("utf8"), line.cast("string")).otherwise(F.decode(line, "ISO-8859-1"))
-    header = repair_encoding(F.regexp_replace(as_text, "^﻿|\r$", ""))
-    return files.filter(F.col("first").isNotNull()).select("path", "utf8", header.alias("header"))
-
-
 def decoded_path(path):
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
@@ -62,13 +35,40 @@ def file_name(path):
     return F.element_at(F.split(decoded_path(path), "/"), -1)
 
 
-def _header_cells(spark: SparkSession, layout) -> list[str | None]:
-    """The cells of a header line; a cell with a line break needs the file's first record."""
-    if layout["header"].count('"') % 2 == 0:
-        return next(csv.reader(io.StringIO(layout["header"])))
-    encoding = "UTF-8" if layout["utf8"] else "ISO-8859-1"
-    records = spark.read.option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(literal_path(layout["plain"]))
-    return list(records.select(*[repair_encoding(F.col(c)) for c in records.columns]).first())
+def _anything(line: Column) -> Column:
+    """Whether a record has a cell that the reader does not take for null."""
+    return F.exists(cells_of(F.regexp_replace(line, "\r$", "")), lambda c: ~c.isin(*READER_NULL_TOKENS))
+
+
+def _as_text(line: Column, utf8: Column) -> Column:
+    text = F.when(utf8, line).otherwise(F.decode(line.cast("binary"), "ISO-8859-1"))
+    return repair_encoding(F.regexp_replace(text, "^\ufeff|\r$", ""))
+
+
+def _files(records: DataFrame) -> DataFrame:
+    """One staged row per file: whether it is UTF-8, its header, its rows, and where each split's rows are numbered from.
+
+    A file is read as UTF-8 only if all of its records are; the header is its first
+    record with anything on it.  Row numbers run over files, then splits: sums per split
+    first, then over a file's splits and over files, kept as one map from split to offset.
+    """
+    first = F.struct(BLOCK, PLACE, F.col(LINE).cast("binary").alias("line"))
+    splits = records.groupBy(PATH, BLOCK).agg(
+        F.min(PLACE).alias("first"), F.count("*").alias("n"), F.bool_and(F.is_valid_utf8(LINE)).alias("utf8"), F.min(first).alias("opening")
+    )
+    splits = stage(splits, "splits")
+    in_file = Window.partitionBy(PATH).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.withColumn("before", F.coalesce(F.sum("n").over(in_file), F.lit(0)))
+    # The header is the file's first record and takes no number.
+    offset = F.struct(F.col(BLOCK).alias("key"), (F.col("before") - F.col("first") - 1).alias("value"))
+    files = placed.groupBy(PATH).agg(
+        F.bool_and("utf8").alias("utf8"), F.min("opening").alias("opening"), (F.sum("n") - 1).alias("n"), F.map_from_entries(F.collect_list(offset)).alias("offsets")
+    )
+    start = F.coalesce(F.sum("n").over(Window.orderBy(PATH).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    header = _as_text(F.col("opening.line").cast("string"), F.col("utf8"))
+    at = F.struct(F.col(f"opening.{BLOCK}").alias("block"), F.col(f"opening.{PLACE}").alias("place"))
+    named = repair_encoding(file_name(F.col(PATH)))
+    return stage(files.select(PATH, "utf8", header.alias("header"), at.alias("at"), "n", "offsets", start.alias("start"), named.alias("file")), "files")
 
 
 def _checked_mapping(mapping: dict[str, str], headers: list[str]) -> dict[str, str]:
@@ -80,101 +80,73 @@ def _checked_mapping(mapping: dict[str, str], headers: list[str]) -> dict[str, s
     return {source: field for field, source in claims.items()}
 
 
-def _read_layout(spark: SparkSession, paths: list[str], utf8: bool, names: list[str], multiline: bool) -> DataFrame:
-    """All files of one header layout, in canonical columns plus `extras`."""
-    positional = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
-    raw = (
-        spark.read.schema(T.StructType([*positional, T.StructField(_RAW, T.StringType())]))
-        .option("columnNameOfCorruptRecord", _RAW)
-        .option("header", True)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-        .csv([literal_path(p) for p in paths])
-    )
-    cells = {
-        name: repair_encoding(F.when(~F.col(f"_c{i}").isin(*READER_NULL_TOKENS), F.col(f"_c{i}")))
-        for i, name in enumerate(names)
-    }
-    unknown = [n for n in names if n not in S.CANONICAL_FIELDS]
-    pairs = [x for n in unknown for x in (F.lit(n), cells[n])]
-    named = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.lit(None)
-    beyond = _cells_beyond(F.col(_RAW), len(names))
-    extras = F.when(F.size(beyond) > 0, F.map_concat(F.coalesce(named.cast(S.STRING_MAP), F.create_map().cast(S.STRING_MAP)), beyond))
-    extras = F.coalesce(extras, named.cast(S.STRING_MAP))
-    anything = F.coalesce(*[F.when(~F.col(c.name).isin(*READER_NULL_TOKENS), F.col(c.name)) for c in positional]).isNotNull()
-    kept = raw.filter(anything | (F.size(beyond) > 0))
-    return kept.select(
-        F.col("_metadata.file_path").alias(_PATH),
-        F.col("_metadata.file_block_start").alias(_BLOCK),
-        F.monotonically_increasing_id().alias(_SEEN),
-        *[cells[f].alias(f) if f in cells else F.lit(None).cast("string").alias(f) for f in S.CANONICAL_FIELDS],
-        extras.alias(S.EXTRAS),
-        F.lit("campaign" in names).alias(S.HAS_CAMPAIGN),
-    )
-
-
-def _cells_beyond(line, width: int):
-    """Cells that a row has beyond its header, as `Unnamed: <place>`; empty for other rows."""
-    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
-    text = F.transform(found, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
-    placed = F.transform(text, lambda c, i: F.struct(F.concat(F.lit("Unnamed: "), i).alias("k"), repair_encoding(c).alias("v"), i.alias("i")))
-    kept = F.filter(placed, lambda c: (c["i"] >= width) & ~c["v"].isin(*READER_NULL_TOKENS))
-    entries = F.map_from_entries(F.transform(kept, lambda c: F.struct(c["k"], c["v"])))
-    return F.when(F.size(found) > width, entries).otherwise(F.create_map().cast(S.STRING_MAP))
-
+def _layout(header: str, mapping: dict[str, str]) -> tuple:
+    """Where a layout has each canonical field, and its other columns."""
+    headers = sheet_headers(next(csv.reader(io.StringIO(header, newline=""))))
+    renames = _checked_mapping(mapping, headers)
+    names = canonical_names([renames.get(h, h) for h in headers])
+    place = {name: k for k, name in enumerate(names)}
+    others = [(name, k) for k, name in enumerate(names) if name not in S.CANONICAL_FIELDS]
+    return [place.get(f) for f in S.CANONICAL_FIELDS], others, len(names), matched_fields(names), len(names)
+
+
+def _with_layouts(spark: SparkSession, files: DataFrame, mappings: dict[str, dict[str, str]]) -> DataFrame:
+    """Files with their layouts, which are rows: the driver sees each distinct header once, not each file."""
+    mapped = F.when(F.col("file").isin(*mappings), F.col("file")) if mappings else F.lit(None).cast("string")
+    keyed = files.withColumn("mapped", F.coalesce(mapped, F.lit("")))
+    rows = [
+        (r["header"], r["mapped"], *_layout(r["header"], mappings.get(r["mapped"], {})))
+        for r in keyed.select("header", "mapped").distinct().collect()
+    ]
+    if not rows:
+        raise NoHeaderError("no file with a header row")
+    return stage(keyed.join(spark.createDataFrame(rows, _LAYOUT), ["header", "mapped"]).drop("header", "mapped"), "layouts")
 
-def _with_row_order(rows: DataFrame) -> DataFrame:
-    """Number all rows by file, then position in the file.
 
-    Rows of one input split were read in order, so each split needs only its
-    starting number.  Those come from a running sum over one row per split.
-    """
-    splits = rows.groupBy(_PATH, _BLOCK).agg(F.min(_SEEN).alias("__first"), F.max(_SEEN).alias("__last"))
-    earlier = Window.orderBy(_PATH, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    span = F.col("__last") - F.col("__first") + 1
-    starts = splits.withColumn("__start", F.coalesce(F.sum(span).over(earlier), F.lit(0))).drop("__last")
-    placed = lookup_join(rows, starts, [_PATH, _BLOCK], _SEEN)
-    return placed.withColumn(S.ROW_ORD, F.col("__start") + F.col(_SEEN) - F.col("__first")).drop(
-        "__start", "__first", _SEEN, _BLOCK
-    )
+def _lead_cells(line: Column) -> Column:
+    """The cells of a record as text, those that the reader takes for null as nulls."""
+    return F.transform(cells_of(line), lambda c: F.when(~c.isin(*READER_NULL_TOKENS), c))
 
 
 def read_exports(
-    spark: SparkSession,
-    paths: list[str] | str,
-    mappings: dict[str, dict[str, str]] | None = None,
-    multiline: bool = True,
+    spark: SparkSession, paths: list[str] | str, mappings: dict[str, dict[str, str]] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """All rows of the files in canonical columns, and (source_file, matched_fields, column_count).
 
-    Headers drift from file to file, so files are grouped by header and encoding
-    and each group is one scan over its own files.  The driver holds one short
-    row per file, as it does for any file listing.  `mappings` renames columns of
-    single files before the alias table is applied; a column that the file lacks, a
-    field that does not exist and a second claim on a field are passed over.  Cells beyond a file's header
-    are kept in `extras` as `Unnamed: <place>`.  Files with line breaks
-    inside cells need `multiline`, which reads each file in one task.
+    Files are read in splits, whether or not cells hold line breaks, by one scan for all
+    header layouts: a layout is a row that says where each field stands, and joins the
+    records by file.  `mappings` renames columns of single files before the alias table is
+    applied; a column that the file lacks, a field that does not exist and a second claim on
+    a field are passed over.  Cells beyond a file's header are kept in `extras` as
+    `Unnamed: <place>`.  Rows are numbered over files and splits without a sort.
     """
-    layouts: dict[tuple, list[str]] = {}
-    matched: list[tuple[str, int]] = []
-    listed = file_layouts(spark, paths).withColumns(
-        {"file": repair_encoding(file_name(F.col("path"))), "plain": decoded_path(F.col("path"))}
+    records = file_records(spark, paths, _anything)
+    files = _with_layouts(spark, _files(records), mappings or {})
+    matches = files.select(F.col("file").alias(S.SOURCE_FILE), "matched_fields", "column_count")
+    return stage(_projected(records, files), "export_rows"), matches
+
+
+def _projected(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Records in canonical columns, each by the layout of its file."""
+    read = records.join(files, PATH).where(F.struct(F.col(BLOCK), F.col(PLACE)) != F.struct("at.block", "at.place"))
+    order = F.col("start") + F.element_at("offsets", F.col(BLOCK)) + F.col(PLACE)
+    rows = read.select(
+        "file", "places", "others", "width", order.alias(S.ROW_ORD), _lead_cells(_as_text(F.col(LINE), F.col("utf8"))).alias("cells")
+    )
+    fields = [F.get("cells", F.get("places", k)).alias(f) for k, f in enumerate(S.CANONICAL_FIELDS)]
+    entry = lambda name, place: F.struct(name.alias("key"), F.get("cells", place).alias("value"))
+    known = F.transform("others", lambda o: entry(o["name"], o["place"]))
+    beyond = F.transform(
+        F.when(F.size("cells") > F.col("width"), F.sequence(F.col("width"), F.size("cells") - 1)).otherwise(F.array().cast("array<int>")),
+        lambda k: entry(F.concat(F.lit("Unnamed: "), k.cast("string")), k),
+    )
+    held = F.filter(F.concat(known, beyond), lambda e: e["value"].isNotNull())
+    extras = F.when((F.size("others") > 0) | (F.size("cells") > F.col("width")), F.map_from_entries(held))
+    has_campaign = F.get("places", S.CANONICAL_FIELDS.index("campaign")).isNotNull()
+    return rows.select(
+        *fields, extras.cast(S.STRING_MAP).alias(S.EXTRAS), has_campaign.alias(S.HAS_CAMPAIGN), S.ROW_ORD,
+        F.col("file").alias(S.SOURCE_FILE), F.col("file").alias(S.SOURCE_SHEET),
     )
-    for row in listed.collect():
-        headers = sheet_headers(_header_cells(spark, row))
-        mapping = _checked_mapping((mappings or {}).get(row["file"], {}), headers)
-        names = canonical_names([mapping.get(h, h) for h in headers])
-        layouts.setdefault((row["utf8"], tuple(names)), []).append(row["plain"])
-        matched.append((row["file"], matched_fields(names), len(names)))
-    if not layouts:
-        raise NoHeaderError("no file with a header row")
-    scans = [_read_layout(spark, files, utf8, list(names), multiline) for (utf8, names), files in layouts.items()]
-    rows = _with_row_order(stage(reduce(DataFrame.unionByName, scans), "export_rows"))
-    named = repair_encoding(file_name(F.col(_PATH)))
-    tagged = rows.withColumns({S.SOURCE_FILE: named, S.SOURCE_SHEET: named}).drop(_PATH)
-    matches = spark.createDataFrame(matched, f"{S.SOURCE_FILE} string, matched_fields long, column_count long")
-    return tagged, matches
 
 
 def harmonise(df: DataFrame) -> DataFrame:

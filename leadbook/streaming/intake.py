@@ -19,7 +19,7 @@ _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bi
 
 
 def take_in(
-    spark: SparkSession, paths: list[str], root: str, upload_id: str, created_at: str, first_row: int = 0, multiline: bool = True
+    spark: SparkSession, paths: list[str], root: str, upload_id: str, created_at: str, first_row: int = 0
 ) -> DataFrame | None:
     """Read files, accept what is detected in them, store them as one upload and read it back.
 
@@ -27,7 +27,7 @@ def take_in(
     they are merged.  Files in which no sheet looks like leads are passed over: None.
     """
     try:
-        draft = read_draft(spark, paths, multiline=multiline)
+        draft = read_draft(spark, paths)
     except NoHeaderError:
         return None
     choices = detected_choices(draft.catalogue)
@@ -56,7 +56,6 @@ def intake_stream(
     root: str,
     checkpoint: str,
     then: Callable[[DataFrame, int], None] | None = None,
-    multiline: bool = True,
 ) -> StreamingQuery:
     """Store every new file of `folder`; headers may differ from file to file.
 
@@ -78,7 +77,7 @@ def intake_stream(
         if paths:
             session, upload, created = batch.sparkSession, _batch_upload(number), f"batch {number:012d}"
             first = _first_row(session, root, number)
-            rows = take_in(session, [literal_path(p) for p in paths], root, upload, created, first, multiline)
+            rows = take_in(session, [literal_path(p) for p in paths], root, upload, created, first)
             if rows is None:
                 record_empty(session, root, upload, created, first)
             elif then:

@@ -43,7 +43,7 @@ def test_row_order_follows_files_and_rows(spark, tmp_path):
     rows, _ = exports.read_exports(spark, str(folder))
     names = [r["name"] for r in rows.orderBy(S.ROW_ORD).collect()]
     assert names == [f"n{f}-{i}" for f in range(5) for i in range(200)]
-    split, _ = exports.read_exports(spark, str(folder), multiline=False)
+    split, _ = exports.read_exports(spark, str(folder))
     assert [r["name"] for r in split.orderBy(S.ROW_ORD).collect()] == names
 
 

@@ -100,6 +100,18 @@ def csv_exports_converge(spark, sf_dir):
     return rows.select(*FIELDS)
 
 
+@query(
+    "S1",
+    f"SELECT doc_id::VARCHAR AS name, CASE WHEN text IN {_READ_NULLS} THEN NULL ELSE text END AS qualitative_remarks FROM documents",
+)
+def csv_line_breaks_read(spark, sf_dir):
+    """Whole document texts, with their line breaks and quotes, as cells of CSV files that are read in splits."""
+    root = scratch_path(spark, "csv_texts")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("Full Name"), F.col("text").alias("Remarks"))
+    docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root)
+    return read_exports(spark, root)[0].select("name", "qualitative_remarks")
+
+
 @query(
     "S4 H4",
     oracle(
