@@ -35,9 +35,14 @@ def file_name(path):
     return F.element_at(F.split(decoded_path(path), "/"), -1)
 
 
+# A first cell without quotes that the reader does not take for null: most records need no further look.
+_PRESENT = r"^(?!(?:" + "|".join(re.escape(t) for t in READER_NULL_TOKENS if t) + r")?(?:,|\r?$))[^\",\r]"
+
+
 def _anything(line: Column) -> Column:
     """Whether a record has a cell that the reader does not take for null."""
-    return F.exists(cells_of(F.regexp_replace(line, "\r$", "")), lambda c: ~c.isin(*READER_NULL_TOKENS))
+    some = F.exists(cells_of(F.regexp_replace(line, "\r$", "")), lambda c: ~c.isin(*READER_NULL_TOKENS))
+    return F.when(line.rlike(_PRESENT), True).otherwise(some)
 
 
 def _as_text(line: Column, utf8: Column) -> Column:

@@ -69,38 +69,48 @@ def _outcome(entry: Column, settled: str, swap: str) -> Column:
     return _xor(F.coalesce(F.col(settled), entry), F.col(swap))
 
 
-def _joined_lines(lines: DataFrame) -> DataFrame:
-    """Whole records (path, block, seen, line) of files whose cells hold line breaks.
+def _joined_lines(lines: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """Kept records (path, block, place, line) of files whose cells hold line breaks.
 
     A record stands in the split of its first line.  Where a quote is never closed, it is
-    taken as it stands and the lines behind it are records of their own.
+    taken as it stands and the lines behind it are records of their own.  Lines are
+    shuffled by split, which bounds a group, and joined there; what belongs to a record of
+    an earlier split, some lines at a split's beginning, then moves to it.
     """
     flags = {"opens": F.col(LINE).rlike(_OPENS).cast("int"), "stays": F.col(LINE).rlike(_STAYS).cast("int")}
     told = _composed(lines.withColumns(flags), [PATH, BLOCK], _SEEN)
     so_far = Window.partitionBy(PATH, BLOCK).orderBy(_SEEN).rowsBetween(Window.unboundedPreceding, 0)
     owner = lambda entry: F.last(F.when(_outcome(F.lit(entry), "set_before", "swap_before") == 0, F.col(_SEEN)), True).over(so_far)
-    told = stage(told.withColumns({"owner_0": owner(0), "owner_1": owner(1)}), "told_lines")
+    owned = told.withColumns({"owner_0": owner(0), "owner_1": owner(1)})
+    # Lines that belong to one record whatever the entry; the columns of the split stay the grouping's first.
+    parts = F.array_sort(F.collect_list(F.struct(_SEEN, LINE)))
+    pieces = owned.groupBy(PATH, BLOCK, "owner_0", "owner_1").agg(
+        F.array_join(parts[LINE], "\n").alias(LINE), F.min(_SEEN).alias(_SEEN), F.max(F.struct(_SEEN, "set_to", "swap_to")).alias("end")
+    )
+    pieces = stage(pieces, "pieces")
     # One row per split: what it does to an entry, and its last record's first line for either entry.
-    ends = told.groupBy(PATH, BLOCK).agg(
-        F.max(F.struct(_SEEN, _outcome(F.lit(0), "set_to", "swap_to").alias("opens"), _outcome(F.lit(1), "set_to", "swap_to").alias("stays"), "owner_0", "owner_1")).alias("e")
-    ).select(PATH, BLOCK, "e.opens", "e.stays", "e.owner_0", "e.owner_1")
-    splits = _composed(ends, [PATH], BLOCK)
+    ends = pieces.groupBy(PATH, BLOCK).agg(F.max(F.struct("end", "owner_0", "owner_1")).alias("e")).select(PATH, BLOCK, "e.end.*", "e.owner_0", "e.owner_1")
+    maps = {"opens": _outcome(F.lit(0), "set_to", "swap_to"), "stays": _outcome(F.lit(1), "set_to", "swap_to")}
+    splits = _composed(ends.withColumns(maps).drop("set_to", "swap_to", _SEEN), [PATH], BLOCK)
     entry, leaves = _outcome(F.lit(0), "set_before", "swap_before"), _outcome(F.lit(0), "set_to", "swap_to")
     last = F.when(entry == 0, F.col("owner_0")).otherwise(F.col("owner_1"))
     placed = splits.withColumns({"entry": entry, "leaves": leaves}).withColumn("last", F.when(last.isNotNull(), F.struct(BLOCK, last.alias(_SEEN))))
     before = Window.partitionBy(PATH).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(PATH)
-    torn = F.max_by("leaves", BLOCK).over(whole) == 1
-    final = F.last("last", True).over(Window.partitionBy(PATH).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    carried = placed.select(PATH, BLOCK, "entry", F.last("last", True).over(before).alias("carried"), F.when(torn, final).alias("torn"))
-    owned = told.join(carried, [PATH, BLOCK])
+    whole = Window.partitionBy(PATH).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    torn = F.when(F.last("leaves").over(whole) == 1, F.last("last", True).over(whole))
+    carried = placed.select(PATH, BLOCK, "entry", F.last("last", True).over(before).alias("carried"), torn.alias("torn"))
+    met = pieces.join(carried, [PATH, BLOCK])
     own = F.when(F.col("entry") == 0, F.col("owner_0")).otherwise(F.col("owner_1"))
-    head = F.coalesce(F.when(own.isNotNull(), F.struct(BLOCK, own.alias(_SEEN))), F.col("carried"))
-    alone = F.struct(BLOCK, _SEEN)
-    head = F.when(head.isNull() | F.coalesce(head == F.col("torn"), F.lit(False)), alone).otherwise(head)
-    parts = F.array_sort(F.collect_list(F.struct(BLOCK, _SEEN, LINE)))
-    records = owned.select(PATH, BLOCK, _SEEN, LINE, head.alias("head")).groupBy(PATH, "head").agg(parts.alias("parts"))
-    return records.select(PATH, F.col(f"head.{BLOCK}").alias(BLOCK), F.col(f"head.{_SEEN}").alias(_SEEN), F.array_join(f"parts.{LINE}", "\n").alias(LINE))
+    head = F.coalesce(F.when(own.isNotNull(), F.struct(BLOCK, own.alias(_SEEN))), F.col("carried"), F.struct(BLOCK, _SEEN))
+    single = F.coalesce(head == F.col("torn"), F.lit(False))
+    headed = met.select(PATH, BLOCK, _SEEN, LINE, head.alias("head"), single.alias("single"))
+    mine = headed.where("NOT single").select(PATH, "head.*", F.col(BLOCK).alias("b"), F.col(_SEEN).alias("s"), LINE)
+    records = mine.repartition(PATH, BLOCK).groupBy(PATH, BLOCK, _SEEN).agg(F.array_join(F.array_sort(F.collect_list(F.struct("b", "s", LINE)))[LINE], "\n").alias(LINE))
+    # A torn record's lines keep their order behind its first one.
+    alone = headed.where("single").select(PATH, BLOCK, _SEEN, F.posexplode(F.split(LINE, "\n")).alias("nth", LINE))
+    both = records.withColumn("nth", F.lit(0)).unionByName(alone).filter(keep(F.col(LINE)))
+    place = F.row_number().over(Window.partitionBy(PATH, BLOCK).orderBy(_SEEN, "nth")).cast("long")
+    return both.select(PATH, BLOCK, place.alias(PLACE), LINE)
 
 
 def file_records(spark: SparkSession, paths: list[str] | str, keep: Callable[[Column], Column]) -> DataFrame:
@@ -116,6 +126,5 @@ def file_records(spark: SparkSession, paths: list[str] | str, keep: Callable[[Co
     records = stage(kept.join(broken, PATH, "left_anti"), "records")
     if broken.isEmpty():
         return records
-    joined = _joined_lines(lines.join(broken, PATH, "left_semi")).filter(keep(F.col(LINE)))
-    place = F.row_number().over(Window.partitionBy(PATH, BLOCK).orderBy(_SEEN)).cast("long")
-    return records.unionByName(stage(joined.select(PATH, BLOCK, place.alias(PLACE), LINE), "joined_records"))
+    joined = _joined_lines(lines.join(broken, PATH, "left_semi"), keep)
+    return records.unionByName(stage(joined, "joined_records"))
