@@ -18,8 +18,9 @@ from tokenizers import Tokenizer
 
 from leadbook.llm.worker_cache import held
 
-# Entries of one worker's memo; it is emptied when full, which costs time, never results.
-MEMO_ENTRIES = 250_000
+# Entries of each of the two generations of a worker's memo, and the longest segment that it keeps.
+MEMO_ENTRIES = 400_000
+MEMO_CHARS = 64
 
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _OTHER_SAFE = " \t\n!-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷"
@@ -37,46 +38,64 @@ def _byte_characters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Segment -> its ids as little-endian 32-bit bytes."""
+    """Segment -> its ids as little-endian 32-bit bytes.
+
+    A full memo becomes the older generation, and what that one held and nobody asked for
+    since is let go; an answer found there moves back.
+    """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.model, self.shown = tokenizer, tokenizer.model, _byte_characters()
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, segment: str) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
+        packed = self.older.get(segment)
+        if packed is None:
+            packed = self._coded(segment)
+        if len(segment) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[segment] = packed
+        return packed
+
+    def _coded(self, segment: str) -> bytes:
         if _WORD.fullmatch(segment):  # one pre-token: straight to the library's merges
             word = segment.encode().decode("latin-1").translate(self.shown)
             ids = [t.id for t in self.model.tokenize(word)]
         else:
             ids = self.tokenizer.encode(segment, add_special_tokens=False).ids
-        self[segment] = packed = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
     """ids of a text as little-endian unsigned 32-bit bytes, equal to the library's for the whole text.
 
-    Strings of special tokens in a text are ordinary text.  A null or empty text has no ids.
+    A text that holds the string of an added token goes to the library whole, which codes it
+    as that token.  A null or empty text has no ids.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(Path(path).read_text())
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.segments, self.lower = _cut_rule(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        # An added token that is looked for in the normalized text may be hidden in any other one.
+        if any(t.get("normalized") for t in spec.get("added_tokens", [])):
+            self.segments = None
         self.memo = _Memo(self.tokenizer)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.segments is None or _UNPROVEN.search(text):
+        cut = text.lower() if self.lower else text
+        # What lowering makes an added token is none to the library, but its segment would be.
+        held = any(t in text or t in cut for t in self.added)
+        if held or self.segments is None or _UNPROVEN.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        if self.lower:
-            text = text.lower()
-        return b"".join(map(self.memo.__getitem__, self.segments.findall(text)))
+        return b"".join(map(self.memo.__getitem__, self.segments.findall(cut)))
 
 
 def _cut_rule(spec: dict) -> tuple[re.Pattern | None, bool]:

@@ -8,11 +8,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from leadbook.llm.elias_fano import EliasFano
 from leadbook.llm.packing import best_fit, cross, evolve, fitness, pack_documents, pack_items, seeds
+from leadbook.llm import tokenizing
 from leadbook.llm.token_files import TokenFile, read_token_files, write_token_files
 from leadbook.llm.tokenizing import Encoder
 
@@ -34,6 +36,33 @@ def test_segments_give_the_ids_of_the_whole_text(path, text):
     assert ENCODERS[path].encode(text) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_are_coded_as_the_library_codes_them(path):
+    library = Tokenizer.from_file(path)
+    for text in ("a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|><|startoftext|> y", "<|ENDOFTEXT|>", "a < |endoftext|> b"):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert Encoder(path).encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_a_full_memo_keeps_what_is_asked_for(monkeypatch):
+    monkeypatch.setattr(tokenizing, "MEMO_ENTRIES", 20)
+    own, coded = Encoder(BYTES), []
+    monkeypatch.setattr(own.memo, "_coded", lambda segment: coded.append(segment) or type(own.memo)._coded(own.memo, segment))
+    for k in range(300):
+        text = f"common word{chr(97 + k % 26)}{chr(97 + k // 26)} common"
+        assert own.encode(text) == struct.pack(f"<{len(plain(BYTES, text))}I", *plain(BYTES, text))
+    assert coded.count(" common") == 1 and len(own.memo) <= 20 and len(own.memo.older) <= 20
+    own.encode("y" * 100)
+    assert "y" * 100 not in own.memo
+
+
+def test_starts_behind_a_text_with_an_added_token(spark):
+    docs = [(0, "a <|endoftext|> b"), (1, "<|startoftext|> c"), (2, "d e")]
+    got = read_token_files(write_token_files(spark.createDataFrame(docs, "doc_id long, text string"), WORDS, 2)).orderBy("doc_id").collect()
+    sizes = [len(Tokenizer.from_file(WORDS).encode(t, add_special_tokens=False).ids) + 1 for _, t in docs]
+    assert [r.n_tokens for r in got] == sizes and [r.start for r in got] == [0, sizes[0], sizes[0] + sizes[1]]
+
+
 @settings(max_examples=100, deadline=None)
 @given(values=st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 500), max_size=700))
 def test_elias_fano_round_trip(values):
