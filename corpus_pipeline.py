@@ -12,7 +12,7 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadbook.llm.jaccard import similarity_groups
@@ -22,9 +22,14 @@ from leadbook.llm.packing import pack_documents
 from leadbook.runtime import ship_code, stage
 
 
+def _row(docs: DataFrame) -> Column:
+    """The row as it is, whatever its columns are called."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """uid, doc_id, text, and the row as it is."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", _row(docs).alias("row"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     texts = training_texts(docs.select("doc_id", "text", "lang").where(crc_of_id(F.col("doc_id")) % 4 != 2))
     if not texts:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged = with_language(docs.select(F.struct(*docs.columns).alias("row"), "text"), texts)
+    judged = with_language(docs.select(_row(docs).alias("row"), "text"), texts)
     return judged.where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
@@ -64,12 +69,17 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+# Arrow batches are bounded by rows and by bytes; the usual 64 MB of text are in a task several times over.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def _stage(step: Stage) -> Stage:
-    """A stage whose executors have the package."""
+    """A stage whose executors have the package, and whose Python workers get small batches."""
 
     @wraps(step)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_code(spark)
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
         return step(spark, docs, sf_dir)
 
     return run_step

@@ -60,3 +60,11 @@ def test_empty_table_passes_through(spark, no_documents):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_columns_with_odd_names_pass_through(spark, awkward):
+    docs = awkward.withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2)).withColumn("row", F.lit(3))
+    for name, step in corpus_pipeline.STAGES[:3]:
+        docs = step(spark, docs, "")
+        assert docs.columns[-3:] == ["a.b", "c`d", "row"], name
+    assert {(r[-3], r[-2], r[-1]) for r in docs.collect()} == {(1, 2, 3)}
