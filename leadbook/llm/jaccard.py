@@ -13,14 +13,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadbook.llm.components import components
@@ -30,16 +30,18 @@ from leadbook.runtime import discard, stage
 
 # Bits of a sketch block: wide enough that few elements of a block share a bit.
 BLOCK_BITS = 4096
-# Bits of the sketch that a candidate pair is held against before its texts are.
-SKETCH_BITS = 1024
+# Bits of the sketch that a candidate pair is held against before its texts are: as many as the set has elements,
+# a power of two between these.  Fewer would be full for a long text, and no bound.
+SKETCH_BITS, MOST_SKETCH_BITS = 1024, 16_384
 # Sizes of a band lie within this ratio.
 BAND_RATIO = 1.4
 # Candidates that a set proposes in a group grow by this factor from round to round, until none is held back.
 ROUND_GROWTH = 8
 # Sets of a group that one task compares; larger groups are cut into blocks and compared by pairs of blocks.
 GROUP_SETS = 4_096
-# Rows of the groups that are dealt to one task.
-TASK_ROWS = 50_000
+# Bytes of sketches of the groups that are dealt to one task, and that are compared at once.
+TASK_BYTES = 6_400_000
+STEP_BYTES = 8_000_000
 # Characters of text for each part of the key space, and keys that a chunk of documents asks about at once.
 PART_CHARS = 16_000_000
 CHUNK_KEYS = 500_000
@@ -152,9 +154,15 @@ def block_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch_of(hashes: np.ndarray) -> bytes:
-    """The set's parity sketch in SKETCH_BITS bits."""
-    places = (hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    return np.packbits(np.bincount(places, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    """The set's parity sketch."""
+    bits = min(MOST_SKETCH_BITS, max(SKETCH_BITS, 1 << (len(hashes) - 1).bit_length()))
+    places = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def narrowed(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch folded to `size` bytes: the one the set has in fewer bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(len(sketch) // size, -1), axis=0)
 
 
 _SKETCHED = (
@@ -248,10 +256,16 @@ def _candidates(bands: Bands, limit: int):
     paired with itself.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["group", "node"])
+    def near(bits: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        most = (n[low] + n[high]) * (bands.den - bands.num) // (bands.den + bands.num)
+        step = max(1, STEP_BYTES // bits[:1].nbytes)
+        apart = [np.bitwise_count(bits[low[k : k + step]] ^ bits[high[k : k + step]]).sum(1) for k in range(0, len(low), step)]
+        return np.concatenate([*apart, np.zeros(0, int)]) <= most
+
+    def meet(rows: pd.DataFrame, size: int) -> pd.DataFrame:
+        """The pairs of groups whose sketches are compared in `size` bytes."""
         group, node, root, n, side = (rows[c].to_numpy() for c in ("group", "node", "root", "n", "side"))
-        bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+        bits = np.stack([narrowed(sketch, size) for sketch in rows["sketch"]])
         edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
         last = np.repeat(edge[1:], np.diff(edge))
         proposed, held, met = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool), np.zeros(len(rows), bool)
@@ -264,9 +278,8 @@ def _candidates(bands: Bands, limit: int):
             fits = (root[low] != root[high]) & (node[low] != node[high]) & (small * bands.den >= large * bands.num)
             fits &= (side[low] != side[high]) | (side[low] == 0)  # side 0: the block meets itself
             low, high = low[fits], high[fits]
-            apart = np.bitwise_count(bits[low] ^ bits[high]).sum(1)
-            near = apart <= (n[low] + n[high]) * (bands.den - bands.num) // (bands.den + bands.num)
-            low, high = low[near], high[near]
+            alike = near(bits, n, low, high)
+            low, high = low[alike], high[alike]
             met[low] = met[high] = True
             full = proposed[high] >= limit
             held[high[full]] = True
@@ -275,7 +288,12 @@ def _candidates(bands: Bands, limit: int):
             found.append((node[high], node[low]))
         found.append((node[met], node[met]))
         a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        return pd.DataFrame({"a": a, "b": b, "more": np.isin(a, node[held])}).drop_duplicates()
+        return pd.DataFrame({"a": a, "b": b, "more": np.isin(a, node[held])})
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["group", "node"])
+        sizes = rows["sketch"].map(len).groupby(rows["group"]).transform("min")  # sets of a group differ little in size
+        return pd.concat([meet(some, int(size)) for size, some in rows.groupby(sizes)]).drop_duplicates()
 
     return run
 
@@ -365,14 +383,20 @@ def similarity_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int =
 
 
 def _links(docs: DataFrame, blocks: DataFrame, classes: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """Verified links that connect all sets that are connected by any links."""
+    """Verified links that connect all sets that are connected by any links.
+
+    In a round a set has its texts compared with at most `limit` others, so that the first round, after which
+    groups of near copies are mostly one component, compares no more pairs than there are sets.  No pair is compared twice.
+    """
     schema = "a long, b long, more boolean"
     texts = links = None
+    compared: list[DataFrame] = []
     limit = 1
     roots = blocks.withColumn("root", F.col("node"))
     while True:
         dealt = stage(_dealt(roots, classes), "groups")
-        tasks = max(1, -(-dealt.count() // TASK_ROWS))
+        held = dealt.agg(F.sum(F.octet_length("sketch"))).first()[0] or 0
+        tasks = max(1, -(-held // TASK_BYTES))
         tasked = dealt.groupBy(F.pmod("group", F.lit(tasks)).alias("task"))
         pairs = stage(tasked.applyInPandas(_candidates(bands, limit), schema), "candidates")
         discard(dealt)
@@ -380,14 +404,22 @@ def _links(docs: DataFrame, blocks: DataFrame, classes: DataFrame, words: int, b
             nodes = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
             needed = nodes.join(classes.select("node", F.col("lead.uid").alias("uid")), "node")
             texts = stage(needed.join(docs.select("uid", "text"), "uid").select("node", "text"), "group-texts")
-        chosen = pairs.where("a <> b").select("a", "b").distinct()
+        fresh = pairs.where("a <> b").select("a", "b").distinct()
+        if compared:
+            tried = reduce(DataFrame.unionByName, [c.where(F.col("place") <= F.col("most")) for c in compared])
+            fresh = fresh.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+        ranked = stage(fresh.withColumns({"place": place, "most": F.lit(limit)}), "fresh")
+        chosen = ranked.where(F.col("place") <= limit).select("a", "b")
+        compared.append(ranked)
         left = chosen.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         found = stage(similar(both.select("a", "b", "text_a", "text_b"), words, bands), "similar")
         links = found if links is None else links.unionByName(found)
-        done = pairs.where("more").isEmpty()
+        done = pairs.where("more").isEmpty() and ranked.where(F.col("place") > limit).isEmpty()
         discard(pairs)
         if done:
+            discard(texts, *compared)
             return links
         known = components(links)
         roots = blocks.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from leadbook.llm.components import components
 from leadbook.llm.fingerprints import as_text, combine, edited_fingerprints, paragraph_vectors
-from leadbook.llm.jaccard import Bands, block_keys, shingles, similarity_groups
+from leadbook.llm import jaccard
+from leadbook.llm.jaccard import Bands, block_keys, narrowed, shingles, similarity_groups, sketch_of
 from leadbook.llm.lines import aligned, dedup_lines, doomed_lines
 from leadbook.llm.successors import range_of, range_starts
 from tests.llm.conftest import SCHEMA, prose, rows_of
@@ -158,6 +159,30 @@ def test_similar_sets_share_a_key():
                     assert np.intersect1d(block_keys(full, bands), block_keys(other, bands)).size
 
 
+def test_a_narrowed_sketch_is_that_of_fewer_bits(monkeypatch):
+    hashes = np.unique(np.random.default_rng(1).integers(0, 2**63, 5_000, dtype=np.uint64))
+    wide = sketch_of(hashes)
+    assert len(wide) == 8_192 // 8 and len(sketch_of(hashes[:1])) == len(sketch_of(hashes[:1024])) == 128
+    monkeypatch.setattr(jaccard, "MOST_SKETCH_BITS", 2_048)
+    assert narrowed(wide, 256).tobytes() == sketch_of(hashes)
+    assert narrowed(wide, len(wide)).tobytes() == wide
+
+
+def test_sketches_hold_long_texts_apart(spark, monkeypatch):
+    """Long texts that share a passage are no candidates; those that are alike are, from sketches of two widths."""
+    compared = []
+    similar = jaccard.similar
+    monkeypatch.setattr(jaccard, "similar", lambda pairs, *rest: (compared.append(pairs.count()), similar(pairs, *rest))[1])
+    rng = random.Random(4)
+    shared = prose(rng, 300)
+    texts = [f"{shared} {' '.join(str(rng.random()) for _ in range(3_000))}" for _ in range(40)]
+    near = [str(rng.random()) for _ in range(1_100)]
+    texts += [" ".join(near), " ".join(near[:1_000])]
+    got = {r.doc_id: r.lead_id for r in similarity_groups(numbered(spark.createDataFrame(rows_of(texts), SCHEMA)), 5, 8, 10).collect()}
+    assert got == {**{k: k for k in range(40)}, 40: 40, 41: 40}
+    assert sum(compared) == 1
+
+
 def test_shingles_of_short_texts():
     assert len(shingles("", 3)) == len(shingles(" \n", 3)) == len(shingles(None, 3)) == 0
     assert len(shingles("a b", 3)) == len(shingles("a b c", 3)) == 1
@@ -187,6 +212,15 @@ def test_patience_alignment():
     assert doomed_lines([(0, 4, 1, 0), (1, 4, 1, 1), (2, 4, 1, 2), (7, 4, 1, 3)], 10) == [0, 1, 2]
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, 1, text, 5, 6, 7, 8), (2, 2, text + "\nend", 5, 6, 7, 9)]
+    docs = spark.createDataFrame(rows, ["uid", "doc_id", "text", "__uid", "doomed", "a.b`c", "n_deleted"])
+    got = dedup_lines(docs)
+    assert got.columns == ["uid", "doc_id", "text", "__uid", "doomed", "a.b`c", "n_deleted"]
+    assert [tuple(r) for r in got.orderBy("uid").collect()] == [(1, 1, text, 5, 6, 7, 0), (2, 2, "end", 5, 6, 7, 1)]
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(6)
     passages = [[prose(rng, 12) for _ in range(rng.randint(1, 5))] for _ in range(8)]
