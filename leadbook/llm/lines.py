@@ -195,7 +195,7 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` with text shortened by the runs of lines that an earlier document has, and `n_deleted`.
 
     `docs` needs uid (unique, the same on every evaluation), doc_id and text; its other
-    columns are kept as they are.  Earlier is the smaller doc_id, then the smaller uid; null doc_ids come
+    columns, whatever their names, are kept as they are; one called n_deleted is replaced.  Earlier is the smaller doc_id, then the smaller uid; null doc_ids come
     last.  Lines compare without surrounding blanks; blank lines neither match nor break
     a run.  The first document of a line always keeps it.  A null text stays null, an empty
     one empty; a text may lose all its lines.  An empty table gives no rows.
@@ -205,9 +205,10 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     def cut(texts, doomed):
         return texts.combine(doomed, lambda t, d: t if d is None else without_lines(t, list(d)))
 
-    joined = docs.withColumnRenamed("uid", "__uid").join(
-        line_deletions(docs, block_words).select(F.col("uid").alias("__uid"), F.col("doomed").alias("__doomed")), "__uid", "left"
-    )
-    shortened = joined.withColumn("text", F.when(F.col("__doomed").isNull(), F.col("text")).otherwise(cut("text", "__doomed")))
-    count = F.coalesce(F.size("__doomed"), F.lit(0)).cast("long")
-    return shortened.select(F.col("__uid").alias("uid"), *(c for c in docs.columns if c != "uid"), count.alias("n_deleted"))
+    kept = [c for c in docs.columns if c not in ("text", "n_deleted")]
+    row = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in kept)).alias("row")  # whatever its columns are called
+    rows = docs.select(F.col("uid").alias("key"), F.col("text").alias("body"), row)
+    joined = rows.join(line_deletions(docs, block_words).withColumnRenamed("uid", "key"), "key", "left")
+    shortened = F.when(F.col("doomed").isNull(), F.col("body")).otherwise(cut("body", "doomed"))
+    columns = (shortened.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_deleted")
+    return joined.select(*columns, F.coalesce(F.size("doomed"), F.lit(0)).cast("long").alias("n_deleted"))
