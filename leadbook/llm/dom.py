@@ -19,7 +19,7 @@ NESTED = set("template svg".split())  # they hold their own kind; the others end
 ENDLESS = set("script style".split())  # without a closing tag they last to the end of the page
 TITLE = set("title textarea".split())  # their content holds no elements
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 ) | MATH  # a formula is part of the text around it
 CLOSED_BY = {  # an open element of the first kind ends where one of the others starts
@@ -32,37 +32,108 @@ CLOSED_BY = {  # an open element of the first kind ends where one of the others
 }
 HOLDS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S
-)
+CLOSERS = set().union(*CLOSED_BY.values())
+ONCE = {"html", "head", "body"}  # a second one inside the first is passed over
+
+# A comment, a declaration or what else is no tag; the start of a tag; text.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/[^a-zA-Z>])[^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*)|(?:[^<]+|<(?![a-zA-Z/!?]))+|<", re.S)
 _NESTED = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>svg|template)(?=[\s/>])(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>script|style)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>svg|template)(?=[\s/>])", re.S | re.I
 )
-_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'][^\s]*/\Z")
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_GAP = re.compile(r"[\s/]*")
+_NAME = re.compile(r"([^\s/>][^\s/>=]*)(\s*=\s*)?")
+_UNQUOTED = re.compile(r"[^\s>]*")
 KEPT = {"class", "id", "role", "hidden", "style", "aria-hidden", "data-main"}
 
 
-def _nested_ends(text: str, at: int) -> dict[int, tuple[int, int]]:
+class _Tags:
+    """Reads the rest of a tag as HTML does: a quote opens only behind an equals sign, any other is part of a name or value."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.last = {quote: text.rfind(quote) for quote in "\"'"}  # a quote that nothing closes is not searched for again
+
+    def rest(self, at: int) -> tuple[int, dict[str, str], bool]:
+        """Behind a tag's name: the place behind its `>`, the attributes that are kept, and whether a slash ends it."""
+        text, kept = self.text, {}
+        if text.startswith(">", at):
+            return at + 1, kept, False
+        while True:
+            at = _GAP.match(text, at).end()
+            if at == len(text):
+                return at, kept, False
+            if text[at] == ">":
+                return at + 1, kept, text[at - 1] == "/"
+            name = _NAME.match(text, at)
+            at, value = name.end(), ""
+            if name[2]:
+                quote = text[at : at + 1]
+                if at < self.last.get(quote, -1):
+                    end = text.index(quote, at + 1)
+                    value, at = text[at + 1 : end], end + 1
+                else:
+                    found = _UNQUOTED.match(text, at)
+                    value, at = found.group(), found.end()
+            if (key := name[1].lower()) in KEPT:
+                kept.setdefault(key, unescape(value))
+
+
+class _Open:
+    """The open elements, with the node that owns the text of each; where each tag stands is known without a search."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.places: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]  # places of elements that are not inline
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def ended_by(self, tag: str) -> int:
+        """The place of the element that an opening tag ends, 0 if none.
+
+        At most one element of each kind in CLOSED_BY is open above the first other one, so few are looked at.
+        """
+        for k in reversed(self.blocks if tag in CLOSERS else ()):
+            name = self.stack[k][0]
+            if tag in CLOSED_BY.get(name, ()):
+                return k
+            if name in HOLDS.get(tag, ()) or name not in CLOSED_BY:
+                break
+        return 0
+
+    def closed_by(self, tag: str) -> int:
+        """The place of the element that a closing tag ends, 0 if none; an inline one ends no block."""
+        depth = (self.places.get(tag) or [0])[-1]
+        return depth if tag not in INLINE or self.blocks[-1] <= depth else 0
+
+
+def _nested_ends(text: str, at: int, tags: _Tags) -> dict[int, tuple[int, int]]:
     """Of nested raw elements from `at` on that are closed: end of the opening tag -> start and end of the closing one."""
     ends, opened = {}, {tag: [] for tag in NESTED}
-    for m in _NESTED.finditer(text, at):
+    while m := _NESTED.search(text, at):
+        at = m.end()
         if m["tag"]:
             tag = m["tag"].lower()
+            at, _, self_closed = tags.rest(at)
             if not m["close"]:
-                if not (tag in FOREIGN and _self_closed(m["rest"])):
-                    opened[tag].append(m.end())
+                if not (tag in FOREIGN and self_closed):
+                    opened[tag].append(at)
             elif opened[tag]:
-                ends[opened[tag].pop()] = m.span()
+                ends[opened[tag].pop()] = (m.start(), at)
     return ends
 
 
-def _self_closed(rest: str) -> bool:
-    """Whether a tag ends in a slash that is no part of an unquoted value."""
-    return rest.endswith("/") and not _UNQUOTED_SLASH.search(rest)
-
-
 @cache
 def _closing(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I)
@@ -94,55 +165,43 @@ def parse(html: str | None) -> Page:
     A block number changes wherever a block-level element starts or ends.
     """
     nodes, pieces, block = [Node("html", -1)], [], 0
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node that owns their text
-    links, at, text = 0, 0, html or ""
+    opened, at, text = _Open(), 0, html or ""
+    tags = _Tags(text)
     open_ended: set[str] = set()  # raw elements that nothing closes from here on
     nested: dict[int, tuple[int, int]] | None = None
     while at < len(text):
         m = _TOKEN.match(text, at)
         at = m.end()
-        closing, tag, rest = m.group(1, 2, 3)
+        closing, tag = m.group(1, 2)
         if tag is None:
             if m.group().startswith("<") and len(m.group()) > 1:
                 continue  # a comment or declaration
             own = unescape(m.group())
-            node = stack[-1][1]
+            node = opened.stack[-1][1]
             n = len(own.split())
             if n:
                 nodes[node].words += n
-                nodes[node].link_words += n if links else 0
+                nodes[node].link_words += n if opened.places.get("a") else 0
                 nodes[node].sentences += own.count(". ") + own.rstrip().endswith((".", "!", "?", "…"))
             pieces.append((node, block, own))
             continue
         tag = tag.lower()
+        at, attributes, self_closed = tags.rest(at)
         if closing:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if depth and (tag not in INLINE or all(t in INLINE for t, _ in stack[depth + 1 :])):
-                links -= sum(t == "a" for t, _ in stack[depth:])
-                del stack[depth:]
+            if depth := opened.closed_by(tag):
+                opened.cut(depth)
                 block += tag not in INLINE
             continue
         if tag == "br":
-            pieces.append((stack[-1][1], block, " "))
+            pieces.append((opened.stack[-1][1], block, " "))
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            name = stack[k][0]
-            if tag in CLOSED_BY.get(name, ()):
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                break
-            if name in HOLDS.get(tag, ()) or name not in INLINE and name not in CLOSED_BY:
-                break
-        attributes = {}
-        if rest and rest != "/":
-            for key, value in _ATTRIBUTE.findall(rest):
-                if (key := key.lower()) in KEPT:
-                    attributes[key] = unescape(value.strip("\"'"))
-        if tag in FOREIGN and _self_closed(rest):
+        if depth := opened.ended_by(tag):
+            opened.cut(depth)
+        if tag in FOREIGN and self_closed:
             continue
         if tag in RAW or tag in TITLE:
             if tag in NESTED:
-                nested = _nested_ends(text, m.start()) if nested is None else nested
+                nested = _nested_ends(text, m.start(), tags) if nested is None else nested
                 end = nested.get(at)
             else:
                 found = None if tag in open_ended else _closing(tag).search(text, at)
@@ -155,22 +214,23 @@ def parse(html: str | None) -> Page:
             at = end[1] if end else len(text)
             block += 1
             if tag in TITLE and inner.strip():
-                nodes.append(Node(tag, stack[-1][1], attributes, words=len(inner.split())))
-                nodes[stack[-1][1]].children.append(len(nodes) - 1)
+                nodes.append(Node(tag, opened.stack[-1][1], attributes, words=len(inner.split())))
+                nodes[nodes[-1].parent].children.append(len(nodes) - 1)
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in ONCE and opened.places.get(tag):
+            if tag == "html":
+                nodes[0].attributes = attributes | nodes[0].attributes
             continue
         inline = tag in INLINE
         block += not inline
         if tag in VOID:
             continue
-        links += tag == "a"
-        node = stack[-1][1]
+        node = opened.stack[-1][1]
         if not inline or attributes:
             nodes.append(Node(tag, node, attributes))
             nodes[node].children.append(len(nodes) - 1)
             node = len(nodes) - 1
-        stack.append((tag, node))
+        opened.push(tag, node)
     return Page(nodes, pieces)
 
 

@@ -27,7 +27,7 @@ SHRINK = 0.001
 NAMES = {
     "good": "article content post entry story main body text prose",
     "nav": "nav navigation navbar menu breadcrumb breadcrumbs pagination pager toc skip",
-    "side": "sidebar aside widget related recommended promoted more popular trending",
+    "side": "sidebar aside widget related recommended promoted popular trending",
     "foot": "footer foot copyright legal colophon",
     "head": "header masthead topbar logo",
     "ad": "ad ads advert advertisement advertising sponsor sponsored promo banner",
@@ -76,6 +76,8 @@ def features(page: Page) -> list[tuple[str, ...]]:
             found.append("links" if 2 * links[i] > words[i] else "prose")
         if n.sentences:
             found.append("sentence")
+        if n.words and 2 * n.words > words[0]:
+            found.append("most")
         if i:
             above = nodes[n.parent]
             found += [f"in:{k}" for k in _named(above.attributes) if k != "good"]

@@ -59,4 +59,30 @@ PAGES = (
     # only boilerplate
     f"<html>{_HEAD}<body>{_NAV}{_ASIDE}{_FORM}{_COOKIE}{_FOOT}</body></html>",
     f'<html>{_HEAD}<body><header class="site-header"><div><p>{_MID}</p></div></header><div role="main" data-main="1"><div><h1>Market day</h1><div><p>{_LONG}</p></div><div><p>{_SHORT}</p><p>{_MID}</p></div></div></div><aside><p>{_LONG}</p></aside><div class="comment-list"><ul><li><p>{_LONG}</p></li></ul></div><div hidden=""><p>{_MID}</p></div>{_FOOT}</body></html>',
+    # pages that are little more than their article
+    f'<article data-main="1"><p>{_SHORT}</p></article>',
+    f'<html>{_HEAD}<body><article data-main="1"><p>{_MID}</p></article></body></html>',
+    f'<p data-main="1">{_LONG}</p>',
+    f'<p data-main="1">{_SHORT}</p>',
+    f'<html data-main="1">{_LONG}</html>',
+    f'<html data-main="1">{_SHORT}</html>',
+    '<html data-main="1">a line of words without a full stop</html>',
+    f'<html>{_HEAD}<body data-main="1">{_LONG}</body></html>',
+    f'<div data-main="1"><h1>Rain</h1><p>{_SHORT}</p></div>',
+    # paragraphs that are mostly links, and lists of sources, inside an article
+    f'<html>{_HEAD}<body>{_NAV}<article data-main="1"><h1>Sources</h1><p><a href="/1">The report of the harbour office</a> says so.</p><p>{_LONG}</p><p>See <a href="/2">the second report on the bridge</a>.</p></article>{_FOOT}</body></html>',
+    f'<html>{_HEAD}<body>{_NAV}<article data-main="1"><p><a href="/1">The whole council</a> met.</p><p>{_LONG}</p><p><a href="/2">The minutes of the last meeting</a></p><ul><li><a href="/3">A map of the old road</a></li></ul></article>{_ASIDE}{_FOOT}</body></html>',
+    f'<article data-main="1"><p><a href="/1">Rain in the north</a></p><p>{_LONG}</p><p><a href="/2">Sun in the south</a></p></article>',
+    # text inside named parts of an article
+    f'<html>{_HEAD}<body>{_NAV}<article data-main="1"><div class="more"><p>{_LONG}</p></div></article>{_FOOT}</body></html>',
+    f'<html>{_HEAD}<body>{_NAV}<article data-main="1"><h1>Ferry</h1><div class="lead">{_MID}</div><div class="more">{_LONG}</div><div class="share" data-main="0"><a href="#">Share</a></div></article>{_COMMENTS}{_FOOT}</body></html>',
+    # older markup: tables, font and centre
+    f'<html>{_HEAD}<body><table><tr><td class="menu"><a href="/">Home</a><br><a href="/a">About</a></td><td data-main="1"><h2>Annual fair</h2><font>{_LONG}</font><p>{_MID}</td></tr></table><center class="footer">&copy; 1998</center></body></html>',
+    f'<html>{_HEAD}<body><div id="nav"><a href="/">Home</a> | <a href="/a">About</a></div><center><h1 data-main="1">Old mill</h1></center><p data-main="1">{_LONG}<p data-main="1">{_MID}<div id="copyright">&copy; 1999</div></body></html>',
+    # definition lists, code, quotes
+    f'<html>{_HEAD}<body>{_NAV}<main data-main="1"><h1>Terms</h1><dl><dt>Ebb</dt><dd>{_MID}</dd><dt>Flow</dt><dd>{_SHORT}</dd></dl><pre>x = 1</pre><blockquote>{_MID}</blockquote></main>{_FORM}{_FOOT}</body></html>',
+    f'<html>{_HEAD}<body>{_COOKIE}<div class="site"><div class="topbar"><a href="/">Home</a></div><section class="story-body" data-main="1"><h1>Salt</h1><p>{_MID}</p><p>{_MID}</p></section><section class="recommended"><h2>More</h2><ul><li><a href="/1">Pepper from afar</a></li></ul></section></div>{_FOOT}</body></html>',
+    f"<html>{_HEAD}<body>{_NAV}{_FOOT}</body></html>",
+    f"{_NAV}{_COOKIE}{_AD}",
+    f"{_COMMENTS}",
 )

@@ -6,6 +6,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -336,3 +337,46 @@ def test_every_drawn_text_gives_its_share(spark):
     own = {w for w in texts["en"].split() if len(w) == 6 and w.startswith("word")}
     assert len(own) > 50 and 50_000 < len(texts["en"]) <= LANGUAGE_CHARS
     assert all(len(texts[f"l{k}"]) > 9_000 for k in range(40))
+
+
+@pytest.mark.parametrize(
+    ("html", "shown"),
+    [
+        ('<article><p>Rain <img alt="foo"">stopped play.</p></article>', "Rain stopped play."),
+        ("<article><p title=don't>Rain stopped play.</p></article>", "Rain stopped play."),
+        ('<article><p class="x>Rain stopped play.</p></article>', "Rain stopped play."),
+        ('<article><p title="a > b" class=x>Rain stopped play.</p></article>', "Rain stopped play."),
+        ("<article><p data-a=x\"y'z>Rain stopped play.</p></ x></></article>", "Rain stopped play."),
+        ("<article><!--><p>Rain < stopped play.</p></article>", "Rain < stopped play."),
+    ],
+)
+def test_no_markup_in_the_text(model, html, shown):
+    assert model.extract(html) == shown
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<article><p>{}</p></article>", "<p>{}</p>", "{}", "<body><nav><a href=/>Home</a></nav><article><div class=more>{}</div></article></body>"],
+)
+def test_short_articles_are_kept(model, html):
+    for text in ("Rain stopped play.", "The boats stayed in the harbour all day, and nobody knew why. It rained."):
+        assert model.extract(html.format(text)) == text
+
+
+def test_link_rich_paragraphs_are_kept(model):
+    long = "The council met on Monday, and the road was closed. " * 6
+    html = f"<article><p><a href=x>The first report of the council</a></p><p>{long}</p><p><a href=y>The second report</a></p></article>"
+    assert model.extract(html) == f"The first report of the council\n\n{long.strip()}\n\nThe second report"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a b='" * 160_000, '<a b="' * 160_000 + "<p>x", "<b>" * 60_000 + "<p>x</p>" * 60_000, "<head>" * 160_000 + "x", '<svg "' * 160_000, "<" * 1_000_000],
+)
+def test_hostile_pages_are_read_in_linear_time(page):
+    small, large = page[: len(page) // 8], page
+    began = time.perf_counter()
+    parse(small)
+    middle = time.perf_counter()
+    parse(large)
+    assert time.perf_counter() - middle < 24 * (middle - began) + 1
