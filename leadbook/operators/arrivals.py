@@ -37,10 +37,11 @@ def with_stamp(df: DataFrame) -> DataFrame:
     return df.withColumn("stamp", value)
 
 
-def arrival_counts(stamped: DataFrame) -> DataFrame:
-    """Leads per month, weekday, hour and kind of stamp: one small table for all views."""
+def arrival_counts(stamped: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Leads per month, weekday, hour and kind of stamp, and per `keys`: one small table for all views."""
     stamp = F.col("stamp")
     return stamped.groupBy(
+        *keys,
         F.date_format(stamp, "yyyy-MM").alias("month"),
         F.weekday(stamp).alias("weekday"),
         F.hour(stamp).alias("hour"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadbook.functions.counting import leads
 from leadbook.functions.text import clean
 
 MAX_CHART_COLUMNS = 8
@@ -17,14 +18,20 @@ MAX_CHART_ROWS = 11
 THIN_COVERAGE = 0.25
 
 
-def crosstab_cells(df: DataFrame, sections: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """(section, row_label, col_label, n), including the rows missing a label."""
+def crosstab_cells(
+    df: DataFrame, sections: dict[str, tuple[Column, Column]], counted: str | None = None
+) -> DataFrame:
+    """(section, row_label, col_label, n), including the rows missing a label.
+
+    `counted` names a column of counts, where a row stands for several leads.
+    """
     pairs = [
         F.struct(F.lit(s).alias("section"), clean(r).alias("row_label"), clean(c).alias("col_label"))
         for s, (r, c) in sections.items()
     ]
-    long = df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*")
-    return long.groupBy("section", "row_label", "col_label").agg(F.count(F.lit(1)).alias("n"))
+    weight = [counted] if counted else []
+    long = df.select(*weight, F.explode(F.array(*pairs)).alias("pair")).select(*weight, "pair.*")
+    return long.groupBy("section", "row_label", "col_label").agg(leads(counted=counted).alias("n"))
 
 
 def coverage(cells: DataFrame) -> DataFrame:

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadbook.functions.counting import leads
 from leadbook.functions.text import clean
 
 MAX_SLICES = 8  # chart slots; beyond them the tail is folded into `Other`
 
 
-def field_counts(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+def field_counts(df: DataFrame, fields: dict[str, Column], counted: str | None = None) -> DataFrame:
     """(field, value, count) of the cleaned values, nulls left out.
 
     Every row feeds one aggregate whatever the number of fields, and repeated
     values are combined before the shuffle, so a value held by a third of the
-    rows moves as one row per task.
+    rows moves as one row per task.  `counted` names a column of counts, where a row
+    stands for several leads.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), clean(c).alias("value")) for f, c in fields.items()]))
-    long = df.select(cells.alias("cell")).select("cell.field", "cell.value").filter(F.col("value").isNotNull())
-    return long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("count"))
+    weight = [counted] if counted else []
+    long = df.select(*weight, cells.alias("cell")).select(*weight, "cell.field", "cell.value")
+    return long.filter(F.col("value").isNotNull()).groupBy("field", "value").agg(leads(counted=counted).alias("count"))
 
 
 def _field_totals(counts: DataFrame) -> DataFrame:

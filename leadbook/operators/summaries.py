@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadbook import schema as S
+from leadbook.functions.counting import leads as lead_count
 from leadbook.functions.flags import QUALITY_FIELDS, hwc_flag, quality_flag
 from leadbook.functions.money import band_position, crore
 from leadbook.functions.text import clean, present, trimmed
@@ -64,12 +65,11 @@ def quality_rate(df: DataFrame) -> DataFrame:
     return df.agg(F.round(F.avg(is_quality(df).cast("int")), 4).alias("quality_rate"))
 
 
-def report_meta(df: DataFrame) -> DataFrame:
-    """One row: leads and quality rate."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_leads"),
-        F.round(F.avg(is_quality(df).cast("int")), 4).alias("quality_rate"),
-    )
+def report_meta(df: DataFrame, counted: str | None = None) -> DataFrame:
+    """One row: leads and quality rate, null without leads."""
+    sums = df.agg(lead_count(None, counted).alias("total_leads"), lead_count(is_quality(df), counted).alias("good"))
+    rate = F.when(F.col("total_leads") > 0, F.round(F.col("good") / F.col("total_leads"), 4))
+    return sums.select("total_leads", rate.alias("quality_rate"))
 
 
 def report_scope(df: DataFrame) -> DataFrame:
@@ -81,29 +81,29 @@ def report_scope(df: DataFrame) -> DataFrame:
     return long.distinct().orderBy("kind", "value")
 
 
-def core_summary(df: DataFrame) -> DataFrame:
+def core_summary(df: DataFrame, counted: str | None = None) -> DataFrame:
     """One row: total, priority leads and their share."""
-    counted = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(is_hwc(df)).alias("hwc"))
-    return counted.withColumn("hwc_share", _share(F.col("hwc"), F.col("total")))
+    sums = df.agg(lead_count(None, counted).alias("total"), lead_count(is_hwc(df), counted).alias("hwc"))
+    return sums.withColumn("hwc_share", _share(F.col("hwc"), F.col("total")))
 
 
-def hwc_split(df: DataFrame) -> DataFrame:
+def hwc_split(df: DataFrame, counted: str | None = None) -> DataFrame:
     """The two slices, priority leads and the rest."""
     slices = F.array(
         F.struct(F.lit(HWC_LABELS[0]).alias("label"), F.col("hwc").alias("count")),
         F.struct(F.lit(HWC_LABELS[1]).alias("label"), (F.col("total") - F.col("hwc")).alias("count")),
     )
-    return core_summary(df).select(F.explode(slices).alias("s")).select("s.*")
+    return core_summary(df, counted).select(F.explode(slices).alias("s")).select("s.*")
 
 
-def budget_counts(df: DataFrame) -> DataFrame:
+def budget_counts(df: DataFrame, counted: str | None = None) -> DataFrame:
     """Leads per (budget, band, quality): at most a million rows at any data size.
 
     Budgets have two decimals and an upper bound, so everything the budget
     section shows comes exactly from this table instead of from the leads.
     """
     return df.groupBy("budget_value", "budget_bucket", is_quality(df).alias("quality")).agg(
-        F.count(F.lit(1)).alias("n")
+        lead_count(None, counted).alias("n")
     )
 
 
@@ -146,7 +146,12 @@ def budget_bands(counts: DataFrame) -> DataFrame:
 def data_quality(df: DataFrame) -> DataFrame:
     """Filled, missing and fill rate of each tracked field, from one wide row."""
     fields = [f for f in TRACKED_FIELDS if f in df.columns]
-    wide = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(clean(F.col(f))).alias(f) for f in fields])
+    return fill_rates(df.agg(F.count(F.lit(1)).alias("total"), *[F.count(clean(F.col(f))).alias(f) for f in fields]))
+
+
+def fill_rates(wide: DataFrame) -> DataFrame:
+    """The same from one row: the total and the filled leads of each field."""
+    fields = [c for c in wide.columns if c != "total"]
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("filled")) for f in fields])
     long = wide.select("total", F.explode(rows).alias("r")).select("total", "r.*")
     return long.select(
@@ -190,7 +195,9 @@ def remark_sample(df: DataFrame, limit: int = REMARK_SAMPLE, order_col: str = S.
     return noted.select(order_col, F.substring(remark, 1, REMARK_CHARS).alias("remark"))
 
 
-def headline(df: DataFrame, budgets: DataFrame, configurations: DataFrame) -> DataFrame:
+def headline(
+    df: DataFrame, budgets: DataFrame, configurations: DataFrame, counted: str | None = None
+) -> DataFrame:
     """The headline tiles, one row each.
 
     `budgets` is `budget_counts`, `configurations` the top of the configuration
@@ -199,7 +206,7 @@ def headline(df: DataFrame, budgets: DataFrame, configurations: DataFrame) -> Da
     tile = lambda name, value, share: F.struct(
         F.lit(name).alias("tile"), value.cast("string").alias("value"), share.cast("double").alias("detail")
     )
-    core = core_summary(df).select(
+    core = core_summary(df, counted).select(
         F.explode(
             F.array(
                 tile("total_leads", F.col("total"), F.lit(None)),

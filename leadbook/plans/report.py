@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadbook import schema as S
 from leadbook.operators import arrivals, crosstabs, distributions, summaries
+from leadbook.operators.cube import Cube, N, build_cube
 from leadbook.operators.filters import Filters, slice_frame
 from leadbook.operators.labels import prepare_frame
-from leadbook.operators.rules import classification_summary, classify, unclassified_reasons
+from leadbook.operators.rules import classification_summary, classify, ranked_reasons
 from leadbook.operators.summaries import class_label, column_or_null, hwc_label
 from leadbook.runtime import stage
 
@@ -111,60 +113,94 @@ def captions(cells: DataFrame) -> DataFrame:
     return sections.select("section", F.try_element_at(table, F.col("section")).alias("caption"))
 
 
-def full_report(prepared: DataFrame, rules: list[dict] | None = None, staged: bool = True) -> dict[str, DataFrame]:
-    """All sections of a prepared frame, keyed by name.
+class Sections(Mapping):
+    """Sections by name, each planned when it is first asked for and kept."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers = makers
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def report_sections(cube: Cube, rows: DataFrame, staged: bool = True) -> Sections:
+    """All sections of the leads that `cube` counts; `rows` are the same leads.
 
-    The leads are read a handful of times, each time a few columns: once for all
-    distributions, once for all cross-tabs, once for budgets, once for arrivals,
-    and once each for the totals and the top-k lists.  Everything else is derived
-    from those small tables, which are stored so that no section recounts them.
+    Only the call list and the remarks read leads.  Everything else is summed from
+    the cube by way of four small tables, which are stored on first use so that no
+    section sums them again.
     """
-    frame = classify(prepared, rules) if rules else prepared
     keep = (lambda df, label: stage(df, label)) if staged else (lambda df, label: df)
-    frame = keep(summaries.with_flags(frame), "report_frame")
-    counts = keep(report_counts(frame), "report_counts")
-    cells = keep(report_cells(frame), "report_cells")
-    budgets = keep(summaries.budget_counts(frame), "report_budgets")
-    arrived = keep(arrivals.arrival_counts(arrivals.with_stamp(frame)), "report_arrivals")
-    core = summaries.core_summary(frame)
-    header = arrivals.arrival_header(arrived)
-    configurations = distributions.distribution(counts.filter(F.col("field") == "configuration"))
-    report = {
-        "meta": summaries.report_meta(frame),
-        "scope": summaries.report_scope(frame),
-        "data_quality": summaries.data_quality(frame),
+    counts = cache(lambda: keep(cube.counts(), "report_counts"))
+    cells = cache(lambda: keep(cube.cells(crosstab_sections), "report_cells"))
+    budgets = cache(lambda: keep(cube.budgets(), "report_budgets"))
+    arrived = cache(lambda: keep(cube.arrivals(), "report_arrivals"))
+    field = lambda name: counts().filter(F.col("field") == name)
+    core = lambda: summaries.core_summary(cube.totals, N)
+    header = lambda: arrivals.arrival_header(arrived())
+    configurations = lambda: distributions.distribution(field("configuration"))
+    makers = {
+        "meta": lambda: summaries.report_meta(cube.totals, N),
+        "scope": lambda: summaries.report_scope(cube.totals),
+        "data_quality": cube.fill,
         "core": core,
-        "hwc_split": summaries.hwc_split(frame),
-        "hwc_raw_values": distributions.distribution(counts.filter(F.col("field") == "hwc"), top=6),
-        "call_list": summaries.call_list(frame),
-        "budget": summaries.budget_summary(budgets),
-        "budget_bands": summaries.budget_bands(budgets),
-        "distributions": distributions.distribution(counts),
-        "slices": distributions.fold_slices(counts),
-        "crosstabs": crosstabs.crosstab(cells),
-        "coverage": crosstabs.coverage(cells),
-        "chart_matrices": crosstabs.fold_matrix(cells),
-        "captions": captions(cells),
+        "hwc_split": lambda: summaries.hwc_split(cube.totals, N),
+        "hwc_raw_values": lambda: distributions.distribution(field("hwc"), top=6),
+        "call_list": lambda: summaries.call_list(rows),
+        "budget": lambda: summaries.budget_summary(budgets()),
+        "budget_bands": lambda: summaries.budget_bands(budgets()),
+        "distributions": lambda: distributions.distribution(counts()),
+        "slices": lambda: distributions.fold_slices(counts()),
+        "crosstabs": lambda: crosstabs.crosstab(cells()),
+        "coverage": lambda: crosstabs.coverage(cells()),
+        "chart_matrices": lambda: crosstabs.fold_matrix(cells()),
+        "captions": lambda: captions(cells()),
         "arrivals": header,
-        "by_weekday": arrivals.by_weekday(arrived),
-        "by_month": arrivals.by_month(arrived),
-        "by_hour": arrivals.by_hour(arrived),
-        "weekday_by_hour": arrivals.weekday_by_hour(arrived),
-        "peaks": arrivals.peaks(arrived),
-        "headline": summaries.headline(frame, budgets, configurations),
-        "remarks": summaries.remark_sample(frame),
-        "availability": availability(counts, cells, budgets, header, core),
+        "by_weekday": lambda: arrivals.by_weekday(arrived()),
+        "by_month": lambda: arrivals.by_month(arrived()),
+        "by_hour": lambda: arrivals.by_hour(arrived()),
+        "weekday_by_hour": lambda: arrivals.weekday_by_hour(arrived()),
+        "peaks": lambda: arrivals.peaks(arrived()),
+        "headline": lambda: summaries.headline(cube.totals, budgets(), configurations(), N),
+        "remarks": lambda: summaries.remark_sample(rows),
+        "availability": lambda: availability(counts(), cells(), budgets(), header(), core()),
     }
-    if S.MERGED_COUNT in frame.columns:
-        report["merge_quality"] = summaries.merge_quality(frame)
-    if rules:
-        report["classification"] = classification_summary(frame)
-        report["unclassified_reasons"] = unclassified_reasons(frame)
-    return report
+    if cube.counts_merges:
+        makers["merge_quality"] = cube.merge_quality
+    if cube.classified:
+        makers["classification"] = lambda: classification_summary(cube.totals, N)
+        makers["unclassified_reasons"] = lambda: ranked_reasons(cube.reasons())
+    return Sections(makers)
+
+
+def report_cube(prepared: DataFrame, rules: list[dict] | None = None) -> Cube:
+    return build_cube(classify(prepared, rules) if rules else prepared)
+
+
+def full_report(prepared: DataFrame, rules: list[dict] | None = None, staged: bool = True) -> Sections:
+    """All sections of a prepared frame, keyed by name.
+
+    The leads are read five times at most, each time a few columns: once for each
+    table of the cube, once for the call list and once for the remarks.
+    """
+    cube = report_cube(prepared, rules)
+    return report_sections(cube.staged() if staged else cube, prepared, staged)
 
 
 class ReportBook:
-    """Reports over one prepared lead book: stored when unfiltered, re-sliced when not.
+    """Reports over one prepared lead book; every filter is summed from one stored cube.
 
     Labels are folded once, on the whole book, so a lead carries the same labels
     in every view.
@@ -172,16 +208,23 @@ class ReportBook:
 
     def __init__(self, leads: DataFrame, rules: list[dict] | None = None):
         self.prepared = stage(prepare_frame(leads), "prepared")
-        self.rules = rules or []
-        self._whole: dict[str, DataFrame] | None = None
+        self.with_rules(rules or [])
+
+    @property
+    def cube(self) -> Cube:
+        if self._cube is None:
+            self._cube = report_cube(self.prepared, self.rules).staged()
+        return self._cube
 
-    def report(self, filters: Filters = Filters()) -> dict[str, DataFrame]:
+    def report(self, filters: Filters = Filters()) -> Sections:
         if not filters.empty:
-            return full_report(slice_frame(self.prepared, filters, self.rules), self.rules)
+            return report_sections(self.cube.sliced(filters), slice_frame(self.prepared, filters, self.rules))
         if self._whole is None:
-            self._whole = full_report(self.prepared, self.rules)
+            self._whole = report_sections(self.cube, self.prepared)
         return self._whole
 
     def with_rules(self, rules: list[dict]) -> None:
-        """Use other rules; the prepared book is kept, only reports are redone."""
-        self.rules, self._whole = rules, None
+        """Use other rules; the prepared book is kept, only the cube and reports are redone."""
+        self.rules = rules
+        self._cube: Cube | None = None
+        self._whole: Sections | None = None

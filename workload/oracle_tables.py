@@ -269,6 +269,10 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# The select and the tables of every text that `oracle` gave.
+_WRITTEN: dict[str, tuple[str, list[str]]] = {}
+
+
 def _needed(name: str, order: list[str]) -> None:
     for dependency in TABLES[name][0]:
         _needed(dependency, order)
@@ -282,4 +286,21 @@ def oracle(select: str, *names: str) -> str:
     for name in names:
         _needed(name, order)
     parts = ",\n".join(f"{name} AS ({TABLES[name][1]})" for name in order)
-    return f"WITH {parts}\n{select}"
+    text = f"WITH {parts}\n{select}"
+    _WRITTEN[text] = (select, order)
+    return text
+
+
+def shared(sql: str, where: dict[str, str], *texts: str) -> str:
+    """`sql` with the named `oracle` texts in it cut to their selects, over one set of tables.
+
+    Each table is worked out once; one named in `where` keeps only the rows that meet its condition.
+    """
+    order: list[str] = []
+    for text in texts:
+        select, names = _WRITTEN[text]
+        sql = sql.replace(text, select)
+        order += [name for name in names if name not in order]
+    kept = lambda name: f"SELECT * FROM ({TABLES[name][1]}) WHERE {where[name]}" if name in where else TABLES[name][1]
+    parts = ",\n".join(f"{name} AS MATERIALIZED ({kept(name)})" for name in order)
+    return f"WITH {parts}\n{sql}"

@@ -28,6 +28,7 @@ from workload.oracle_tables import (
     configuration_tokens,
     oracle,
     phone,
+    shared,
     stamp,
     status,
 )
@@ -733,18 +734,26 @@ def _section_sql(section: str, sources: tuple[str, ...], names: str, whole: str,
     return " UNION ALL ".join(parts)
 
 
-def _full_report_sql() -> str:
+def _full_report_sql(leave_out: tuple[str, ...] = ()) -> str:
     sections = {name: ((source,), *kinds) for name, (source, *kinds) in _SECTIONS.items()} | _TABLES
-    return " UNION ALL ".join(_section_sql(name, *spec) for name, spec in sections.items())
+    return " UNION ALL ".join(_section_sql(name, *spec) for name, spec in sections.items() if name not in leave_out)
 
 
-@query("A14 R9", _full_report_sql())
-def full_report(spark, sf_dir):
-    """The rows of the classified report's sections, each as one text."""
-    report = plan.full_report(prepared(spark, sf_dir), RULES)
+# Sections whose SQL reads the book before it is prepared, which a filter does not narrow.
+_UNFILTERED = ("scope", "merge_quality")
+
+
+def _filtered_sql(condition: str) -> str:
+    """The report's SQL with every section reading only the prepared leads that meet the condition."""
+    sources = [s for name, (s, *_) in _SECTIONS.items() if name not in _UNFILTERED]
+    sources += [s for both, *_ in _TABLES.values() for s in both]
+    return shared(_full_report_sql(_UNFILTERED), {"prepared": condition}, *[ORACLES[s] for s in sources])
+
+
+def _report_rows(report, wanted: set[str]) -> DataFrame:
     text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     number_of = lambda c, places: F.coalesce(F.col(c).cast(f"decimal(20,{places})").cast("string"), F.lit("-"))
-    sections = {name: kinds for name, (_, *kinds) in (_SECTIONS | _TABLES).items()}
+    sections = {name: kinds for name, (_, *kinds) in (_SECTIONS | _TABLES).items() if name in wanted}
     rows = [
         report[name].select(F.lit(name).alias("section"), F.concat_ws("|", *_row_text(*kinds, text_of, number_of)).alias("cells"))
         for name, kinds in sections.items()
@@ -752,6 +761,21 @@ def full_report(spark, sf_dir):
     return reduce(DataFrame.unionByName, rows)
 
 
+@query("A14 R9", _full_report_sql())
+def full_report(spark, sf_dir):
+    """The rows of the classified report's sections, each as one text."""
+    return _report_rows(plan.full_report(prepared(spark, sf_dir), RULES), set(_SECTIONS | _TABLES))
+
+
+@query("F4 A14 Q7", _filtered_sql("budget_value BETWEEN 80 AND 600 AND source_file = 'crm_a.csv'"))
+def filtered_sections(spark, sf_dir):
+    """All sections of a filtered report, summed from the cube of the whole book."""
+    wanted = Filters(budget_min=0.8, budget_max=6.0, source_file="crm_a.csv")
+    cube = plan.report_cube(prepared(spark, sf_dir), RULES).staged()
+    report = plan.report_sections(cube.sliced(wanted), apply_filters(prepared(spark, sf_dir), wanted))
+    return _report_rows(report, set(_SECTIONS | _TABLES) - set(_UNFILTERED))
+
+
 @query(
     "S8",
     oracle(
