@@ -50,30 +50,33 @@ def _as_text(line: Column, utf8: Column) -> Column:
     return repair_encoding(F.regexp_replace(text, "^\ufeff|\r$", ""))
 
 
-def _files(records: DataFrame) -> DataFrame:
-    """One staged row per file: whether it is UTF-8, its header, its rows, and where each split's rows are numbered from.
-
-    A file is read as UTF-8 only if all of its records are; the header is its first
-    record with anything on it.  Row numbers run over files, then splits: sums per split
-    first, then over a file's splits and over files, kept as one map from split to offset.
-    """
+def _blocks(records: DataFrame) -> DataFrame:
+    """One staged row per block of a file: its rows, what `_files` asks of it, and the offset of its row numbers in the file."""
     first = F.struct(BLOCK, PLACE, F.col(LINE).cast("binary").alias("line"))
-    splits = records.groupBy(PATH, BLOCK).agg(
+    counted = records.groupBy(PATH, BLOCK).agg(
         F.min(PLACE).alias("first"), F.count("*").alias("n"), F.bool_and(F.is_valid_utf8(LINE)).alias("utf8"), F.min(first).alias("opening")
     )
-    splits = stage(splits, "splits")
     in_file = Window.partitionBy(PATH).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    placed = splits.withColumn("before", F.coalesce(F.sum("n").over(in_file), F.lit(0)))
     # The header is the file's first record and takes no number.
-    offset = F.struct(F.col(BLOCK).alias("key"), (F.col("before") - F.col("first") - 1).alias("value"))
-    files = placed.groupBy(PATH).agg(
-        F.bool_and("utf8").alias("utf8"), F.min("opening").alias("opening"), (F.sum("n") - 1).alias("n"), F.map_from_entries(F.collect_list(offset)).alias("offsets")
+    offset = F.coalesce(F.sum("n").over(in_file), F.lit(0)) - F.col("first") - 1
+    return stage(stage(counted, "counted_blocks").withColumn("offset", offset), "blocks")
+
+
+def _files(records: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """One staged row per file: whether it is UTF-8, its header, its rows, and where they are numbered from.
+
+    A file is read as UTF-8 only if all of its records are; the header is its first
+    record with anything on it.  Row numbers run over files, then blocks.  The blocks stay
+    rows of their own: a file has as many as it has splits, or cuts of them.
+    """
+    files = (blocks or _blocks(records)).groupBy(PATH).agg(
+        F.bool_and("utf8").alias("utf8"), F.min("opening").alias("opening"), (F.sum("n") - 1).alias("n")
     )
     start = F.coalesce(F.sum("n").over(Window.orderBy(PATH).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     header = _as_text(F.col("opening.line").cast("string"), F.col("utf8"))
     at = F.struct(F.col(f"opening.{BLOCK}").alias("block"), F.col(f"opening.{PLACE}").alias("place"))
     named = repair_encoding(file_name(F.col(PATH)))
-    return stage(files.select(PATH, "utf8", header.alias("header"), at.alias("at"), "n", "offsets", start.alias("start"), named.alias("file")), "files")
+    return stage(files.select(PATH, "utf8", header.alias("header"), at.alias("at"), "n", start.alias("start"), named.alias("file")), "files")
 
 
 def _checked_mapping(mapping: dict[str, str], headers: list[str]) -> dict[str, str]:
@@ -126,15 +129,17 @@ def read_exports(
     `Unnamed: <place>`.  Rows are numbered over files and splits without a sort.
     """
     records = file_records(spark, paths, _anything)
-    files = _with_layouts(spark, _files(records), mappings or {})
+    blocks = _blocks(records)
+    files = _with_layouts(spark, _files(records, blocks), mappings or {})
     matches = files.select(F.col("file").alias(S.SOURCE_FILE), "matched_fields", "column_count")
-    return stage(_projected(records, files), "export_rows"), matches
+    return stage(_projected(records, files, blocks), "export_rows"), matches
 
 
-def _projected(records: DataFrame, files: DataFrame) -> DataFrame:
+def _projected(records: DataFrame, files: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Records in canonical columns, each by the layout of its file."""
-    read = records.join(files, PATH).where(F.struct(F.col(BLOCK), F.col(PLACE)) != F.struct("at.block", "at.place"))
-    order = F.col("start") + F.element_at("offsets", F.col(BLOCK)) + F.col(PLACE)
+    offsets = (blocks or _blocks(records)).select(PATH, BLOCK, "offset")
+    read = records.join(files, PATH).join(offsets, [PATH, BLOCK]).where(F.struct(F.col(BLOCK), F.col(PLACE)) != F.struct("at.block", "at.place"))
+    order = F.col("start") + F.col("offset") + F.col(PLACE)
     rows = read.select(
         "file", "places", "others", "width", order.alias(S.ROW_ORD), _lead_cells(_as_text(F.col(LINE), F.col("utf8"))).alias("cells")
     )

@@ -7,6 +7,8 @@ swaps it.  So windows over the lines of each split find the last settling line a
 splits of a file are composed in the same way, and each line then knows where it begins.
 
 Only files with a line break inside a cell go through this; in all others a line is a record.
+Their splits are cut again by number of lines, because lines are shuffled here: with whole
+splits as keys, a few tasks would hold hundreds of megabytes each and others nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from leadbook.runtime import stage
 
 PATH, BLOCK, PLACE, LINE = "__path", "__block", "__place", "__line"
 _SEEN = "__seen"
+# Lines of a file with line breaks are dealt in cuts of 2^12; lines and splits bound a cut's size.
+_CUT_BITS = 12
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+'  # up to the closing quote
 _CELLS = rf'(?:(?:{_QUOTED}"[^,]*+|[^",][^,]*+|),)*+'  # each with the comma behind it
 _OPENS = rf"^{_CELLS}{_QUOTED}$"
@@ -44,6 +48,11 @@ def _lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     )
 
 
+def _block(cut: Column) -> Column:
+    """A block of a file: a split, or a cut of one; blocks sort as their lines stand in the file."""
+    return F.struct(F.col(BLOCK).alias("start"), cut.cast("long").alias("cut")).alias(BLOCK)
+
+
 def _xor(a: Column, b: Column) -> Column:
     return (a + b) % 2
 
@@ -72,10 +81,10 @@ def _outcome(entry: Column, settled: str, swap: str) -> Column:
 def _joined_lines(lines: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
     """Kept records (path, block, place, line) of files whose cells hold line breaks.
 
-    A record stands in the split of its first line.  Where a quote is never closed, it is
+    A record stands in the block of its first line.  Where a quote is never closed, it is
     taken as it stands and the lines behind it are records of their own.  Lines are
-    shuffled by split, which bounds a group, and joined there; what belongs to a record of
-    an earlier split, some lines at a split's beginning, then moves to it.
+    shuffled by block, which bounds a group, and joined there; what belongs to a record of
+    an earlier block, some lines at a block's beginning, then moves to it.
     """
     flags = {"opens": F.col(LINE).rlike(_OPENS).cast("int"), "stays": F.col(LINE).rlike(_STAYS).cast("int")}
     told = _composed(lines.withColumns(flags), [PATH, BLOCK], _SEEN)
@@ -88,7 +97,7 @@ def _joined_lines(lines: DataFrame, keep: Callable[[Column], Column]) -> DataFra
         F.array_join(parts[LINE], "\n").alias(LINE), F.min(_SEEN).alias(_SEEN), F.max(F.struct(_SEEN, "set_to", "swap_to")).alias("end")
     )
     pieces = stage(pieces, "pieces")
-    # One row per split: what it does to an entry, and its last record's first line for either entry.
+    # One row per block: what it does to an entry, and its last record's first line for either entry.
     ends = pieces.groupBy(PATH, BLOCK).agg(F.max(F.struct("end", "owner_0", "owner_1")).alias("e")).select(PATH, BLOCK, "e.end.*", "e.owner_0", "e.owner_1")
     maps = {"opens": _outcome(F.lit(0), "set_to", "swap_to"), "stays": _outcome(F.lit(1), "set_to", "swap_to")}
     splits = _composed(ends.withColumns(maps).drop("set_to", "swap_to", _SEEN), [PATH], BLOCK)
@@ -117,14 +126,15 @@ def file_records(spark: SparkSession, paths: list[str] | str, keep: Callable[[Co
     """Staged (path, block, place, line) of the records of CSV files that `keep(line)` wants.
 
     A record's line is raw text in its file's encoding, with any line break inside it as
-    a newline.  `place` counts the kept records of a split on from any number.
+    a newline.  `place` counts the kept records of a block on from any number.
     """
     lines = _lines(spark, paths)
     broken = stage(lines.filter(F.col(LINE).rlike(_OPENS)).select(PATH).distinct(), "broken_files")
     # Places are given in the scan itself, and once: another scan may cut the files elsewhere.
-    kept = lines.filter(keep(F.col(LINE))).select(PATH, BLOCK, F.monotonically_increasing_id().alias(PLACE), LINE)
+    kept = lines.filter(keep(F.col(LINE))).select(PATH, _block(F.lit(0)), F.monotonically_increasing_id().alias(PLACE), LINE)
     records = stage(kept.join(broken, PATH, "left_anti"), "records")
     if broken.isEmpty():
         return records
-    joined = _joined_lines(lines.join(broken, PATH, "left_semi"), keep)
+    cut = lines.join(broken, PATH, "left_semi").select(PATH, _block(F.shiftright(_SEEN, _CUT_BITS)), _SEEN, LINE)
+    joined = _joined_lines(cut, keep)
     return records.unionByName(stage(joined, "joined_records"))

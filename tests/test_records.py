@@ -85,3 +85,17 @@ def test_the_plan_does_not_grow_with_the_layouts(spark, tmp_path):
     assert abs(plans[50] - plans[1]) < 0.01 * plans[1]
     rows = exports.read_exports(spark, str(many))[0].orderBy(S.ROW_ORD).collect()
     assert [(r["name"], r["extras"][f"Own {k}"]) for k, r in enumerate(rows)] == [(f"A{k}", f"v{k}") for k in range(50)]
+
+
+def test_lines_of_a_split_are_dealt_in_cuts(spark, tmp_path, monkeypatch):
+    """One split of 400 lines with breaks in cells: no task needs to hold it whole, and the row numbers run on."""
+    rows = [f'n{k},{k},"two\nlines {k}",x' for k in range(200)] + ['B,2,"' + "\n".join(f"l{k}" for k in range(100)) + '",z', 'C,3,"a\nb",w']
+    (tmp_path / "f.csv").write_text("\n".join(["Name,Phone,Email,Budget", *rows]) + "\n")
+    monkeypatch.setattr(records, "_CUT_BITS", 4)
+    held = records.file_records(spark, str(tmp_path), lambda line: F.lit(True))
+    sizes = [r["count"] for r in held.groupBy(records.PATH, records.BLOCK).count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 16
+    got = exports.read_exports(spark, str(tmp_path))[0].orderBy(S.ROW_ORD).collect()
+    assert [r[S.ROW_ORD] for r in got] == list(range(202))
+    assert [r["name"] for r in got] == [*(f"n{k}" for k in range(200)), "B", "C"]
+    assert got[5]["email"] == "two\nlines 5" and got[200]["email"].count("\n") == 99 and got[201]["email"] == "a\nb"
