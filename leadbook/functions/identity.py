@@ -19,18 +19,30 @@ _MOBILE_PART = r"(?:^|\|)0*(?:(?:91|1)0*)?([6-9][0-9]{9})(?=\||$)"
 TITLES = ("mr", "mrs", "ms", "dr", "shri", "smt", "miss")
 
 
+# A cell that is one mobile and nothing else, as nearly all are.
+_PLAIN_MOBILE = r"^\+?0*+(?:(?:91|1)0*+)?([6-9][0-9]{9})(?:\.0)?$"
+
+
 def normalize_phone(c: Column) -> Column:
     """The first valid ten-digit mobile in the cell, or null."""
+    return F.when(c.rlike(_PLAIN_MOBILE), F.regexp_extract(c, _PLAIN_MOBILE, 1)).otherwise(_searched_mobile(c))
+
+
+def _searched_mobile(c: Column) -> Column:
     text = F.regexp_replace(F.lower(trimmed(c)), r"\.0$", "")
     parts = F.translate(F.replace(text, F.lit(" or "), F.lit("|")), ",;/", "|||")
     digits = F.regexp_replace(parts, r"[^0-9|]+", "")
     return F.nullif(F.regexp_extract(digits, _MOBILE_PART, 1), F.lit(""))
 
 
-def phone_status(c: Column) -> Column:
-    """`missing` for a blank cell, `invalid` for one without a mobile, else `valid`."""
+def phone_status(c: Column, mobile: Column | None = None) -> Column:
+    """`missing` for a blank cell, `invalid` for one without a mobile, else `valid`.
+
+    `mobile` is the cell's standard mobile where that is known already.
+    """
+    found = normalize_phone(c) if mobile is None else mobile
     blank = c.isNull() | (trimmed(c) == "")
-    return F.when(blank, "missing").when(normalize_phone(c).isNull(), "invalid").otherwise("valid")
+    return F.when(found.isNotNull(), "valid").when(blank, "missing").otherwise("invalid")
 
 
 def _title_words() -> str:

@@ -37,13 +37,8 @@ def with_phone_identity(df: DataFrame, phone_col: str = "phone") -> DataFrame:
     if {S.PHONE_NORM, PHONE_STATUS, NAME_KEY} <= set(df.columns):
         return df
     name = F.col("name") if "name" in df.columns else F.lit(None).cast("string")
-    return df.withColumns(
-        {
-            S.PHONE_NORM: normalize_phone(F.col(phone_col)),
-            PHONE_STATUS: phone_status(F.col(phone_col)),
-            NAME_KEY: name_key(name),
-        }
-    )
+    known = df.withColumns({S.PHONE_NORM: normalize_phone(F.col(phone_col)), NAME_KEY: name_key(name)})
+    return known.withColumn(PHONE_STATUS, phone_status(F.col(phone_col), F.col(S.PHONE_NORM)))
 
 
 def reachable(df: DataFrame, phone_col: str = "phone") -> DataFrame:
@@ -207,14 +202,19 @@ def leads_of(groups: DataFrame, shape: list[str] | None = None) -> DataFrame:
     return _finish(_attach(named, resolved), shape)
 
 
-def merge_leads(df: DataFrame, phone_col: str = "phone") -> DataFrame:
+def merge_leads(df: DataFrame, phone_col: str = "phone", fields: tuple[str, ...] | None = None) -> DataFrame:
     """One row per (mobile, name): duplicates coalesced, unreachable rows dropped.
 
     Rows are shuffled once, already merged per task, on (phone, name key), and a
     second pass merges the entries of their maps.  The merged groups are stored;
-    from there the nameless ones attach to their leads.
+    from there the nameless ones attach to their leads.  With `fields`, only these and the
+    row order are merged and kept: rows still rank by all of their cells, but no other
+    column is shuffled or stored.
     """
     keyed = reachable(df, phone_col)
+    if fields is not None:
+        ranked = keyed if RICHNESS in keyed.columns else keyed.withColumn(RICHNESS, richness(keyed))
+        keyed = ranked.select(S.PHONE_NORM, NAME_KEY, RICHNESS, S.ROW_ORD, *[f for f in fields if f in df.columns and f != S.ROW_ORD])
     groups = stage(merge_groups(keyed, [S.PHONE_NORM, NAME_KEY]), "merged_groups")
     return leads_of(groups, keyed.columns)
 

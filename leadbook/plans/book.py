@@ -74,8 +74,9 @@ def confirm(draft: Draft, choices: DataFrame, note_proposals: dict[str, str] | N
 
 
 def stored_rows(rows: DataFrame) -> DataFrame:
-    """Lead rows keyed for merging and written once; merging reads them twice."""
-    return stage(standardise(rows), "lead_rows")
+    """Lead rows keyed for merging, and written once where they hold maps: merging reads those rows twice, others once."""
+    keyed = standardise(rows)
+    return stage(keyed, "lead_rows") if {S.EXTRAS, S.NOTE_FIELDS} & set(rows.columns) else keyed
 
 
 def build_lead_book(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadbook import schema as S
+from leadbook.functions import identity as idf
 from leadbook.operators import identity as I
 
 FIELDS = ["name", "phone", "email", "budget"]
@@ -140,3 +141,26 @@ def test_no_group_is_windowed_or_crossed(frame):
     plan = I.merge_leads(I.standardise(frame))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_merging_some_fields_gives_the_columns_of_merging_all(spark):
+    """Rows rank by all of their cells, whichever fields are kept, and nothing else is shuffled."""
+    frame = spark.createDataFrame(make_rows(), SCHEMA)
+    keys = [S.PHONE_NORM, I.NAME_KEY, S.MERGED_COUNT]
+    some = I.merge_leads(frame, fields=("budget",))
+    assert some.columns == [S.PHONE_NORM, I.NAME_KEY, S.ROW_ORD, "budget", S.MERGED_COUNT]
+    of = lambda df: sorted(map(tuple, df.select(*keys, S.ROW_ORD, "budget").collect()))
+    assert of(some) == of(I.merge_leads(frame))
+
+
+@pytest.mark.parametrize(
+    "cell, mobile, status",
+    [("9824039892", "9824039892", "valid"), ("+919824039892", "9824039892", "valid"), ("00910 9824039892", "9824039892", "valid"),
+     ("+9109824039892.0", "9824039892", "valid"), ("9824039892\n", "9824039892", "valid"), ("9100000000", "9100000000", "valid"),
+     ("98240398921", None, "invalid"), ("x/9824039892", "9824039892", "valid"), ("1524279386", None, "invalid"), (" ", None, "missing"), (None, None, "missing")],
+)
+def test_a_plain_mobile_is_read_as_any_other_cell(spark, cell, mobile, status):
+    rows = spark.createDataFrame([(cell,)], "phone string")
+    searched = rows.select(I.normalize_phone(F.col("phone")), idf._searched_mobile(F.col("phone"))).first()
+    assert tuple(searched) == (mobile, mobile)
+    assert I.with_phone_identity(rows).first()[I.PHONE_STATUS] == status
