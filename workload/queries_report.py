@@ -33,7 +33,7 @@ from workload.oracle_tables import (
     status,
 )
 from workload.registry import ORACLES, query
-from workload.tables import RULES, classified, lead_book, prepared
+from workload.tables import RULES, classified, lead_book, prepared, prepared_fields
 
 BAND_POSITION = "list_position([" + ", ".join(f"'{b}'" for b in money.BAND_LABELS) + "], {})"
 
@@ -374,10 +374,15 @@ def chart_slices(spark, sf_dir):
     return distributions.fold_slices(plan.report_counts(prepared(spark, sf_dir)))
 
 
+# What the cross-tabs and the rules read of a lead.
+_AXIS_FIELDS = ("configuration_required", "budget", "hwc", "client_status", "buying_status", "call_status")
+_RULE_FIELDS = ("buying_status", "budget", "call_status", "hwc", "visit_status", "facebook_page")
+
+
 @query("A2 A11", oracle("SELECT * FROM crosstab", "crosstab"))
 def crosstabs_all(spark, sf_dir):
     """The five fixed cross-tabs in one pass, non-empty cells with marginal totals."""
-    return crosstabs.crosstab(plan.report_cells(prepared(spark, sf_dir)))
+    return crosstabs.crosstab(plan.report_cells(prepared_fields(spark, sf_dir, _AXIS_FIELDS)))
 
 
 @query(
@@ -404,7 +409,9 @@ def crosstab_coverage(spark, sf_dir):
 )
 def configuration_by_budget_grid(spark, sf_dir):
     """One cross-tab as a full grid over the fixed price bands."""
-    return crosstabs.wide_crosstab(plan.report_cells(prepared(spark, sf_dir)), "config_x_budget", list(money.BAND_LABELS))
+    frame = prepared_fields(spark, sf_dir, ("configuration_required", "budget"))
+    section = {"config_x_budget": plan.crosstab_sections(frame)["config_x_budget"]}
+    return crosstabs.wide_crosstab(crosstabs.crosstab_cells(frame, section), "config_x_budget", list(money.BAND_LABELS))
 
 
 @query(
@@ -416,8 +423,10 @@ def configuration_by_budget_grid(spark, sf_dir):
     ),
 )
 def class_crosstabs(spark, sf_dir):
-    cells = plan.report_cells(classified(spark, sf_dir)).filter(F.col("section").startswith("lead_class"))
-    return crosstabs.crosstab(cells)
+    fields = (*_AXIS_FIELDS, *(f for f in _RULE_FIELDS if f not in _AXIS_FIELDS))
+    frame = rules.classify(prepared_fields(spark, sf_dir, fields), RULES)
+    sections = {name: axes for name, axes in plan.crosstab_sections(frame).items() if name.startswith("lead_class")}
+    return crosstabs.crosstab(crosstabs.crosstab_cells(frame, sections))
 
 
 @query(
