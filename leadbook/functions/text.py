@@ -156,10 +156,13 @@ UNIT_WORDS = ("bhk", "cr", "rk", "inr", "eoi", "nri")
 
 def deslug(c: Column) -> Column:
     """Make `inr_4_cr_to_6_cr` readable; leave text that is not a slug alone."""
-    text = F.regexp_replace(trimmed(c), r"(?U)\s+", " ")
+    return _computed_once(F.regexp_replace(trimmed(c), r"(?U)\s+", " "), _readable)
+
+
+def _readable(text: Column) -> Column:
     words = F.translate(F.regexp_replace(text, r"(?i)^(?:inr|rs)[_\s]+", ""), "_", " ")
     words = F.trim(F.regexp_replace(words, r"\s+", " "))
     for unit in UNIT_WORDS:
         words = F.regexp_replace(words, rf"(?i)(?<![a-z]){unit}(?![a-z])", unit.upper())
-    sentence = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 2**31 - 1))
+    sentence = _computed_once(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1)))
     return F.when(text.rlike(r"(?i)_|^(?:inr|rs)[_\s]"), sentence).otherwise(text)

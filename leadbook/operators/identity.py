@@ -41,6 +41,13 @@ def with_phone_identity(df: DataFrame, phone_col: str = "phone") -> DataFrame:
     return known.withColumn(PHONE_STATUS, phone_status(F.col(phone_col), F.col(S.PHONE_NORM)))
 
 
+def filled_identity(df: DataFrame, phone_col: str = "phone") -> DataFrame:
+    """Stored rows, some of which were stored without keys: those get them here."""
+    fresh = {S.PHONE_NORM: normalize_phone(F.col(phone_col)), NAME_KEY: name_key(F.col("name")), PHONE_STATUS: phone_status(F.col(phone_col))}
+    known = F.col(PHONE_STATUS).isNotNull()
+    return df.withColumns({c: F.when(known, F.col(c)).otherwise(value) for c, value in fresh.items()})
+
+
 def reachable(df: DataFrame, phone_col: str = "phone") -> DataFrame:
     """Rows with a valid mobile, keyed; the others cannot be called or matched."""
     keyed = with_phone_identity(df, phone_col)

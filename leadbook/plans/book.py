@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadbook import schema as S
 from leadbook.operators.headers import ensure_canonical, valid_proposals
-from leadbook.operators.identity import dedupe_stats, merge_leads, standardise
+from leadbook.operators.identity import PHONE_STATUS, dedupe_stats, merge_leads, standardise
 from leadbook.operators.notes import lift_notes
 from leadbook.operators.sheets import (
     SHEET_KEYS,
@@ -74,9 +74,14 @@ def confirm(draft: Draft, choices: DataFrame, note_proposals: dict[str, str] | N
 
 
 def stored_rows(rows: DataFrame) -> DataFrame:
-    """Lead rows keyed for merging, and written once where they hold maps: merging reads those rows twice, others once."""
+    """Lead rows keyed for merging.
+
+    Merging reads rows with maps twice, so these are written once, unless they carry their
+    keys and so come from a store.
+    """
     keyed = standardise(rows)
-    return stage(keyed, "lead_rows") if {S.EXTRAS, S.NOTE_FIELDS} & set(rows.columns) else keyed
+    twice = bool({S.EXTRAS, S.NOTE_FIELDS} & set(rows.columns))
+    return stage(keyed, "lead_rows") if twice and PHONE_STATUS not in rows.columns else keyed
 
 
 def build_lead_book(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadbook import schema as S
-from leadbook.operators.identity import merge_leads
+from leadbook.operators.identity import PHONE_STATUS, filled_identity, merge_leads
 from leadbook.sources.exports import harmonise
 from leadbook.sources.files import delete_path
 from leadbook.sources.ledger import record_upload, strike_upload
@@ -22,9 +22,13 @@ def write_upload(rows: DataFrame, root: str, upload_id: str, created_at: str) ->
 
 
 def read_uploads(spark: SparkSession, root: str) -> DataFrame:
-    """All stored uploads; a filter on upload_id reads only those partitions."""
+    """All stored uploads; a filter on upload_id reads only those partitions.
+
+    Where some uploads hold the keys of their rows, rows of the others get them.
+    """
     stored = spark.read.option("basePath", root).option("mergeSchema", True).parquet(root)
-    return stored.withColumn(S.UPLOAD_ID, F.col(S.UPLOAD_ID).cast("string"))
+    stored = stored.withColumn(S.UPLOAD_ID, F.col(S.UPLOAD_ID).cast("string"))
+    return filled_identity(stored) if PHONE_STATUS in stored.columns else stored
 
 
 def read_upload(spark: SparkSession, root: str, upload_id: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadbook import schema as S
+from leadbook.operators.identity import with_phone_identity
 from leadbook.plans.book import confirm, detected_choices, read_draft
 from leadbook.sources.exports import NoHeaderError, decoded_path, literal_path
 from leadbook.sources.lead_table import read_upload, write_upload
@@ -24,7 +25,7 @@ def take_in(
     """Read files, accept what is detected in them, store them as one upload and read it back.
 
     Its rows are numbered from `first_row`, so that uploads keep their order when
-    they are merged.  Files in which no sheet looks like leads are passed over: None.
+    they are merged, and stored with their keys, which no later step works out again.  Files in which no sheet looks like leads are passed over: None.
     """
     try:
         draft = read_draft(spark, paths)
@@ -34,7 +35,7 @@ def take_in(
     if choices.filter("include").isEmpty():
         return None
     rows = confirm(draft, choices).withColumn(S.ROW_ORD, F.col(S.ROW_ORD) + first_row)
-    write_upload(rows, root, upload_id, created_at)
+    write_upload(with_phone_identity(rows), root, upload_id, created_at)
     return read_upload(spark, root, upload_id)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadbook import schema as S
-from leadbook.operators.identity import NAME_KEY, leads_of, merge_groups, merge_states, reachable, standardise
+from leadbook.operators.identity import NAME_KEY, PHONE_STATUS, leads_of, merge_groups, merge_states, reachable, standardise
 from leadbook.runtime import discard, stage
 from leadbook.sources.files import delete_path, names_in, read_json, write_json
 
@@ -99,7 +99,9 @@ def upsert_leads(rows: DataFrame, batch_id: int, root: str) -> None:
     before = read_manifest(spark, root)
     if before.holds(batch_id):
         return
-    held = stage(reachable(standardise(rows)), "batch_rows")
+    # Rows that carry their keys come from a store; others are worked out once for both passes of merging.
+    held = reachable(standardise(rows))
+    held = held if PHONE_STATUS in rows.columns else stage(held, "batch_rows")
     if S.UPLOAD_ID in held.columns:
         states = merge_groups(held.withColumn(_UPLOAD, F.col(S.UPLOAD_ID)), [_UPLOAD, *_KEYS])
     else:

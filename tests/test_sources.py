@@ -7,6 +7,7 @@ from leadbook.operators import export
 from leadbook.operators.notes import lift_notes
 from leadbook.plans import book
 from leadbook.sources import exports, lead_table
+from leadbook.streaming import intake
 
 
 def put(folder, name, text, encoding="utf-8"):
@@ -151,3 +152,19 @@ def test_harmonise_makes_text(spark):
     df = spark.createDataFrame([(1, 2.5, True)], "row_ord long, kids double, flag boolean")
     assert dict(exports.harmonise(df).dtypes) == {"row_ord": "bigint", "kids": "string", "flag": "string"}
     assert df.select(F.col("kids")).first()[0] == 2.5
+
+
+def test_uploads_with_and_without_keys_make_one_pool(spark, tmp_path):
+    """Intake stores rows with their keys; uploads stored without them lose no row beside those."""
+    folder, root = tmp_path / "in", str(tmp_path / "uploads")
+    folder.mkdir()
+    (folder / "f.csv").write_text("Name,Phone,Email,Budget,Configuration\nAmit,9824039892,a@x.com,2 Cr,3 BHK\nBad,12,b@x.com,,\n")
+    assert intake.take_in(spark, [str(folder / "f.csv")], root, "u2", "2026-02").columns.count("phone_status") == 1
+    old = spark.createDataFrame([(0, "f", "Priya", "+91 9824039893"), (1, "f", "Amit", "9824039892")], "row_ord long, source_file string, name string, phone string")
+    lead_table.write_upload(old, root, "u1", "2026-01")
+    stored = lead_table.read_uploads(spark, root)
+    assert sorted((r["name"], r["phone_status"], r["name_key"]) for r in stored.collect()) == [
+        ("Amit", "valid", "amit"), ("Amit", "valid", "amit"), ("Bad", "invalid", "bad"), ("Priya", "valid", "priya")
+    ]
+    pool = {r["phone_normalized"]: r["merged_row_count"] for r in book.combined_pool(stored).collect()}
+    assert pool == {"9824039892": 2, "9824039893": 1}
