@@ -5,7 +5,8 @@ sketches differ in at most as many bits as the sets have elements not in common.
 Sets that can reach the similarity differ in at most d elements, d following from
 their sizes; a sketch is therefore cut into d + m blocks, of which such sets share
 at least m.  Sets of one size band meet by equal blocks, and the texts of those
-that meet are compared exactly.
+that meet are compared exactly.  Since similar sets share several blocks, a set leaves
+out the most frequent ones: all but one of those that it must share.
 """
 
 from __future__ import annotations
@@ -46,6 +47,10 @@ STEP_BYTES = 8_000_000
 PART_CHARS = 16_000_000
 CHUNK_KEYS = 500_000
 
+# A key's band stands above these bits.
+_BAND_AT = 56
+_BELOW_BAND = np.uint64((1 << _BAND_AT) - 1)
+
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -129,13 +134,15 @@ class Bands:
         return found
 
 
-def block_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of the non-empty sketch blocks of a set, in each of its bands.
+def sketch_blocks(hashes: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Keys of the non-empty sketch blocks of a set, and (band, how many of its keys similar sets share at least).
 
-    Similar sets that share no block with a set bit share at least m empty ones; a set
-    with that many, which m makes very rare, has one more key in common with its like.
+    The band stands in the first byte of a key.  Similar sets share at least m blocks in the band of the smaller;
+    those without a set bit have no key, so as many keys as m is larger than the set's empty blocks.  Similar sets
+    that share no block with a set bit share at least m empty ones; a set with that many, which m makes very rare,
+    has one more key in common with its like.
     """
-    keys = []
+    keys, least = [], []
     for band in bands.of(len(hashes)):
         count, m = bands.blocks(band)
         block = ((hashes >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
@@ -146,11 +153,17 @@ def block_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
         value = mix(bit * _C1 + salt)
         block = bit // np.uint64(BLOCK_BITS)
         cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, int)
-        if len(cut):
-            keys.append(mix(np.add.reduceat(value, cut) ^ (block[cut] * _C2 + salt)))
+        own = [mix(np.add.reduceat(value, cut) ^ (block[cut] * _C2 + salt))] if len(cut) else []
         if count - len(cut) >= m:
-            keys.append(mix(salt))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            own.append(mix(salt))
+        keys += [(k & _BELOW_BAND) | np.uint64(band << _BAND_AT) for k in own]
+        least.append((band, max(1, m - count + len(cut))))
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64), least
+
+
+def block_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
+    """The keys alone."""
+    return sketch_blocks(hashes, bands)[0]
 
 
 def sketch_of(hashes: np.ndarray) -> bytes:
@@ -166,14 +179,15 @@ def narrowed(sketch: bytes, size: int) -> np.ndarray:
 
 
 _SKETCHED = (
-    "uid long, doc_id long, n_shingles long, node long, sketch binary, chunk long, place int, part long, asked binary, places binary"
+    "uid long, doc_id long, n_shingles long, node long, sketch binary, least map<int, int>, chunk long, place int, part long, asked binary, places binary"
 )
 
 
 def sketched(docs: DataFrame, words: int, bands: Bands, parts: int) -> DataFrame:
     """Rows of documents, and of the block keys of their chunks.
 
-    A document's row has the size, identity and sketch of its set, and its place in its chunk.  The
+    A document's row has the size, identity and sketch of its set, by band the least number of keys that it
+    shares with a similar one, and its place in its chunk.  The
     identity is a 64-bit hash of the set (null for the empty set): n sets collide with a chance of
     n^2 / 2^65.  A row with a `part` has the sorted keys of a chunk in that part of the key space, each
     with the place of a document of every set that has it.
@@ -183,19 +197,20 @@ def sketched(docs: DataFrame, words: int, bands: Bands, parts: int) -> DataFrame
         release()
         chunk, held, size, place = TaskContext.get().partitionId() << 32, [], 0, 0
         for batch in batches:
-            sizes, nodes, sketches, keys = [], [], [], []
+            sizes, nodes, sketches, keys, least = [], [], [], [], []
             for text in batch.column(2):
                 hashes = shingles(text.as_py(), words)
                 sizes.append(len(hashes))
                 nodes.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63 if len(hashes) else None)
                 sketches.append(sketch_of(hashes) if len(hashes) else None)
-                keys.append(block_keys(hashes, bands))
+                for column, value in zip((keys, least), sketch_blocks(hashes, bands)):
+                    column.append(value)
             lengths = [len(k) for k in keys]
             places = np.arange(place, place + len(sizes), dtype=np.uint32)
             named = np.array([n or 0 for n in nodes], np.int64)
             held.append((np.concatenate([*keys, np.zeros(0, np.uint64)]), np.repeat(named, lengths), np.repeat(places, lengths)))
             yield _batch({
-                "uid": batch.column(0), "doc_id": batch.column(1), "n_shingles": sizes, "node": nodes, "sketch": sketches,
+                "uid": batch.column(0), "doc_id": batch.column(1), "n_shingles": sizes, "node": nodes, "sketch": sketches, "least": least,
                 "chunk": [chunk] * len(sizes), "place": places.tolist(),
             })
             size, place = size + sum(lengths), place + len(sizes)
@@ -209,7 +224,7 @@ def sketched(docs: DataFrame, words: int, bands: Bands, parts: int) -> DataFrame
 
 
 _ARROW = pa.schema(
-    [(c, pa.int64()) for c in ("uid", "doc_id", "n_shingles", "node")] + [("sketch", pa.binary()), ("chunk", pa.int64())]
+    [(c, pa.int64()) for c in ("uid", "doc_id", "n_shingles", "node")] + [("sketch", pa.binary()), ("least", pa.map_(pa.int32(), pa.int32())), ("chunk", pa.int64())]
     + [("place", pa.int32()), ("part", pa.int64()), ("asked", pa.binary()), ("places", pa.binary())]
 )
 
@@ -236,7 +251,7 @@ def _asks(chunk: int, held: list[tuple[np.ndarray, ...]], parts: int) -> pa.Reco
 
 
 def _shared_keys(group: pd.DataFrame) -> pd.DataFrame:
-    """(key, chunk, place) for the keys of a part that occur more than once."""
+    """(key, chunk, place, uses) for the keys of a part that occur more than once."""
     keys = [unpack_keys(k) for k in group["asked"]]
     flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
@@ -245,7 +260,21 @@ def _shared_keys(group: pd.DataFrame) -> pd.DataFrame:
     kept = order[np.repeat(uses > 1, uses)]
     chunks = np.repeat(group["chunk"].to_numpy(np.int64), [len(k) for k in keys])
     places = np.concatenate([unpack(p, "<u4") for p in group["places"]])
-    return pd.DataFrame({"key": flat[kept].view(np.int64), "chunk": chunks[kept], "place": places[kept].astype(np.int32)})
+    often = np.repeat(uses, uses)[np.repeat(uses > 1, uses)]
+    return pd.DataFrame({"key": flat[kept].view(np.int64), "chunk": chunks[kept], "place": places[kept].astype(np.int32), "uses": often})
+
+
+def _rarest(shared: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, node): the shared keys of a set without the most frequent ones, in each band all but one of those it must share.
+
+    Two sets that share as many keys as each must still share one: in the one order of all keys, the rarest of those
+    in common has all the others behind it.  A set with fewer shared keys than it must share is similar to none.
+    """
+    held = shared.join(rows.select("chunk", "place", "node", "least"), ["chunk", "place"])
+    band = F.shiftrightunsigned("key", _BAND_AT).cast("int")
+    frequent = Window.partitionBy("chunk", "place", "band").orderBy(F.desc("uses"), F.desc("key"))
+    ranked = held.withColumn("band", band).withColumn("rank", F.row_number().over(frequent))
+    return ranked.where(F.col("rank") >= F.col("least")[F.col("band")]).select("key", "node").distinct()
 
 
 def _candidates(bands: Bands, limit: int):
@@ -360,9 +389,8 @@ def similarity_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     classes = nodes.groupBy("node").agg(F.min(order).alias("lead"), F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
     classes = stage(classes, "classes")
     asks = table.where(F.col("part").isNotNull()).select("part", "chunk", "asked", "places")
-    shared = asks.groupBy("part").applyInPandas(_shared_keys, "key long, chunk long, place int")
-    shared = shared.join(rows.select("chunk", "place", "node"), ["chunk", "place"]).select("key", "node")
-    blocks = stage(shared.distinct(), "blocks")
+    shared = asks.groupBy("part").applyInPandas(_shared_keys, "key long, chunk long, place int, uses long")
+    blocks = stage(_rarest(shared, rows), "blocks")
     links = stage(_links(docs, blocks, classes, words, bands), "all-links")
     discard(blocks)
     roots = components(links)
@@ -387,9 +415,10 @@ def _links(docs: DataFrame, blocks: DataFrame, classes: DataFrame, words: int, b
 
     In a round a set has its texts compared with at most `limit` others, so that the first round, after which
     groups of near copies are mostly one component, compares no more pairs than there are sets.  No pair is compared twice.
+    The first round sees every pair of a group, so later ones deal only the sets that it found in a candidate pair.
     """
     schema = "a long, b long, more boolean"
-    texts = links = None
+    texts = met = links = None
     compared: list[DataFrame] = []
     limit = 1
     roots = blocks.withColumn("root", F.col("node"))
@@ -404,6 +433,7 @@ def _links(docs: DataFrame, blocks: DataFrame, classes: DataFrame, words: int, b
             nodes = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
             needed = nodes.join(classes.select("node", F.col("lead.uid").alias("uid")), "node")
             texts = stage(needed.join(docs.select("uid", "text"), "uid").select("node", "text"), "group-texts")
+            met = stage(blocks.join(nodes, "node", "left_semi").select(*blocks.columns), "met-blocks")
         fresh = pairs.where("a <> b").select("a", "b").distinct()
         if compared:
             tried = reduce(DataFrame.unionByName, [c.where(F.col("place") <= F.col("most")) for c in compared])
@@ -419,8 +449,8 @@ def _links(docs: DataFrame, blocks: DataFrame, classes: DataFrame, words: int, b
         done = pairs.where("more").isEmpty() and ranked.where(F.col("place") > limit).isEmpty()
         discard(pairs)
         if done:
-            discard(texts, *compared)
+            discard(texts, met, *compared)
             return links
         known = components(links)
-        roots = blocks.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = met.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
         limit *= ROUND_GROWTH

@@ -183,6 +183,57 @@ def test_sketches_hold_long_texts_apart(spark, monkeypatch):
     assert sum(compared) == 1
 
 
+def test_similar_sets_share_one_of_their_rarest_keys():
+    """Whatever the order of the keys: without all but one of those that it must share, a set still meets its like."""
+    rng = np.random.default_rng(8)
+    for num, den in ((8, 10), (90, 100), (5, 10)):
+        bands = Bands(num, den)
+        for n in (3, 6, 20, 90, 400, 1_500):
+            for _ in range(40):
+                full = np.unique(rng.integers(0, 2**64, n, np.uint64))
+                other = full[rng.permutation(len(full))[: -(-len(full) * num // den)]]
+                if len(other) == len(full):
+                    continue
+                (keys, least), (others, theirs) = (jaccard.sketch_blocks(np.sort(x), bands) for x in (full, other))
+                order = int(rng.integers(1, 2**62)) | 1
+                band = theirs[0][0]  # that of the smaller set
+                kept = []
+                for found, must in ((keys, dict(least)), (others, dict(theirs))):
+                    own = found[found >> np.uint64(56) == band]
+                    own = own[np.argsort(own * np.uint64(order))]
+                    kept.append(own[: len(own) - must[band] + 1])
+                assert np.intersect1d(*kept).size
+
+
+def test_chance_keys_are_not_dealt(spark, monkeypatch):
+    """Texts that share single n-grams meet in no group; later rounds deal only the sets that the first found alike."""
+    rows, real = {}, jaccard.stage
+
+    def counted(df, label, *rest):
+        out = real(df, label, *rest)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    rng = random.Random(9)
+    common = [" ".join(f"c{k}w{i}" for i in range(5)) for k in range(12)]
+    texts = []
+    for _ in range(60):
+        words = [str(rng.random()) for _ in range(300)]
+        for at, passage in enumerate(common):
+            words.insert(at * 25, passage)
+        texts.append(" ".join(words))
+    base = [str(rng.random()) for _ in range(200)]
+    texts += [" ".join(base[: 200 - k]) for k in range(6)]
+    got = {r.doc_id: r.lead_id for r in similarity_groups(numbered(spark.createDataFrame(rows_of(texts), SCHEMA)), 5, 8, 10).collect()}
+    assert got == {**{k: k for k in range(60)}, **dict.fromkeys(range(60, 66), 60)}
+    asked = real(jaccard.sketched(numbered(spark.createDataFrame(rows_of(texts[:60]), SCHEMA)), 5, Bands(8, 10), 8), "asked")
+    shared = asked.where("part is not null").groupBy("part").applyInPandas(jaccard._shared_keys, "key long, chunk long, place int, uses long")
+    assert shared.count() > 0
+    assert jaccard._rarest(shared, asked.where("part is null")).count() == 0
+    assert set(rows["met-blocks"]) and all(n <= rows["groups"][0] for n in rows["groups"])
+
+
 def test_shingles_of_short_texts():
     assert len(shingles("", 3)) == len(shingles(" \n", 3)) == len(shingles(None, 3)) == 0
     assert len(shingles("a b", 3)) == len(shingles("a b c", 3)) == 1
