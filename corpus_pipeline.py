@@ -61,9 +61,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(groups.where("uid = lead_uid").select("uid"), "uid", "left_semi").select("row.*")
 
 
+# An executor's memory is full of what earlier stages left when packing starts, so its workers remember few segments.
+PACKING_MEMO = 50_000
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of 2048."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, memo_entries=PACKING_MEMO)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

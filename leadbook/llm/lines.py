@@ -205,6 +205,7 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     def cut(texts, doomed):
         return texts.combine(doomed, lambda t, d: t if d is None else without_lines(t, list(d)))
 
+    cut = cut.asNondeterministic()  # else a filter on the text cuts a second time, in another Python worker of the task
     kept = [c for c in docs.columns if c not in ("text", "n_deleted")]
     row = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in kept)).alias("row")  # whatever its columns are called
     rows = docs.select(F.col("uid").alias("key"), F.col("text").alias("body"), row)

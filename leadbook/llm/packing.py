@@ -132,7 +132,7 @@ def evolve(population: list[list[list[int]]], sizes: list[int], capacity: int, g
 # --- the job --------------------------------------------------------------------
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, memo_entries: int | None = None) -> DataFrame:
     """Pieces of at most `capacity` tokens of each document, with their place and checksum.
 
     Only longer documents are cut; their first piece takes the remainder.  A null or
@@ -140,7 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, memo_entries), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -157,14 +157,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     return rows.mapInArrow(cut, PIECES)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, memo_entries: int | None = None) -> DataFrame:
     """Pack `docs` (doc_id, text) into as few sequences of `capacity` tokens as found.
 
     One row per piece: the columns of `token_pieces`, sequence_id and offset.  Rows
     that repeat a doc_id are documents of their own; a null doc_id stays null; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored.  `memo_entries` bounds the segments
+    whose ids a worker remembers, and changes no result.
     """
-    pieces = stage(token_pieces(docs, tokenizer, end_id, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    pieces = stage(token_pieces(docs, tokenizer, end_id, capacity, memo_entries).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -F.col("uid") - 1).withColumn("offset", F.lit(0).cast("long"))
     items = pieces.where(F.col("length") < capacity)
     packed = pack_items(items.select("uid", F.col("length").alias("size")), capacity)

@@ -44,7 +44,8 @@ class _Memo(dict):
     since is let go; an answer found there moves back.
     """
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, tokenizer: Tokenizer, entries: int):
+        self.entries = entries
         self.tokenizer, self.model, self.shown = tokenizer, tokenizer.model, _byte_characters()
         self.older: dict[str, bytes] = {}
 
@@ -53,7 +54,7 @@ class _Memo(dict):
         if packed is None:
             packed = self._coded(segment)
         if len(segment) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
             self[segment] = packed
@@ -72,10 +73,10 @@ class Encoder:
     """ids of a text as little-endian unsigned 32-bit bytes, equal to the library's for the whole text.
 
     A text that holds the string of an added token goes to the library whole, which codes it
-    as that token.  A null or empty text has no ids.
+    as that token.  A null or empty text has no ids.  Fewer `memo_entries` take less memory and more time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_entries: int | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(Path(path).read_text())
         self.vocabulary = self.tokenizer.get_vocab_size()
@@ -84,7 +85,7 @@ class Encoder:
         # An added token that is looked for in the normalized text may be hidden in any other one.
         if any(t.get("normalized") for t in spec.get("added_tokens", [])):
             self.segments = None
-        self.memo = _Memo(self.tokenizer)
+        self.memo = _Memo(self.tokenizer, memo_entries or MEMO_ENTRIES)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -113,6 +114,6 @@ def _cut_rule(spec: dict) -> tuple[re.Pattern | None, bool]:
     return None, False
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_entries: int | None = None) -> Encoder:
     """The worker's encoder for a tokenizer file, with its memo."""
-    return held(("encoder", path), lambda: Encoder(path))
+    return held(("encoder", path, memo_entries), lambda: Encoder(path, memo_entries))

@@ -15,7 +15,7 @@ _HELD: dict[Hashable, object] = {}
 def held(key: Hashable, make: Callable[[], T]) -> T:
     """The object under `key`, made where the worker does not hold it; what it held before is let go."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 

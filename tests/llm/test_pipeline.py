@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from leadbook.llm import tokenizing
 from pyspark.sql import functions as F
 from tests.llm.conftest import SCHEMA, prose, rows_of
 
@@ -68,3 +69,16 @@ def test_columns_with_odd_names_pass_through(spark, awkward):
         docs = step(spark, docs, "")
         assert docs.columns[-3:] == ["a.b", "c`d", "row"], name
     assert {(r[-3], r[-2], r[-1]) for r in docs.collect()} == {(1, 2, 3)}
+
+
+def test_packing_in_the_pipeline_remembers_few_segments(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "pack_documents", lambda docs, tokenizer, **given: asked.append(given) or docs)
+    corpus_pipeline.packed(spark, None, "")
+    assert asked[0]["memo_entries"] < tokenizing.MEMO_ENTRIES // 4
+
+
+def test_line_stage_cuts_a_text_once(spark, awkward):
+    out = STEPS["line dedup"](spark, awkward, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

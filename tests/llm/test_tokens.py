@@ -56,6 +56,14 @@ def test_a_full_memo_keeps_what_is_asked_for(monkeypatch):
     assert "y" * 100 not in own.memo
 
 
+def test_an_encoder_of_a_small_memo_gives_the_same_ids():
+    own = Encoder(BYTES, memo_entries=20)
+    for k in range(300):
+        text = f"common word{chr(97 + k % 26)}{chr(97 + k // 26)} common"
+        assert own.encode(text) == ENCODERS[BYTES].encode(text)
+        assert len(own.memo) <= 20 and len(own.memo.older) <= 20
+
+
 def test_starts_behind_a_text_with_an_added_token(spark):
     docs = [(0, "a <|endoftext|> b"), (1, "<|startoftext|> c"), (2, "d e")]
     got = read_token_files(write_token_files(spark.createDataFrame(docs, "doc_id long, text string"), WORDS, 2)).orderBy("doc_id").collect()
