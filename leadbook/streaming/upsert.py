@@ -99,9 +99,10 @@ def upsert_leads(rows: DataFrame, batch_id: int, root: str) -> None:
     before = read_manifest(spark, root)
     if before.holds(batch_id):
         return
-    # Rows that carry their keys come from a store; others are worked out once for both passes of merging.
+    # Rows with maps are merged in two passes, so they are worked out once, unless they carry their keys and come from a store.
     held = reachable(standardise(rows))
-    held = held if PHONE_STATUS in rows.columns else stage(held, "batch_rows")
+    twice = not {S.EXTRAS, S.NOTE_FIELDS}.isdisjoint(rows.columns)
+    held = stage(held, "batch_rows") if twice and PHONE_STATUS not in rows.columns else held
     if S.UPLOAD_ID in held.columns:
         states = merge_groups(held.withColumn(_UPLOAD, F.col(S.UPLOAD_ID)), [_UPLOAD, *_KEYS])
     else:
@@ -180,9 +181,12 @@ def clear_up(spark: SparkSession, root: str, manifest: Manifest | None = None) -
 
 
 def book_states(spark: SparkSession, root: str) -> DataFrame | None:
-    """The merged states of the whole book, staged; None while it has no run."""
+    """The merged states of the whole book, staged; None while it has no run.  One run alone holds each key once."""
     runs = [run for run, _ in read_manifest(spark, root).runs]
-    return stage(merge_states(_states(spark, root, runs), _KEYS), "book_states") if runs else None
+    if not runs:
+        return None
+    states = _states(spark, root, runs)
+    return stage(states if len(runs) == 1 else merge_states(states, _KEYS), "book_states")
 
 
 def read_book(spark: SparkSession, root: str) -> DataFrame | None:

@@ -27,6 +27,22 @@ def test_upsert_equals_rebuild_and_survives_replay(spark, tmp_path):
     assert merged_rows(upsert.read_book(spark, root)) == expected
 
 
+def test_rows_without_maps_are_stored_once_and_a_lone_run_is_not_merged_again(spark, tmp_path, monkeypatch):
+    whole = spark.createDataFrame(make_rows(120, seed=3), SCHEMA).drop(S.EXTRAS, S.NOTE_FIELDS)
+    root, staged, merged = str(tmp_path / "book"), [], []
+    stage, merge = upsert.stage, upsert.merge_states
+    monkeypatch.setattr(upsert, "stage", lambda df, label: staged.append(label) or stage(df, label))
+    monkeypatch.setattr(upsert, "merge_states", lambda *given: merged.append(1) or merge(*given))
+    upsert.upsert_leads(whole, 0, root)
+    assert staged == [] and merged == []
+    held = upsert.read_book(spark, root)
+    assert staged == ["book_states"] and merged == []
+    expected = I.merge_leads(whole)
+    assert sorted(map(str, held.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
+    upsert.upsert_leads(whole.withColumn("row_ord", F.col("row_ord") + 1_000), 1, root)
+    assert merged == [] and upsert.read_book(spark, root).count() == held.count() and merged == [1]
+
+
 def test_untouched_leads_are_carried_over(spark, tmp_path):
     make = lambda i, phone: spark.createDataFrame([(i, "f", "A", phone, None, None)], SCHEMA)
     root = str(tmp_path / "book")
