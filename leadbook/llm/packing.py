@@ -61,11 +61,17 @@ class Fill:
         return None
 
 
+def fills(bins: list[list[int]], sizes: list[int]) -> list[int]:
+    """The tokens in each sequence."""
+    size = sizes.__getitem__
+    return [sum(map(size, b)) for b in bins]
+
+
 def best_fit(items: list[int], sizes: list[int], capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
     """Best-fit the items, in the order given, into copies of `bins` and new sequences."""
     bins, fill = [list(b) for b in bins or []], Fill(capacity)
-    for b in bins:
-        fill.add(b, capacity - sum(sizes[i] for i in b))
+    for b, used in zip(bins, fills(bins, sizes)):
+        fill.add(b, capacity - used)
     for i in items:
         opened = fill.place(i, sizes[i])
         if opened is not None:
@@ -75,13 +81,13 @@ def best_fit(items: list[int], sizes: list[int], capacity: int, bins: list[list[
 
 def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
     """Fewer sequences first, then fuller ones (sum of squared fills); smaller is better."""
-    return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+    return len(bins), -sum((used / capacity) ** 2 for used in fills(bins, sizes))
 
 
 def cross(first: list[list[int]], second: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator):
     """Inject well-filled sequences of `second` whole into `first`; best-fit what they displace."""
-    fills = np.array([sum(sizes[i] for i in b) for b in second])
-    good = np.flatnonzero(fills >= np.median(fills))
+    used = np.array(fills(second, sizes))
+    good = np.flatnonzero(used >= np.median(used))
     chosen = rng.choice(good, max(1, len(good) // 2), replace=False)
     injected = [second[k] for k in chosen]
     taken = {i for b in injected for i in b}
@@ -96,7 +102,7 @@ def cross(first: list[list[int]], second: list[list[int]], sizes: list[int], cap
 
 def shake(bins: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator):
     """Empty the least filled sequences and a few others, and best-fit their documents anew."""
-    order = sorted(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
+    order = sorted(range(len(bins)), key=fills(bins, sizes).__getitem__)
     out = set(order[: max(1, len(bins) // 20)]) | set(rng.choice(len(bins), max(1, len(bins) // 20)).tolist())
     items = [i for k in out for i in bins[k]]
     weight = {i: sizes[i] * rng.uniform(0.8, 1.2) for i in items}
@@ -117,16 +123,20 @@ def seeds(sizes: list[int], capacity: int, count: int, rng: np.random.Generator)
 def evolve(population: list[list[list[int]]], sizes: list[int], capacity: int, generations: int, rng: np.random.Generator):
     """The population after some generations, best first; it stops where the size bound is met."""
     floor = -(-sum(sizes) // capacity)
-    ranked = sorted(population, key=lambda b: fitness(b, sizes, capacity))
+
+    def rated(groupings):
+        return [(fitness(g, sizes, capacity), g) for g in groupings]
+
+    ranked = sorted(rated(population), key=lambda r: r[0])
     for _ in range(generations):
-        if len(ranked[0]) <= floor:
+        best = ranked[0][1]
+        if len(best) <= floor:
             break
-        a, b = rng.choice(len(ranked), 2, replace=len(ranked) < 2)
-        a, b = min(a, b), max(a, b)
-        children = [cross(ranked[b], ranked[a], sizes, capacity, rng), cross(ranked[a], ranked[b], sizes, capacity, rng), shake(ranked[0], sizes, capacity, rng)]
-        size = max(len(ranked), 2)
-        ranked = sorted([*ranked, *children], key=lambda g: fitness(g, sizes, capacity))[:size]
-    return ranked
+        a, b = sorted(rng.choice(len(ranked), 2, replace=len(ranked) < 2))
+        first, second = ranked[a][1], ranked[b][1]
+        children = [cross(second, first, sizes, capacity, rng), cross(first, second, sizes, capacity, rng), shake(best, sizes, capacity, rng)]
+        ranked = sorted([*ranked, *rated(children)], key=lambda r: r[0])[: max(len(ranked), 2)]
+    return [g for _, g in ranked]
 
 
 # --- the job --------------------------------------------------------------------
@@ -140,16 +150,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, memo_entries), np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer, memo_entries)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(encode.encode(text.as_py()) + end)
-                n = len(ids) // 4
-                edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    for column, value in zip(out, (doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))):
-                        column.append(value)
+            doc_ids = iter(batch.column(0).to_pylist())
+            for ids, bounds in encode.encode_many(batch.column(1).to_pylist(), end_id):
+                for first, last, doc_id in zip(bounds[:-1].tolist(), bounds[1:].tolist(), doc_ids):
+                    n = last - first
+                    edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                        for column, value in zip(out, (doc_id, k, a, b - a, zlib.crc32(ids[first + a : first + b]))):
+                            column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -89,20 +89,18 @@ _ROWS_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens"
 def _write_shard(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, end_id: int) -> dict | None:
     encode = encoder(tokenizer)
     kind = np.dtype("<u2" if max(encode.vocabulary - 1, end_id) < 2**16 else "<u4")
-    end = np.array([end_id], "<u4").tobytes()
     sink, where, counts, doc_ids, nulls = None, None, [], [], 0
     for batch in batches:
         if sink is None and batch.num_rows:
             store, where = fs.FileSystem.from_uri(path)
             store.create_dir(where.rpartition("/")[0], recursive=True)
             sink = store.open_output_stream(where)
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = encode.encode(text.as_py()) + end
-            counts.append(len(ids) // 4)
-            nulls += doc_id is None
-            if doc_id is not None:
-                doc_ids.append(doc_id)
-            sink.write(np.frombuffer(ids, "<u4").astype(kind).tobytes())
+        names = batch.column(0).to_pylist()
+        nulls += names.count(None)
+        doc_ids += [i for i in names if i is not None]
+        for ids, bounds in encode.encode_many(batch.column(1).to_pylist(), end_id):
+            counts += np.diff(bounds).tolist()
+            sink.write(ids.astype(kind).tobytes())
     if sink is None:
         return None
     bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.uint64)]).astype(np.uint64)

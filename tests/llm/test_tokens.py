@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from leadbook.llm.elias_fano import EliasFano
 from leadbook.llm.packing import best_fit, cross, evolve, fitness, pack_documents, pack_items, seeds
-from leadbook.llm import tokenizing
+from leadbook.llm import packing, segments, tokenizing
 from leadbook.llm.token_files import TokenFile, read_token_files, write_token_files
 from leadbook.llm.tokenizing import Encoder
 
@@ -36,6 +36,38 @@ def test_segments_give_the_ids_of_the_whole_text(path, text):
     assert ENCODERS[path].encode(text) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.none() | TEXTS, max_size=8), end=st.none() | st.just(7), limit=st.sampled_from([1, 40, 1 << 20]))
+def test_many_texts_give_the_ids_of_each(path, texts, end, limit):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(segments.portions, "__defaults__", (limit,))
+        got = [ids[a:b].tolist() for ids, bounds in ENCODERS[path].encode_many(texts, end) for a, b in zip(bounds, bounds[1:])]
+    assert got == [plain(path, t) + ([] if end is None else [end]) for t in texts]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_letters_whose_small_form_is_not_in_the_proven_range(path):
+    for letter in "ƁƆƉƊƎƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɁɃɄɅİ":
+        ids = plain(path, text := f"x{letter}y {letter} a{letter}")
+        assert Encoder(path).encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_the_memo_is_asked_once_for_a_segment_of_many_texts():
+    class Counted(dict):
+        asked: list[str] = []
+
+        def __getitem__(self, segment):
+            self.asked.append(segment)
+            return memo[segment]
+
+    own = Encoder(BYTES)
+    memo, own.memo = own.memo, Counted()
+    sizes = [b[-1] for _, b in own.encode_many(["common words, common words"] * 500)]
+    assert sizes == [500 * len(plain(BYTES, "common words, common words"))]
+    assert sorted(Counted.asked) == [" common", " words", ",", "common"]
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_added_tokens_are_coded_as_the_library_codes_them(path):
     library = Tokenizer.from_file(path)
@@ -175,6 +207,15 @@ def test_evolution_beats_its_seed():
     assert fitness(best, sizes, 1000) < fitness(first, sizes, 1000)
 
 
+def test_a_grouping_is_rated_once(monkeypatch):
+    rng, rated = np.random.default_rng(0), []
+    sizes = [334] * 60  # two fit into a sequence, so the bound of the sizes is never met
+    first = seeds(sizes, 1000, 6, rng)
+    monkeypatch.setattr(packing, "fitness", lambda *a: rated.append(1) or fitness(*a))
+    evolve(first, sizes, 1000, 5, rng)
+    assert len(rated) == len(first) + 5 * 3
+
+
 def test_crossover_keeps_every_document_once():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 900, 200).tolist()
