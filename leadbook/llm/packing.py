@@ -154,7 +154,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             doc_ids = iter(batch.column(0).to_pylist())
-            for ids, bounds in encode.encode_many(batch.column(1).to_pylist(), end_id):
+            for ids, bounds in encode.encode_many((t.as_py() for t in batch.column(1)), end_id):
                 for first, last, doc_id in zip(bounds[:-1].tolist(), bounds[1:].tolist(), doc_ids):
                     n = last - first
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]

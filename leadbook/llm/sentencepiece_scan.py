@@ -9,23 +9,28 @@ states at both borders are known each chunk traces its own part of the path.
 Steps weigh the piece's score in unigram models.  In BPE models a step from piece t to u
 weighs 0 if merging the text t + u gives exactly t, u, and is barred otherwise: a
 sequence is the result of the merges if and only if all its neighbours are, so one path
-of weight 0 is left.  Documents of one chunk go to the `sentencepiece` library whole.
+of weight 0 is left.  Documents of one chunk go to the `sentencepiece` library; where
+no piece joins a blank to what stands before it, a word has the same ids alone, and the
+library gets each distinct one of some hundred texts once.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece as spm
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadbook.llm.segments import dealt, distinct, laid_out, portions
 from leadbook.llm.worker_cache import held
 
 CHUNK_CHARS = 65_536
@@ -67,7 +72,17 @@ class Lattice:
         for byte, i in self.bytes.items():
             self.shown[i] = chr(byte) if byte < 128 else None
         self.joins = sp.normalize("a  b") == "▁a▁▁b"
-        self.merges = _is_bpe(model)
+        trainer, normalizer = _sections(model)
+        self.merges = trainer.get(3, 1) == 2
+        # Texts are taken as they are behind one more blank, and blanks stand in a piece only at its start.
+        kept = not normalizer.get(2) and [normalizer.get(k, 1) for k in (3, 4, 5)] == [1, 0, 1] and not trainer.get(24)
+        odd = {i for i in range(sp.vocab_size()) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
+        shaped = all(re.fullmatch("▁*[^▁]*", sp.id_to_piece(i)) for i in range(sp.vocab_size()) if i not in odd)
+        self.cuts = bool(self.joins and self.merges and self.bytes and "▁" in self.ids and kept and shaped)
+        # the text of each id, then the same without the blank that a text's first piece begins with
+        self.plain = np.array([t is not None for t in self.shown])
+        self.opens = np.array([t is not None and t.startswith(" ") for t in self.shown])
+        self.written = pa.array([t or "" for t in self.shown] + [(t or "")[1:] for t in self.shown], pa.large_string())
         self.strange = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.memo: dict[tuple[str, str], bool] = {}
 
@@ -183,13 +198,44 @@ class Lattice:
         ids = [self.trace(whole, s, t, b) for (_, b), s, t in zip(parts, states, states[1:])]
         return self.joined(ids)
 
-    def decode(self, ids: list[int]) -> str:
-        """The library's text of the ids; ids that stand for themselves are joined without it."""
-        if self.joins and ids and self.processor.id_to_piece(ids[0]).startswith("▁"):
-            parts = [self.shown[i] for i in ids]
-            if None not in parts:
-                return "".join(parts)[1:]
-        return self.processor.decode(ids) if ids else ""
+    def encode_many(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The library's ids of whole texts, a few at a time in order: those of all, and where each text's begin and the last one's end."""
+        for own in portions(texts):
+            # A text that holds the sign of a blank is one segment, and so the only kind that holds one.
+            data, bounds = laid_out([(" " + t if t and self.cuts and "▁" not in t else t).encode() for t in own])
+            if not len(data):
+                yield np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
+                continue
+            begin = np.zeros(len(data), bool)
+            if self.cuts:
+                begin[1:] = (data[1:] == 32) & (data[:-1] != 32)
+                for k in (k for k, t in enumerate(own) if "▁" in t):
+                    begin[bounds[k] : bounds[k + 1]] = False
+            begin[bounds[:-1][np.diff(bounds) > 0]] = True
+            begins = np.flatnonzero(begin)
+            numbers, parts = distinct(data, begins)
+            ids = self.processor.encode([p[1:] if self.cuts and "▁" not in p else p for p in parts], num_threads=1)
+            for k in (k for k, p in enumerate(parts) if self.cuts and p == " "):
+                ids[k] = [self.ids["▁"]]  # a blank that ends a text; alone it would be none
+            values = pa.array(ids, pa.large_list(pa.int32()))
+            found, ends = dealt(numbers, values.values.to_numpy(), values.offsets.to_numpy())
+            yield found, ends[np.searchsorted(begins, bounds)]
+
+    def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The library's texts of the ids between `bounds`; ids that stand for themselves are joined without it."""
+        first = bounds[:-1][np.diff(bounds) > 0]
+        shown = ids.astype(np.int64)
+        shown[first] += len(self.shown)
+        strange = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(~self.plain[ids], out=strange[1:])
+        joined = (strange[bounds[1:]] == strange[bounds[:-1]]) & self.joins
+        filled = np.flatnonzero(np.diff(bounds) > 0)
+        joined[filled] &= self.opens[ids[first]]
+        laid = self.written.take(pa.array(shown))
+        offsets = np.frombuffer(laid.buffers()[1], np.int64)[bounds]
+        texts = pa.LargeStringArray.from_buffers(len(joined), pa.py_buffer(offsets), laid.buffers()[2])
+        others = [self.processor.decode(ids[bounds[k] : bounds[k + 1]].tolist()) if bounds[k] < bounds[k + 1] else "" for k in np.flatnonzero(~joined)]
+        return pc.replace_with_mask(texts, pa.array(~joined), pa.array(others, pa.large_string())).cast(pa.string())
 
     def joined(self, chunks: list[list[int]]) -> list[int]:
         """Chunks' ids in order; without byte pieces a run of unknown characters is one id."""
@@ -200,8 +246,8 @@ class Lattice:
         return [i for k, i in enumerate(ids) if i != unknown or not k or ids[k - 1] != unknown]
 
 
-def _is_bpe(model: str) -> bool:
-    """The model type of a file: field 3 of the trainer section (field 2) is 2."""
+def _sections(model: str) -> list[dict]:
+    """The numbered fields of a model file's trainer section (field 2) and normalizer section (field 3)."""
     with open(model, "rb") as f:
         data = f.read()
 
@@ -231,8 +277,8 @@ def _is_bpe(model: str) -> bool:
                 at += 8 if key & 7 == 1 else 4
                 yield key >> 3, None
 
-    trainer = next((v for k, v in fields(data) if k == 2), b"")
-    return next((v for k, v in fields(trainer) if k == 3), 1) == 2
+    own = {k: v for k, v in fields(data) if k in (2, 3)}
+    return [dict(fields(own.get(k, b""))) for k in (2, 3)]
 
 
 def spans(length: int, chunk: int) -> list[tuple[int, int]]:
@@ -277,12 +323,15 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = CHUNK_CHARS, carr
     giant = F.coalesce(F.char_length("text") >= chunk, F.lit(False))  # the blank put before a text counts
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lattice(model).processor
+        own = lattice(model)
         for batch in batches:
+            last = batch.num_columns - 1
             for part in _slices(batch):
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-                ids = [np.array(i, np.int32) for i in own.encode(texts, num_threads=1)]
-                yield _with_column(part.select(range(part.num_columns - 1)), "ids", _lists(ids))
+                at = 0
+                for ids, bounds in own.encode_many(part.column(last).to_pylist()):
+                    own_rows = part.select(range(last)).slice(at, len(bounds) - 1)
+                    at += len(bounds) - 1
+                    yield _with_column(own_rows, "ids", pa.ListArray.from_arrays(bounds.astype(np.int32), ids))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = lattice(model)
@@ -350,14 +399,16 @@ def decode_documents(ids: DataFrame, model: str) -> DataFrame:
         own = lattice(model)
         for batch in batches:
             for part in _slices(batch):
-                texts = [own.decode(i or []) for i in part.column(place).to_pylist()]
-                yield _with_column(part, "text", pa.array(texts, pa.string()))
+                ids = part.column(place)
+                bounds = np.zeros(part.num_rows + 1, np.int64)
+                np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False), out=bounds[1:])
+                yield _with_column(part, "text", own.decode_many(ids.flatten().to_numpy(), bounds))
 
     return ids.mapInArrow(run, T.StructType([*ids.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 128) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time, since ids as Python numbers take ten times their text."""
+    """Few rows at a time, since the work on them takes several times their text, in every worker."""
     for first in range(0, batch.num_rows, rows):
         yield batch.slice(first, rows)
 
@@ -366,11 +417,6 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, np.concatenate([*arrays, np.zeros(0, np.int32)]))
-
-
 def matrix_of(model: str, text: str, chunk: int) -> Matrix:
     """The whole text's matrix, by combining those of its chunks in any grouping."""
     own = lattice(model)

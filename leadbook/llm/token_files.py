@@ -98,7 +98,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, e
         names = batch.column(0).to_pylist()
         nulls += names.count(None)
         doc_ids += [i for i in names if i is not None]
-        for ids, bounds in encode.encode_many(batch.column(1).to_pylist(), end_id):
+        for ids, bounds in encode.encode_many((t.as_py() for t in batch.column(1)), end_id):
             counts += np.diff(bounds).tolist()
             sink.write(ids.astype(kind).tobytes())
     if sink is None:

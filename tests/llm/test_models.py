@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leadbook.llm import ngram_model
+from leadbook.llm import ngram_model, segments
 from leadbook.llm.embeddings import fit_centroids, near_duplicates
 from leadbook.llm.html_content import ContentModel, extract_pages, features, labels, train
 from leadbook.llm.dom import parse
@@ -38,6 +38,50 @@ def test_chunks_give_the_ids_of_the_whole_text(text, chunk):
     assert lattice(PIECES).encode(text, chunk) == lattice(PIECES).processor.encode(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(
+    texts=st.lists(st.none() | st.text(alphabet=list("abthe    .É漢😀\n\t▁\x00\r\u0301ﬁ"), max_size=20), max_size=6),
+    limit=st.sampled_from([1, 30, 1 << 20]),
+    cuts=st.booleans(),
+)
+def test_many_texts_give_the_ids_and_texts_of_the_library(texts, limit, cuts):
+    own, ids = lattice(PIECES), []
+    library = own.processor
+    assert own.cuts
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(segments.portions, "__defaults__", (limit,))
+        patch.setattr(own, "cuts", cuts)
+        for found, bounds in own.encode_many(texts):
+            ids += [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+            back = own.decode_many(found, bounds).to_pylist()
+            assert back == [library.decode(i) if i else "" for i in ids[len(ids) - len(back) :]]
+    assert ids == [library.encode(t or "") for t in texts]
+
+
+def test_texts_of_any_ids_are_those_of_the_library():
+    own, rng = lattice(PIECES), np.random.default_rng(4)
+    bounds = np.sort(rng.integers(0, 3000, 400))
+    bounds[0], bounds[-1] = 0, 3000
+    ids = rng.integers(0, own.processor.vocab_size(), 3000).astype(np.int32)  # bytes, controls and no blank at the start too
+    expected = [own.processor.decode(ids[a:b].tolist()) if a < b else "" for a, b in zip(bounds, bounds[1:])]
+    assert own.decode_many(ids, bounds).to_pylist() == expected
+
+
+def test_the_library_gets_each_word_of_many_texts_once(monkeypatch):
+    own, sent = lattice(PIECES), []
+    library = own.processor
+
+    class Counted:
+        def encode(self, texts, num_threads):
+            sent.extend(texts)
+            return library.encode(texts, num_threads=num_threads)
+
+    monkeypatch.setattr(own, "processor", Counted())
+    sizes = [bounds[-1] for _, bounds in own.encode_many(["the same words and the same"] * 300)]
+    assert sizes == [300 * len(library.encode("the same words and the same"))]
+    assert sorted(sent) == ["and", "same", "the", "words"]
+
+
 def test_matrices_combine_in_any_grouping():
     own, text = lattice(PIECES), "therefore the other weather gathered there"
     parts = [own.matrix(own.processor.normalize(text), a, min(a + 5, len(text) + 1)) for a in range(0, len(text) + 1, 5)]
